@@ -24,7 +24,7 @@ cannot change the result, so only links between components are looked for:
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -79,19 +79,28 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
     return out
 
 
-def set_features(docs: DataFrame, width: int) -> DataFrame:
+def min_max_bands(shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    return band_keys(min_max_signatures(shingles, counts))
+
+
+Keys = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def set_features(docs: DataFrame, width: int, keys: Keys = min_max_bands) -> DataFrame:
     """(doc_id, text_key, text) -> doc_id, text_key, n_shingles, set_key (128 bits of the sorted set), bands (array of long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, keys, bands = [], [], [np.zeros(0, U64)]
+            sizes, names, bands, per = [], [], [np.zeros(0, U64)], 1
             for shingles, counts, sets in shingle_sets(batch.column("text"), width):
                 sizes += map(len, sets)
-                keys += [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets]
-                bands.append(band_keys(min_max_signatures(shingles, counts)).ravel())
+                names += [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets]
+                found = keys(shingles, counts)
+                bands.append(found.ravel())
+                per = found.shape[1]
             flat = pa.array(np.concatenate(bands).view(np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * BANDS), flat)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), lists], ["doc_id", "text_key", "n_shingles", "set_key", "bands"])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * per), flat)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), lists], ["doc_id", "text_key", "n_shingles", "set_key", "bands"])
 
     return docs.mapInArrow(run, "doc_id long, text_key binary, n_shingles long, set_key binary, bands array<long>")
 
@@ -213,7 +222,7 @@ def linked_sets(own: DataFrame, feats: DataFrame, width: int, percent: int) -> D
     return labels
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, keys: Keys = min_max_bands) -> DataFrame:
     """Groups of documents linked by Jaccard similarity of their width-word shingle sets.
 
     docs has doc_id (long) and text; other columns are ignored.  Returns one row
@@ -225,10 +234,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     width words has its whole sequence as its one shingle.  Repeated rows are
     linked as equal sets are.  A null doc_id is never the least unless its
     component has no other; then component_id is null and kept is false.  An
-    empty table gives no rows.  Runs eagerly but for the last join.
+    empty table gives no rows.  keys gives each text's band keys from its shingles.
+    Runs eagerly but for the last join.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("text_key", text_key(F.col("text")))
-    feats = materialize(set_features(own, width), "sets")
+    feats = materialize(set_features(own, width, keys), "sets")
     labels = linked_sets(own, feats, width, percent)
     least = feats.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("least"))
     named = least.join(labels.withColumnRenamed("node", "set_key"), "set_key")
