@@ -88,36 +88,52 @@ def train(rows: DataFrame, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
     return w[:-1], float(w[-1])
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, per_class: int = PER_CLASS, threshold: float = 0.3) -> DataFrame:
-    """A row for each row of docs: doc_id, held_out, score (0 to 1), predicted, and row_key.
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, per_class: int = PER_CLASS) -> tuple[np.ndarray, float]:
+    """Weights and bias learned from the labelled rows outside of the held-out fold, per_class of either class at most.
 
-    docs has doc_id and text, labels doc_id and quality; other columns are ignored.
-    Rows of the held-out fold teach nothing; per_class bounds the labelled documents of
-    either class that training reads, and a bias set to the labels' own rates makes up for it.  Null and
-    empty texts get the bias's value, as all texts do without labels.  Repeated
-    rows are scored each; whole texts count, however long; an empty table gives no rows.
+    Where that thinned a class out, the bias puts its odds back.
     """
-    spark = docs.sparkSession
-    rows = training_rows(docs, labels, "quality", folds, held_out, per_class)
-    weights, bias = train(rows)
+    weights, bias = train(training_rows(docs, labels, "quality", folds, held_out, per_class))
     known = labels.where(fold_of(F.col("doc_id"), folds) != held_out).groupBy(F.col("quality").cast("int").alias("k")).count().where("k in (0, 1)").collect()
     of = {r["k"]: r["count"] for r in known}
-    # Where a class was thinned out, its odds are put back.
-    bias += np.log(max(1.0, of.get(1, 0) / per_class)) - np.log(max(1.0, of.get(0, 0) / per_class))
-    model = spark.sparkContext.broadcast((weights, bias))
+    return weights, bias + float(np.log(max(1.0, of.get(1, 0) / per_class)) - np.log(max(1.0, of.get(0, 0) / per_class)))
+
+
+def scores(texts: pa.Array, model: tuple[np.ndarray, float]) -> np.ndarray:
+    w, bias = model
+    x = np.zeros(len(texts))
+    for row, data, offsets in text_slices(texts):
+        found, counts = features(data, offsets)
+        sums = np.r_[0.0, np.cumsum(w[found])]
+        ends = np.cumsum(counts)
+        x[row : row + len(counts)] = (sums[ends] - sums[ends - counts]) * SCALE / np.maximum(counts, 1)
+    return 1 / (1 + np.exp(-np.clip(x + bias, -500, 500)))
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, per_class: int = PER_CLASS, threshold: float = 0.3) -> DataFrame:
+    """A row for each row of docs: doc_id, held_out, score (0 to 1), predicted.
+
+    docs has doc_id and text, labels doc_id and quality; other columns are ignored.
+    The model is fit()'s.  Null and empty texts get the bias's value, as all texts do without
+    labels.  Repeated rows are scored each; whole texts count, however long; an
+    empty table gives no rows.
+    """
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, folds, held_out, per_class))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, bias = model.value
         for batch in batches:
-            x = np.zeros(batch.num_rows)
-            for row, data, offsets in text_slices(batch.column("text")):
-                found, counts = features(data, offsets)
-                sums = np.r_[0.0, np.cumsum(w[found])]
-                ends = np.cumsum(counts)
-                x[row : row + len(counts)] = (sums[ends] - sums[ends - counts]) * SCALE / np.maximum(counts, 1)
-            score = 1 / (1 + np.exp(-np.clip(x + bias, -500, 500)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score), batch.column("row_key")], ["doc_id", "score", "row_key"])
-
-    key = F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("row_key")
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", key).mapInArrow(run, "doc_id long, score double, row_key binary")
-    return scored.select("doc_id", (fold_of(F.col("doc_id"), folds) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "row_key")
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores(batch.column("text"), model.value))], ["doc_id", "score"])
+
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    return scored.select("doc_id", (fold_of(F.col("doc_id"), folds) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **of_fit: int) -> DataFrame:
+    """docs, all columns as they are, of the rows that score_quality gives threshold or more."""
+    model, at = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **of_fit)), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(scores(batch.column(at), model.value) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

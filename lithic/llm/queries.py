@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithic.llm import chat_format, fingerprint, minhash, mixing, packing, quality, topk, toxicity
+from lithic.llm import chat_format, fingerprint, html_extract, minhash, mixing, packing, quality, token_counts, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,9 +37,19 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
-    return toxicity.score_toxicity(docs, labels, folds=3, held_out=1, threshold=0.7).drop("row_key")
+    return toxicity.score_toxicity(docs, labels, folds=3, held_out=1, threshold=0.7)
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +62,7 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
-    return quality.score_quality(docs, labels, folds=5, held_out=0, threshold=0.3).drop("row_key")
+    return quality.score_quality(docs, labels, folds=5, held_out=0, threshold=0.3)
 
 
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,6 +121,16 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
 FROM laid
 """
 
+#: These pages have one article each without asides in it; blocks, character references and white space as in the operator.
+OP4_SQL = r"""
+WITH bodies AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article[^>]*>(.*?)</article>', 1) AS body FROM pages),
+plain AS (SELECT page_id, url, regexp_replace(regexp_replace(body, '</?(p|br|h1)[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g') AS t FROM bodies),
+read AS (
+  SELECT page_id, url, trim(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(t, '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;', chr(1)), '\s+', ' ', 'g')) AS t
+  FROM plain)
+SELECT page_id, url, replace(regexp_replace(t, '&amp', '&', 'g'), chr(1), '&') AS text, length(replace(regexp_replace(t, '&amp', '&', 'g'), chr(1), '&')) AS n_chars FROM read
+"""
+
 OP9_SQL = r"""
 WITH whole AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
@@ -124,4 +144,4 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": OP1_SQL, "op6_source_mixing": OP6_SQL, "op9_exact_top_k": OP9_SQL}
+    return {"op1_chat_formatting": OP1_SQL, "op4_html_extraction": OP4_SQL, "op6_source_mixing": OP6_SQL, "op9_exact_top_k": OP9_SQL}

@@ -248,17 +248,12 @@ def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Logistic:
     return Logistic(mean, scale, float(beta[0]), float(beta[1]))
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, per_class: int = PER_CLASS, threshold: float = 0.7) -> DataFrame:
-    """A row for each row of docs: doc_id, held_out, score (0 to 1), predicted, and row_key.
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, per_class: int = PER_CLASS) -> tuple[KneserNey, Logistic]:
+    """The model of all training rows and the logistic function of its differences.
 
-    docs has doc_id and text, labels doc_id and toxic; other columns are ignored.
     Rows of the held-out fold teach nothing.  per_class bounds the labelled
-    documents of either class that training reads.  Each part of them is scored
-    by a model of the others to fit the logistic function, weighted back to the
-    labels' own rates.  Null and wordless texts get the function's value at
-    a difference of 0 for each word; without labels of both classes every score
-    is the smoothed rate of label 1.  Repeated rows are scored each; whole texts count, however long; an
-    empty table gives no rows.
+    documents of either class that are read.  Each part of them is scored by a
+    model of the others to fit the logistic function, weighted back to the labels' own rates.
     """
     spark = docs.sparkSession
     rows = training_rows(docs, labels, "toxic", folds, held_out, per_class)
@@ -281,18 +276,40 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out:
     known = labels.where(fold_of(F.col("doc_id"), folds) != held_out).groupBy(F.col("toxic").cast("int").alias("k")).count().where("k in (0, 1)").collect()
     of = {r["k"]: r["count"] for r in known}
     weight = np.where(y == 1, of.get(1, 0) / max(1, y.sum()), of.get(0, 0) / max(1, (1 - y).sum()))
-    fitted = calibrate(x, y, weight)
     release(rows, counts)
-    model = spark.sparkContext.broadcast((models[PARTS], fitted))
+    return models[PARTS], calibrate(x, y, weight)
+
+
+def scores(texts: pa.Array, model: tuple[KneserNey, Logistic]) -> np.ndarray:
+    found = [got for _, got in _ratios(texts, model[0])]
+    return model[1](np.concatenate(found) if found else np.zeros(0))
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, per_class: int = PER_CLASS, threshold: float = 0.7) -> DataFrame:
+    """A row for each row of docs: doc_id, held_out, score (0 to 1), predicted.
+
+    docs has doc_id and text, labels doc_id and toxic; other columns are ignored.
+    The model is fit()'s.  Null and wordless texts get the logistic function's value at
+    a difference of 0; without labels of both classes every score
+    is the smoothed rate of label 1.  Repeated rows are scored each; whole texts
+    count, however long; an empty table gives no rows.
+    """
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, folds, held_out, per_class))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores(batch.column("text"), model.value))], ["doc_id", "score"])
+
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    return scored.select("doc_id", (fold_of(F.col("doc_id"), folds) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **of_fit: int) -> DataFrame:
+    """docs, all columns as they are, without the rows that score_toxicity gives threshold or more."""
+    model, at = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **of_fit)), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        all_, score = model.value
         for batch in batches:
-            x = np.zeros(batch.num_rows)
-            for row, got in _ratios(batch.column("text"), all_):
-                x[row : row + len(got)] = got
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score(x)), batch.column("row_key")], ["doc_id", "score", "row_key"])
-
-    key = F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("row_key")
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", key).mapInArrow(run, "doc_id long, score double, row_key binary")
-    return scored.select("doc_id", (fold_of(F.col("doc_id"), folds) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "row_key")
+            yield batch.filter(pa.array(scores(batch.column(at), model.value) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
