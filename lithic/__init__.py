@@ -1,0 +1 @@
+"""Typed, strictly checked Parquet records on Spark."""

@@ -1,0 +1 @@
+"""Operators on row groups and their statistics."""

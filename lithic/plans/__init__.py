@@ -1,0 +1 @@
+"""Declared models, their types, and their resolution against files."""

@@ -169,7 +169,7 @@ def batch_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
             cents = np.rint(price * (1 - less) * 10_000).astype(np.int64).sum()
             yield pa.RecordBatch.from_arrays([pa.array([int(cents)], pa.int64()), pa.array([b.num_rows], pa.int64())], ["units", "n"])
 
-    some = scan(spark, Lines, _path(sf_dir, "lineitem")).filter(F.col("l_orderkey") >= 5000).to_df()
+    some = scan(spark, Lines, _path(sf_dir, "lineitem")).filter(F.col("l_orderkey") >= 500).to_df()
     parts = some.select("l_extendedprice", "l_discount").mapInArrow(sums, "units long, n long")
     return parts.agg(F.sum("units").alias("units"), F.sum("n").alias("n"))
 
@@ -270,7 +270,7 @@ SQL = {
     "prune_conjunction": "SELECT event_type, count(*) AS n, min(event_id) AS first_event FROM events WHERE user_id BETWEEN 10 AND 60 AND event_type <> 'click' GROUP BY event_type",
     "prune_superset": "SELECT l_returnflag, count(*) AS n, CAST(sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(28,4))) AS DOUBLE) AS revenue FROM lineitem WHERE l_orderkey BETWEEN 2050 AND 2349 GROUP BY l_returnflag",
     "zone_map": "SELECT 'o_orderkey' AS column_name, min(o_orderkey) AS least, max(o_orderkey) AS greatest, count(*) - count(o_orderkey) AS nulls, count(*) AS n FROM orders UNION ALL SELECT 'o_custkey', min(o_custkey), max(o_custkey), count(*) - count(o_custkey), count(*) FROM orders",
-    "batch_revenue": "SELECT CAST(sum(CAST(round_even(l_extendedprice * (1 - l_discount) * 10000, 0) AS BIGINT)) AS BIGINT) AS units, count(*) AS n FROM lineitem WHERE l_orderkey >= 5000",
+    "batch_revenue": "SELECT CAST(sum(CAST(round_even(l_extendedprice * (1 - l_discount) * 10000, 0) AS BIGINT)) AS BIGINT) AS units, count(*) AS n FROM lineitem WHERE l_orderkey >= 500",
     "interop_summary": "SELECT count(*) AS n, count(*) - count(event_type) AS null_kinds, min(user_id) AS least, max(user_id) AS greatest, CAST(sum(CAST(value AS DECIMAL(28,4))) AS DOUBLE) AS total FROM events",
     "roundtrip_codecs": f"SELECT codec, {_AGG} FROM lineitem, (VALUES ('none'), ('snappy'), ('gzip'), ('lz4'), ('zstd')) c(codec) GROUP BY codec",
     "roundtrip_row_groups": "SELECT CAST(ceil(count(*) / 1000.0) AS BIGINT) AS row_groups, count(*) AS n, least(1000, count(*)) AS largest FROM orders",

@@ -1,0 +1 @@
+"""Reading and writing Parquet, and Arrow ingestion."""

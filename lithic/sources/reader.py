@@ -18,6 +18,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lithic.operators.pruning import ColumnStatistics, Predicate, RowGroupMetadata, accept_row_group, from_raw
 from lithic.plans.model import Model, model_of
@@ -191,7 +192,7 @@ def _as_model(table: pa.Table, model: Model) -> pa.RecordBatch:
     names = {n.lower(): k for k, n in reversed(list(enumerate(table.column_names)))}
     columns = []
     for c in model.columns:
-        kind = T_to_arrow(c.spark_type)
+        kind = arrow_of(c.spark_type)
         if c.name.lower() not in names:
             columns.append(pa.nulls(table.num_rows, kind))
             continue
@@ -202,10 +203,8 @@ def _as_model(table: pa.Table, model: Model) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, [c.name for c in model.columns])
 
 
-def T_to_arrow(kind: T.DataType) -> pa.DataType:  # noqa: N802
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(kind, timezone="UTC")
+def arrow_of(kind: T.DataType) -> pa.DataType:
+    return to_arrow_type(kind)
 
 
 def scan(spark: SparkSession, model: Model | type, path: str | list[str]) -> Scan:

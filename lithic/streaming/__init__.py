@@ -1,0 +1 @@
+"""Row streams of bounded files are Scan.rows() and Scan.batches(); the engine has no unbounded sources, so nothing is here."""

@@ -1,0 +1,104 @@
+import enum
+import warnings
+from decimal import Decimal
+from typing import Generic, Optional, TypeVar
+
+import pytest
+
+from lithic.plans.model import ModelError, ModelWarning, column, record
+from lithic.sources.writer import WriteOptions, writer_options
+
+
+class Grade(enum.IntEnum):
+    LOW = 1
+    HIGH = 2
+
+
+def code_of(make):
+    with pytest.raises(ModelError) as e:
+        make()
+    return e.value.code
+
+
+def test_names_orders_and_kinds():
+    @record
+    class Inner:
+        x: int = column(type="int32")
+        y: Optional[float]
+
+    @record
+    class Base:
+        base: int
+
+    @record
+    class Whole(Base):
+        second: Optional[str] = column("renamed", order=2, field_id=7)
+        first: Grade = column(order=1)
+        skipped: int = column(ignore=True)
+        inner: Inner
+        many: Optional[list[Inner]]
+        money: Decimal = column(precision=12, scale=2)
+        tags: dict[str, Optional[str]]
+
+    model = Whole.__record__
+    assert [c.name for c in model.columns] == ["first", "renamed", "base", "inner", "many", "money", "tags"]
+    assert model.schema["renamed"].metadata == {"parquet.field.id": 7}
+    assert model["money"].spark_type.simpleString() == "decimal(12,2)"
+    assert model["inner"].nullable and model["many"].spark_type.elementType.fieldNames() == ["x", "y"]
+    assert model["first"].values == {1: "LOW", 2: "HIGH"} and not model["first"].prunable
+    assert not model.flat
+
+
+def test_broken_declarations():
+    T = TypeVar("T")
+
+    def make(annotations, **options):
+        return lambda: record(type("M", (), {"__annotations__": annotations, "__module__": __name__, **options}))
+
+    assert code_of(make({"a": int, "b": int}, b=column("A"))) == "D2"
+    assert code_of(make({"a": Decimal}, a=column(precision=40))) == "D5"
+    assert code_of(make({"a": int}, a=column(precision=4))) == "D5"
+    assert code_of(make({"a": complex})) == "D6"
+    assert code_of(make({"a": list[list[int]]})) == "D6"
+    assert code_of(make({"a": int}, a=column(timestamp="micros"))) == "D6"
+    assert code_of(make({"a": bool}, a=column(sort_key=True))) == "D13"
+    assert code_of(make({"a": int, "b": int}, a=column(field_id=1), b=column(field_id=1))) == "D17"
+
+    class G(Generic[T]):
+        a: T
+
+    assert code_of(lambda: record(G)) == "D9"
+
+    class Loop:
+        a: int
+        again: Optional["Loop"]
+
+    assert code_of(lambda: record(Loop)) == "D11"
+
+
+def test_depth():
+    made = record(type("L0", (), {"__annotations__": {"v": int}, "__module__": __name__}))
+    for k in range(1, 7):
+        made = record(type(f"L{k}", (), {"__annotations__": {"v": made}, "__module__": __name__}))
+    assert code_of(lambda: record(type("L7", (), {"__annotations__": {"v": made}, "__module__": __name__}))) == "D12"
+
+
+def test_warnings():
+    with warnings.catch_warnings(record=True) as said:
+        warnings.simplefilter("always")
+        record(type("Empty", (), {"__annotations__": {"_hidden": int}, "__module__": __name__}))
+    assert {str(w.message)[:2] for w in said if w.category is ModelWarning} == {"D3", "D4"}
+
+
+def test_writer_gaps_are_named():
+    @record
+    class M:
+        a: int
+        b: Optional[str]
+
+    assert code_of(lambda: WriteOptions(compression="brotli")) == "D16"
+    assert code_of(lambda: writer_options(M.__record__, WriteOptions(encodings={"a": "byte_stream_split"}))) == "D16"
+    assert code_of(lambda: writer_options(M.__record__, WriteOptions(encodings={"b": "delta_binary_packed"}))) == "D16"
+    with pytest.raises(ValueError):
+        WriteOptions(row_group_size=0)
+    assert writer_options(M.__record__, WriteOptions(encodings={"a": "dictionary"}))["parquet.enable.dictionary#a"] == "true"
