@@ -167,7 +167,7 @@ def _column(owner: str, attribute: str, annotation: typing.Any, options: Options
     if nested:
         if annotation in open_:
             raise ModelError("D11", f"{owner}.{attribute}: {annotation.__name__} holds itself")
-        model = describe(annotation, (*open_,), depth + 1)
+        model = describe(annotation, open_, depth + 1)
         if any(c.kind in ("list", "map") for c in model.columns):
             raise ModelError("D6", f"{owner}.{attribute}: a list inside a record column is not supported")
         # A group is always optional in the file.

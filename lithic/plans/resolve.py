@@ -62,7 +62,8 @@ def _leaves(column: Column, prefix: str, optional: bool) -> list[tuple[str, Colu
     return [(f"{path}.list.element", inner, False)]
 
 
-_LIST_NAMES = ((".list.element", ".bag.array_element", ".list.item", ".array"),)
+#: Other names that writers give a list's inner groups.
+_LIST_NAMES = (".bag.array_element", ".list.item", ".array")
 
 
 def resolve(model: Model, schema: str, file: str = "the file") -> dict[str, bool]:
@@ -76,7 +77,7 @@ def resolve(model: Model, schema: str, file: str = "the file") -> dict[str, bool
         name = column.name.lower()
         present[column.name] = name in roots
         if name not in roots:
-            if not column.nullable or column.kind == "record" and not column.nullable:
+            if not column.nullable:
                 raise InvalidData(f"{file}: required column '{column.name}' of {model.name} is missing")
             continue
         if column.kind == "leaf" and name not in found:
@@ -94,12 +95,7 @@ def _find(found: dict[str, FileColumn], path: str) -> FileColumn | None:
     """A leaf by its path, with any of the usual names of a list's inner groups."""
     if path in found:
         return found[path]
-    for other in _LIST_NAMES[0][1:]:
+    for other in _LIST_NAMES:
         if (p := path.replace(".list.element", other)) in found:
             return found[p]
     return None
-
-
-def required_leaves(model: Model) -> list[str]:
-    """Flat columns that must not hold a null."""
-    return [c.name for c in model.columns if c.kind == "leaf" and not c.nullable]

@@ -7,13 +7,13 @@ input for each file, so neither the listing nor a footer's content meets on the
 from __future__ import annotations
 
 import datetime
-import decimal
+import json
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pa_fs
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ZONE_MAP = (
@@ -40,8 +40,6 @@ def files(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def logical_name(column: pq.ColumnSchema) -> str:
     """The annotation's name, integers as UINT8 and the like."""
-    import json
-
     said = json.loads(column.logical_type.to_json())
     kind = said["Type"].upper()
     if kind == "INT":
@@ -95,8 +93,6 @@ def zone_map(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def row_groups(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """A row for each row group: path, row_group, row_count, first_row (its place in the file)."""
-    from pyspark.sql import Window
-
     groups = zone_map(spark, path).select("path", "row_group", "row_count").distinct()
     before = Window.partitionBy("path").orderBy("row_group").rowsBetween(Window.unboundedPreceding, -1)
     return groups.withColumn("first_row", F.coalesce(F.sum("row_count").over(before), F.lit(0)))
@@ -119,8 +115,6 @@ def schemas(spark: SparkSession, path: str | list[str]) -> list[tuple[str, bytes
 
 def describe_schema(meta: pq.FileMetaData) -> str:
     """One line for each leaf: path, physical type, annotation, whether nulls can be, precision and scale, time unit and zone."""
-    import json
-
     lines = []
     for k in range(meta.num_columns):
         c = meta.schema.column(k)
@@ -130,9 +124,3 @@ def describe_schema(meta: pq.FileMetaData) -> str:
         lines.append("\t".join([c.path, c.physical_type, logical_name(c), str(c.max_definition_level > 0), digits, time]))
     return "\n".join(lines)
 
-
-def number(text: str | None) -> int | float | decimal.Decimal | None:
-    """A numeric statistic back from text_of."""
-    if text is None:
-        return None
-    return float(text) if any(x in text for x in ("e", "E", ".", "n", "N")) else int(text)
