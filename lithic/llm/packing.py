@@ -9,6 +9,7 @@ with the least room that still takes it, found in a segment tree over room.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 WINDOW = 4096
 #: Remainders that a task holds before it packs them; about 100 MB.
 HELD = 400_000
-#: Words whose ids a worker remembers.
+#: Words whose ids a worker remembers, once more than that in all.
 REMEMBERED = 400_000
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -79,14 +80,22 @@ def best_fit_decreasing(lengths: np.ndarray, window: int) -> tuple[np.ndarray, n
 
 
 _encoders: dict[str, Callable[[list[str]], list[bytes]]] = {}
+#: A full stop or comma that ends a word stands alone for the tokenizer; parted, the word is known already.
+_ENDS = re.compile(r"(?<=[a-z])([.,])(?=[ \n]|\Z)")
+
+
+def _cut(text: str) -> list[str]:
+    """Parts of a text that are tokenized each by itself."""
+    low = text if "\u03a3" in text else text.lower()  # a sigma's small form depends on its place
+    return _ENDS.sub(r" \1", low).replace("\n", " ").split(" ")
 
 
 def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     """A function from texts to their ids, each as little-endian uint32 bytes.
 
-    For a word-level BPE that drops white space: no piece spans a space or a line
-    break, so texts are cut there and each distinct part is encoded once.  The
-    strings of special tokens in a text are ordinary text.
+    For a word-level BPE that lower-cases, marks word ends and drops white space: no
+    piece spans a space or a line break, so texts are cut there and a part that was seen lately
+    isn't encoded again.  The strings of special tokens in a text are ordinary text.
     """
     if path in _encoders:
         return _encoders[path]
@@ -95,19 +104,42 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
+    ends = np.zeros(tokenizer.get_vocab_size(), bool)
+    for piece, at in tokenizer.get_vocab().items():
+        ends[at] = piece.endswith("</w>")
     known: dict[str, bytes] = {"": b""}
+    older: dict[str, bytes] = {}
+
+    def one_by_one(words: list[str]) -> None:
+        for word, got in zip(words, tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
+            known[word] = np.array(got.ids, "<u4").tobytes()
+
+    def many(words: list[str]) -> None:
+        """Words of letters in lines of 100; each should end with one piece that ends a word."""
+        lines = [words[k : k + 100] for k in range(0, len(words), 100)]
+        for line, got in zip(lines, tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
+            ids = np.array(got.ids, "<u4")
+            stops = (4 * np.flatnonzero(ends[ids]) + 4).tolist()
+            if len(stops) == len(line) and stops[-1] == 4 * len(ids):
+                raw = ids.tobytes()
+                known.update(zip(line, [raw[i:j] for i, j in zip([0, *stops[:-1]], stops, strict=True)], strict=True))
+            else:
+                one_by_one(line)
 
     def encode(texts: list[str]) -> list[bytes]:
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(set().union(*parts).difference(known)) if parts else []
+        nonlocal known, older
+        parts = list(map(_cut, texts))
+        new = set().union(*parts).difference(known)
         if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            known[""] = b""
-            new = list(set().union(*parts) - {""})
-        for k in range(0, len(new), 4096):
-            some = new[k : k + 4096]
-            for word, got in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[word] = np.array(got.ids, "<u4").tobytes()
+            # What was asked for since the last time stays one time more.
+            known, older = {"": b""}, known
+            new = set().union(*parts) - {""}
+        again = new.intersection(older)
+        known.update(zip(again, map(older.__getitem__, again), strict=True))
+        fresh = new - again
+        letters = [w for w in fresh if w.isalpha()]
+        many(letters)
+        one_by_one(list(fresh.difference(letters)))
         return [b"".join(map(known.__getitem__, p)) for p in parts]
 
     _encoders[path] = encode
@@ -146,8 +178,8 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, window: int = WI
             held.clear()
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 32):
-                part = batch.slice(at, 32)
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 for doc, ids in zip(part.column("doc_id").to_pylist(), encode(texts), strict=True):
                     ids += end
