@@ -18,7 +18,8 @@ cannot change the result, so only links between components are looked for:
    in one global order, those held by a single component first, then rare
    before frequent.  A linked pair must share a shingle in both prefixes of
    n - ceil(0.8 n) + 1, and enough shingles that other components hold, for
-   both sizes.  Pairs that pass are compared.
+   both sizes.  The sets on a shingle's list are compared with a few of the list first, and
+   then all pairs that pass and still cross components.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ BAND_VALUES = 4
 BANDS = 2 * PERMUTATIONS // BAND_VALUES
 #: One shingle in so many is looked at to choose the leaders of step 2; it decides no link.
 SAMPLED = 8
+#: In step 3, rounds in which a shingle's sets are compared with HEADS of them before the rest is.
+POST_TURNS, HEADS = 2, 3
 
 
 def permutations(n: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
@@ -167,22 +170,43 @@ def _mixed(crowd: DataFrame, labels: DataFrame) -> DataFrame | None:
     return None if mixed.isEmpty() else mixed
 
 
-def _crossing_pairs(mixed: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that an exact prefix filter can't rule out (step 3)."""
+def _posts(mixed: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The exact prefix filter's index of step 3: (s, b, n, label, after, most) for each shingle in a set's prefix that components share.
+
+    after: how many shared shingles come later in the set's order; most: the greatest size of a partner.
+    """
     members = mixed.select("b", "label").distinct().join(nodes.withColumnRenamed("set_key", "b"), "b").select("b", "label", "n", "text_key")
     members = materialize(members, "members")
     held = materialize(held_shingles(members, texts, width).join(members.select("b", "n", "label"), "b"), "held")
     across = held.groupBy("s").agg(F.count("*").alias("d"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("s", "d")
     own = Window.partitionBy("b")
     ranked = held.join(across, "s").select("b", "n", "label", "s", F.count("*").over(own).alias("c"), F.row_number().over(own.orderBy("d", "s")).alias("nth"))
-    # n - c shingles come first in the order; partners have at most `most` shingles.
+    # The n - c shingles that one component holds come first in the order.
     prefix = F.expr(f"n - ({percent} * n + 99) div 100 + 1 - (n - c)")
     most = F.expr(f"((100 + {percent}) * c) div {percent} - n").alias("most")
-    posts = materialize(ranked.where(F.col("nth") <= prefix).select("s", "b", "n", "label", most), "posts")
-    open_ = posts.groupBy("s").agg(F.min("n").alias("least"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("s", "least")
-    posts = posts.join(open_, "s").where("most >= least").drop("least")
-    other = posts.select("s", F.col("b").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"), F.col("most").alias("most_a"))
-    return posts.join(other, "s").where("label < label_a and n <= most_a and n_a <= most").select("a", "b")
+    posts = materialize(ranked.where(F.col("nth") <= prefix).select("s", "b", "n", "label", (F.col("c") - F.col("nth")).alias("after"), most), "posts")
+    release(members, held)
+    return posts
+
+
+def _open(posts: DataFrame) -> DataFrame:
+    """posts of shingles that still cross components, of sets that some partner's size fits."""
+    lists = posts.groupBy("s").agg(F.min("n").alias("least"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("s", "least")
+    return posts.join(lists, "s").where("most >= least").drop("least")
+
+
+def _fitting(posts: DataFrame, other: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a shingle's sets in different components that can be linked."""
+    other = other.select("s", *[F.col(x).alias(y) for x, y in (("b", "a"), ("n", "n_a"), ("label", "label_a"), ("most", "most_a"), ("after", "after_a"))])
+    # At the first shared shingle both sides' remainders must still hold enough.
+    enough = f"(100 + {percent}) * (1 + least(after, after_a)) >= {percent} * (n + n_a)"
+    return posts.join(other, "s").where(f"label <> label_a and n <= most_a and n_a <= most and {enough}").select("a", "b")
+
+
+def _relabelled(posts: DataFrame, labels: DataFrame) -> DataFrame:
+    new = labels.select(F.col("node").alias("b"), F.col("label").alias("new"))
+    named = posts.join(new, "b", "left").withColumn("label", F.coalesce("new", "label")).drop("new")
+    return materialize(named.select("s", "b", "n", "label", "after", "most"), "posts")
 
 
 def linked_sets(own: DataFrame, feats: DataFrame, width: int, percent: int) -> DataFrame:
@@ -215,7 +239,18 @@ def linked_sets(own: DataFrame, feats: DataFrame, width: int, percent: int) -> D
         far = mixed.join(hubs, "bucket").where("label <> hub.label").select("b", F.col("hub.b").alias("a"))
         edges, labels = more(edges, far)
         if (rest := _mixed(mixed.select("bucket", "b"), labels)) is not None:
-            edges, labels = more(edges, _crossing_pairs(rest, nodes, texts, width, percent))
+            posts = _posts(rest, nodes, texts, width, percent)
+            for turn in range(POST_TURNS):
+                # Everyone on a shingle's list with a few of the list.
+                posts = _relabelled(posts, labels)
+                lists = _open(posts)
+                row = F.struct(*posts.columns)
+                heads = lists.groupBy("s").agg(*[F.min_by(row, F.xxhash64(F.lit(turn * HEADS + k), "b")).alias(f"h{k}") for k in range(HEADS)])
+                heads = heads.select(F.explode(F.array_distinct(F.array(*[f"h{k}" for k in range(HEADS)]))).alias("h")).select("h.*")
+                edges, labels = more(edges, _fitting(lists, heads, percent))
+            # What still crosses components, all of it.
+            lists = _open(_relabelled(posts, labels))
+            edges, labels = more(edges, _fitting(lists, lists, percent).where("a < b"))
             release(rest)
         release(mixed, held)
     release(reps, crowd, nodes, texts, edges)
