@@ -41,6 +41,8 @@ BAND_VALUES = 4
 BANDS = 2 * PERMUTATIONS // BAND_VALUES
 #: One shingle in so many is looked at to choose the leaders of step 2; it decides no link.
 SAMPLED = 8
+#: Rows of two short keys each (some 50 MB) up to which the list of needed texts is broadcast.
+BROADCAST_ROWS = 500_000
 #: In step 3, rounds in which a shingle's sets are compared with HEADS of them before the rest is.
 POST_TURNS, HEADS = 2, 3
 
@@ -221,6 +223,8 @@ def linked_sets(own: DataFrame, feats: DataFrame, width: int, percent: int) -> D
     nodes = reps.join(crowd.select(F.col("b").alias("set_key")).distinct(), "set_key").select("set_key", "n", "at.text_key", "at.doc_id")
     nodes = materialize(nodes, "nodes")
     at = nodes.select(F.col("text_key").alias("at_key"), F.col("doc_id").alias("at_id"))
+    # Few needed texts are picked out where they are read; many meet theirs by shuffling.
+    at = F.broadcast(at) if nodes.count() <= BROADCAST_ROWS else at
     texts = own.join(at, (F.col("text_key") == F.col("at_key")) & F.col("doc_id").eqNullSafe(F.col("at_id")))
     texts = materialize(texts.select("text_key", "doc_id", "text").dropDuplicates(["text_key", "doc_id"]).drop("doc_id"), "texts")
 
