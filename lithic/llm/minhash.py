@@ -304,14 +304,22 @@ def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     The row kept has the group's least doc_id (nulls last, then the least text key;
     of rows equal in both any one).  Rows without words stay, all of them.
     """
-    links = near_duplicates(docs, width, percent)
+    links = near_duplicates(docs, width, percent).where("n_shingles > 0")
+    rows = links.groupBy("group_key", "doc_id", "text_key").agg(F.count("*").alias("times"))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
-    chosen = links.where("n_shingles > 0").groupBy("group_key").agg(F.min(order).alias("first"))
-    chosen = chosen.select(F.col("first.doc_id").alias("chosen_id"), F.col("first.text_key").alias("chosen_key"))
+    first = rows.groupBy("group_key").agg(F.min(order).alias("first"))
+    stays = (F.col("text_key") == F.col("first.text_key")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
+    judged = rows.join(first, "group_key").withColumn("again", stays).where(~stays | (F.col("times") > 1))
+    # The rows that go, and with again those of which one stays: few beside the documents.
+    judged = materialize(judged.select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key"), "again"), "gone")
+    small = judged.count() <= BROADCAST_ROWS
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     keyed = docs.select(row, F.col("doc_id").cast("long").alias("id"), text_key(F.col("text")).alias("key"))
-    blank = F.coalesce(F.col("row.text"), F.lit("")).rlike(r"^[\x20\x09-\x0D]*$")
-    same = (F.col("key") == F.col("chosen_key")) & F.col("id").eqNullSafe(F.col("chosen_id"))
+    same = (F.col("key") == F.col("gone_key")) & F.col("id").eqNullSafe(F.col("gone_id"))
+    kept = keyed.join(F.broadcast(judged) if small else judged, same, "left_anti").select("row.*")
+    again = judged.where("again")
+    if again.isEmpty():
+        return kept
     nth = F.row_number().over(Window.partitionBy("key", "id").orderBy("key"))
-    worded = keyed.where(~blank).join(chosen, same).withColumn("nth", nth).where("nth = 1")
-    return worded.select("row.*").unionByName(keyed.where(blank).select("row.*"))
+    one = keyed.join(F.broadcast(again) if small else again, same, "left_semi").withColumn("nth", nth).where("nth = 1")
+    return kept.unionByName(one.select("row.*"))
