@@ -1,16 +1,17 @@
 """Main text of web pages by equivalence-class template deduction.
 
 Pages of a host come out of a template.  A page's tokens are its elements, named by their path from
-the root with classes, and its text nodes.  Each has an occurrence vector:
-how often it is on each of the host's pages.  Tokens that share a vector and
+the root with classes, and its blocks of text.  Each has an occurrence vector:
+how often it is on each of the host's distinct pages.  Tokens that share a vector and
 are on enough pages are an equivalence class; one whose elements' parents
 are in valid classes of equal or greater support is nested, and the nested valid classes make
-the host's template.  Text nodes that are tokens of the template are its constants; what hangs on
+the host's template.  Text blocks that are tokens of the template are its constants; what hangs on
 its elements otherwise are slots.
 
-Slots in elements that say what they are (article, nav, footer, form, ...) are told by that.  On hosts
-whose template has no such main element, the deepest template element that holds most of the host's
-text is the main slot, and constants are left out there.
+The main slot is the deepest template container that is there once a page and holds most of the host's text; the
+constants in it are left out.  What elements say they are (article, nav, footer, form, ...) checks that: an article around the
+slot or with most of the slot's text is taken instead, and asides are never main.  Pages without
+the slot, and hosts with too few pages for a template, are told by such names alone.
 """
 
 from __future__ import annotations
@@ -31,6 +32,10 @@ from lithic.llm.store import materialize
 SUPPORT, PAGES = 0.5, 4
 #: The main slot holds this share of the host's text, menus and the like left out.
 MAIN_SHARE = 0.6
+#: An element is a slot if it is there just once on this share of its pages.
+ONCE = 0.9
+#: Contents that several pages have, up to which their counts are broadcast.
+BROADCAST_COPIES = 1_000_000
 #: Template rows up to which all of them are broadcast; beyond, they are joined by shuffling.
 BROADCAST_ROWS = 200_000
 
@@ -41,6 +46,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
 SIBLINGS = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option", "optgroup": "option optgroup", "thead": "tbody tr td th", "tbody": "thead tbody tr td th", "tfoot": "tbody tr td th"}
 SIBLINGS = {k: frozenset(v.split()) for k, v in SIBLINGS.items()}
+#: Elements of running text: never slots.
+TEXT_TAGS = INLINE | frozenset("p h1 h2 h3 h4 h5 h6 hgroup ul ol dl li dt dd pre blockquote figure figcaption summary address legend".split())
 SCOPES = frozenset("html body article section div main table ul ol dl td th aside nav header footer form button".split())
 
 #: Elements that are never main text, by name, role, and words of class or id.
@@ -80,12 +87,13 @@ def _kind(tag: str, raw: str) -> tuple[str, int]:
 class Element:
     """An open element: its path's hash, its kind, and what it lies in."""
 
-    __slots__ = ("tag", "path", "main", "aside", "up", "depth")
+    __slots__ = ("tag", "path", "main", "aside", "up", "depth", "is_main")
 
     def __init__(self, tag: str, path: int, kind: int, up: Element | None):
         self.tag, self.path, self.up = tag, path, up
         self.depth = up.depth + 1 if up else 0
-        self.main = bool(up and up.main) or kind == 1 and not (up and up.aside)
+        self.is_main = kind == 1 and not (up and up.aside)
+        self.main = bool(up and up.main) or self.is_main
         # A page's header isn't main text, an article's own is.
         self.aside = bool(up and up.aside) or kind == 2 or tag == "header" and not self.main
 
@@ -146,91 +154,137 @@ def nodes(page: str) -> Iterator[tuple[Element, str | None]]:
         yield inner, None
 
 
-def page_tokens(page: str) -> tuple[dict[int, list[int]], bool]:
-    """Token -> [times, characters of main-like text below it, depth, parent's path, 1 for a text node]; whether the page has a main element."""
-    found: dict[int, list[int]] = {}
-    has_main = False
-    for el, text in nodes(page):
-        has_main |= el.main and not el.aside
+def _blocks(found: list[tuple[Element, str | None]]) -> Iterator[tuple[Element, list[str]]]:
+    """The pieces of text between two block boundaries, asides left out, and the block element that holds the first."""
+    holder: Element | None = None
+    pieces: list[str] = []
+    for el, text in [*found, (Element("", 0, 0, None), "")]:
+        if text == "":
+            if holder:
+                yield holder, pieces
+            holder, pieces = None, []
+        elif text and not el.aside:
+            pieces.append(text)
+            if not holder and not text.isspace():
+                holder = el
+                while holder.up and holder.tag in INLINE and not holder.is_main:
+                    holder = holder.up
+
+
+def _token(holder: Element, pieces: list[str]) -> int:
+    return _hash(" ".join("".join(pieces).split()), holder.path)
+
+
+def page_tokens(page: str) -> dict[int, list[int]]:
+    """Token -> [times, characters of main-like text below it, depth, parent's path, kind]: 0 for an element, 1 for a text block, 2 for an element of running text.
+
+    Token 0 is the page itself.
+    """
+    found: dict[int, list[int]] = {0: [1, 0, 0, 0, 3]}
+    known = list(nodes(page))
+    for el, text in known:
         if text is None:
-            found.setdefault(el.path, [0, 0, el.depth, el.up.path if el.up else 0, 0])[0] += 1
-        elif text and not el.aside and (plain := " ".join(text.split())):
-            found.setdefault(_hash(plain, el.path), [0, 0, el.depth, el.path, 1])[0] += 1
-            up = el
-            while up.up:
-                if up.path in found:
-                    found[up.path][1] += len(plain)
-                up = up.up
-    return found, has_main
+            found.setdefault(el.path, [0, 0, el.depth, el.up.path if el.up else 0, 2 if el.tag in TEXT_TAGS else 0])[0] += 1
+    for holder, pieces in _blocks(known):
+        found.setdefault(_token(holder, pieces), [0, 0, holder.depth, holder.path, 1])[0] += 1
+        n = len(" ".join("".join(pieces).split()))
+        up: Element | None = holder
+        while up:
+            found[up.path][1] += n
+            up = up.up
+    return found
 
 
 def host_templates(pages: DataFrame) -> DataFrame:
-    """(host, key, url, html) -> (host, main, constants): a row for each host whose pages have no main element of their own.
+    """(host, html) -> (host, all, main, constants): a row for each host.
 
-    main is the path of the main slot (null if none holds enough), constants the template's text nodes.
+    all counts the host's distinct pages, main is the path of the main slot (null if none holds enough), constants the template's text blocks.
+    Copies of a page are no evidence of a template, so they count as one.
     """
+    marked = pages.select("host", F.xxhash64("host", F.coalesce("html", F.lit(""))).alias("content"), "html")
+    contents = materialize(marked.groupBy("host", "content").agg(F.count("*").alias("copies")), "contents")
+    totals = contents.groupBy("host").agg(F.count("*").alias("all"))
+    copied = contents.where("copies > 1").select("content", "copies")
+    if copied.count() <= BROADCAST_COPIES:
+        copied = F.broadcast(copied)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns: list[list] = [[] for _ in range(8)]
-            for host, key, page in zip(*(batch.column(c).to_pylist() for c in ("host", "key", "html")), strict=True):
-                found, has_main = page_tokens(page or "")
-                # The page itself, as token 0; of pages that say what is main no more is needed.
-                rows = [(0, 1, 0, 0, 0, 2 if has_main else 1)] + ([] if has_main else [(t, *v) for t, v in found.items()])
-                for token, times, mass, depth, parent, kind in rows:
-                    mark = _hash(f"{key}:{times}", 1)
-                    for column, value in zip(columns, (host, token, mark, mass, depth, parent, kind, times), strict=True):
+            columns: list[list] = [[] for _ in range(9)]
+            for host, content, copies, page in zip(*(batch.column(c).to_pylist() for c in ("host", "content", "copies", "html")), strict=True):
+                for token, (times, mass, depth, parent, kind) in page_tokens(page or "").items():
+                    # So few bits that the sum over 2^25 pages is a long.
+                    mark = _hash(f"{content}:{times}", 1) >> 26
+                    for column, value in zip(columns, (host, token, mark, mass, depth, parent, kind, times == 1, copies), strict=True):
                         column.append(value)
             as_long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *map(as_long, columns[1:])], ["host", "token", "mark", "mass", "depth", "parent", "kind", "times"])
-
-    spec = "host string, token long, mark long, mass long, depth long, parent long, kind long, times long"
-    tokens = pages.select("host", "key", "html").mapInArrow(run, spec)
-    # An occurrence vector is named by the xor of a mark for each page and count.
-    sums = [F.bit_xor("mark").alias("vector"), F.count("*").alias("pages"), F.sum("mass").alias("mass"), F.first("depth").alias("depth"), F.first("parent").alias("parent"), F.first("kind").alias("kind")]
-    vectors = materialize(tokens.groupBy("host", "token", F.col("kind").alias("of")).agg(*sums), "tokens").drop("of")
-    totals = vectors.where("token = 0 and kind = 1").select("host", F.col("pages").alias("all"))
-    enough = (F.col("pages") >= F.col("all") * SUPPORT) & (F.col("pages") >= F.least(F.lit(PAGES), F.col("all")))
-    often = vectors.where("token <> 0").join(totals, "host").where(enough)
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *map(as_long, columns[1:])], ["host", "token", "mark", "mass", "depth", "parent", "kind", "once", "copies"])
+
+    spec = "host string, token long, mark long, mass long, depth long, parent long, kind long, once long, copies long"
+    tokens = marked.join(copied, "content", "left").select("host", "content", F.coalesce("copies", F.lit(1)).cast("long").alias("copies"), "html").mapInArrow(run, spec)
+    # An occurrence vector is named by the sum of a mark for each page and count; a page's copies share their page's count of one.
+    sums = [F.sum("mark").alias("vector"), F.round(F.sum(F.lit(1.0) / F.col("copies"))).cast("long").alias("pages"), F.sum("mass").alias("mass"), F.first("depth").alias("depth"), F.first("parent").alias("parent"), F.first("kind").alias("kind"), F.avg("once").alias("once")]
+    vectors = tokens.groupBy("host", "token").agg(*sums)
+    enough = (F.col("pages") >= F.col("all") * SUPPORT) & (F.col("pages") >= F.least(F.lit(PAGES), F.col("all"))) & ((F.col("kind") != 1) | (F.col("all") >= PAGES))
+    kept = materialize(vectors.join(totals, "host").where(enough), "tokens")
+    whole = kept.where("token = 0").select("host", F.col("mass").alias("whole"))
+    often = kept.where("token <> 0")
     members = F.count("*").over(Window.partitionBy("host", "vector"))
     valid = often.withColumn("members", members).where((F.col("members") > 1) | (F.col("pages") == F.col("all")))
     # Nested: the parent is in a valid class that is on as many pages at least, or is the root.
     parents = valid.select("host", F.col("token").alias("parent"), F.col("pages").alias("parent_pages"))
     template = valid.join(parents, ["host", "parent"], "left").where("parent = 0 or parent_pages >= pages")
-    whole = vectors.where("token <> 0 and kind = 0").groupBy("host").agg(F.max("mass").alias("whole"))
-    slots = template.where("kind = 0").join(whole, "host").where(F.col("mass") >= MAIN_SHARE * F.col("whole"))
+    slots = template.where((F.col("kind") == 0) & (F.col("once") >= ONCE)).join(whole, "host").where(F.col("mass") >= MAIN_SHARE * F.col("whole"))
     main = slots.groupBy("host").agg(F.max(F.struct("depth", "mass", "token"))["token"].alias("main"))
-    # A page's constants are no more than its text nodes, and each is on SUPPORT of the pages, so the list is bounded by two pages' nodes.
-    constants = template.where((F.col("kind") == 1) & (F.col("all") >= PAGES)).groupBy("host").agg(F.sort_array(F.collect_set("token")).alias("constants"))
-    return totals.select("host").join(main, "host", "left").join(constants, "host", "left")
+    # A page's constants are no more than its text blocks, and each is on SUPPORT of the pages, so the list is bounded by two pages' blocks.
+    constants = template.where("kind = 1").groupBy("host").agg(F.sort_array(F.collect_set("token")).alias("constants"))
+    return totals.join(main, "host", "left").join(constants, "host", "left")
 
 
-def main_text(page: str, main: int | None, constants: frozenset[int]) -> str:
-    """The text of a page's main slots: of its own main elements, else of the host's main slot, else of all that isn't aside."""
+def main_text(page: str, pages: int, main: int | None, constants: frozenset[int]) -> str:
+    """The text of a page's main slot without the host's constants; see the module for what names decide."""
     found = list(nodes(page))
+    blocks = list(_blocks(found))
     own = any(el.main and not el.aside for el, _ in found)
-    slot = None if own else main
-    if slot is not None and all(el.path != slot for el, _ in found):
+    slot = None if main is None or all(el.path != main for el, _ in found) else main
+    if own and pages < PAGES:
         slot = None
-    out: list[str] = []
-    for el, text in found:
-        if text is None:
-            continue
-        if text == "":
-            out.append(" ")
-        elif not el.aside and (el.main if own else slot is None or _inside(el, slot)):
-            if own or not constants or _hash(" ".join(text.split()), el.path) not in constants:
-                out.append(html_.unescape(text))
-    return " ".join("".join(out).split())
+    if slot is not None:
+        tops = [_within(holder, slot) for holder, _ in blocks]
+        # An article in the slot with most of its text is taken instead.
+        sizes = [(sum(map(len, pieces)), holder.main) for (holder, pieces), top in zip(blocks, tops, strict=True) if top]
+        size, of_main = sum(n for n, _ in sizes), sum(n for n, inner in sizes if inner)
+        taken = [bool(top) and (holder.main or 2 * of_main < size) for (holder, _), top in zip(blocks, tops, strict=True)]
+        # An article around the slot is taken whole.
+        around = {id(up) for top in tops if top and (up := _article(top))}
+        taken = [t or _below(holder, around) for (holder, _), t in zip(blocks, taken, strict=True)] if around else taken
+    if slot is None or not any(taken):
+        taken = [holder.main or not own for holder, _ in blocks]
+    out = ["".join(map(html_.unescape, pieces)) for (holder, pieces), t in zip(blocks, taken, strict=True) if t and (not constants or _token(holder, pieces) not in constants)]
+    return " ".join(" ".join(out).split())
+
+
+def _within(el: Element, path: int) -> Element | None:
+    """The element of this path that el is or lies in."""
+    up: Element | None = el
+    while up and up.path != path:
+        up = up.up
+    return up
+
+
+def _article(el: Element) -> Element | None:
+    """The innermost main element that el is or lies in."""
+    up: Element | None = el if el.main else None
+    while up and not up.is_main:
+        up = up.up
+    return up
 
 
-def _inside(el: Element, path: int) -> bool:
+def _below(el: Element, tops: set[int]) -> bool:
     up: Element | None = el
-    while up:
-        if up.path == path:
-            return True
+    while up and id(up) not in tops:
         up = up.up
-    return False
+    return up is not None
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -248,18 +302,17 @@ def extract(pages: DataFrame) -> DataFrame:
     url = F.coalesce(F.col("url"), F.lit(""))
     host = F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host"))
-    keyed = rows.select("host", F.concat_ws(":", F.col("page_id").cast("string"), "url").alias("key"), "html")
-    templates = materialize(host_templates(keyed), "templates")
+    templates = materialize(host_templates(rows.select("host", "html")), "templates")
     small = templates.select(F.coalesce(F.sum(F.lit(1) + F.coalesce(F.size("constants"), F.lit(0))), F.lit(0))).first()[0] <= BROADCAST_ROWS
     joined = rows.join(F.broadcast(templates) if small else templates, "host", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for page, main, constants in zip(*(batch.column(c) for c in ("html", "main", "constants")), strict=True):
+            for page, n, main, constants in zip(*(batch.column(c) for c in ("html", "all", "main", "constants")), strict=True):
                 slot = main.as_py()
                 some = frozenset(x & (1 << 64) - 1 for x in constants.as_py() or ())
-                texts.append(main_text(page.as_py() or "", None if slot is None else slot & (1 << 64) - 1, some))
+                texts.append(main_text(page.as_py() or "", n.as_py(), None if slot is None else slot & (1 << 64) - 1, some))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return joined.select("page_id", "url", "html", "main", "constants").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", "all", "main", "constants").mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -175,3 +175,19 @@ def test_deduced_template(spark):
         rows.append((k, f"http://plain.example/{k}", f"<html><body><table><tr><td>Home {word()}</td><td><div><span>Printed by the house</span>{body}</div></td><td>Call us</td></tr></table></body></html>"))
         want[k] = " ".join(paras)
     assert {r.page_id: r.text for r in html_extract.extract(pages_of(spark, rows)).collect()} == want
+
+
+def test_template_inside_articles(spark):
+    """Constants go from articles too; words of running text and copies of a page are none, and names alone tell hosts with few pages."""
+    rng = random.Random(9)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    rows, want = [], {}
+    for host, n in (("many", 9), ("few", 2), ("copies", 3)):
+        for k in range(n):
+            head, first, last = words(4), words(30), words(30)
+            page = f"<html><body><article><h1>{head}</h1><p class='by'>Printed by the house</p><div><p>{first} <a href='/'>{last}</a> and <b>so on</b></p><p>{last}</p></div></article><div>{words(4)}</div></body></html>"
+            for copy in range(5 if host == "copies" and k == 0 else 1):
+                i = len(rows)
+                rows.append((i, f"http://{host}.example/{i}", page))
+                want[i] = " ".join([head, *([] if host == "many" else ["Printed by the house"]), first, last, "and so on", last])
+    assert {r.page_id: r.text for r in html_extract.extract(pages_of(spark, rows)).collect()} == want
