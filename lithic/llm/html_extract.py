@@ -11,7 +11,7 @@ its elements otherwise are slots.
 The main slot is the deepest template container that is there once a page and holds most of the host's text; the
 constants in it are left out.  What elements say they are (article, nav, footer, form, ...) checks that: an article around the
 slot or with most of the slot's text is taken instead, and asides are never main.  Pages without
-the slot, and hosts with too few pages for a template, are told by such names alone.
+the slot are told by such names alone; on hosts with too few pages for a template, main elements come before the slot.
 """
 
 from __future__ import annotations
@@ -50,13 +50,15 @@ SIBLINGS = {k: frozenset(v.split()) for k, v in SIBLINGS.items()}
 TEXT_TAGS = INLINE | frozenset("p h1 h2 h3 h4 h5 h6 hgroup ul ol dl li dt dd pre blockquote figure figcaption summary address legend".split())
 SCOPES = frozenset("html body article section div main table ul ol dl td th aside nav header footer form button".split())
 
-#: Elements that are never main text, by name, role, and words of class or id.
-ASIDE = frozenset("head nav footer aside form script style noscript template svg math button select option textarea input iframe object canvas audio video menu dialog title".split())
-ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
+#: Elements that are never main text, by name and role.
+ASIDE = frozenset("head nav footer aside script style noscript template svg math button select option textarea input iframe object canvas audio video menu dialog title".split())
+ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
 MAIN = frozenset(["article", "main"])
+#: Elements that are taken for asides by a word of their class or id, unless the page's text says otherwise; see settle().
+COMMENT_WORDS = frozenset("comment comments respond reply replies disqus".split())
 ASIDE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup popup modal overlay "
-    "sidebar widget widgets nav navbar navigation menu menus breadcrumb breadcrumbs share sharing social related recommended recommendations comment comments respond reply replies disqus footer masthead "
+    "sidebar widget widgets nav navbar navigation menu menus breadcrumb breadcrumbs share sharing social related recommended recommendations footer masthead "
     "pagination pager toolbar login search skip".split()
 )
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.S)
@@ -68,39 +70,100 @@ def _hash(text: str, seed: int = 0) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "replace"), seed)
 
 
+#: Kinds of elements: articles, main elements, articles that may be comments; asides by standard, by a word, and comments by a word.
+NEITHER, ARTICLE, MAIN_PART, COMMENT_ARTICLE, NEVER, SOFT, COMMENTS = range(7)
+
+
 def _kind(tag: str, raw: str) -> tuple[str, int]:
-    """An element's name with its classes, and whether it is main (1), aside (2) or neither (0)."""
+    """An element's name with its classes, and its kind."""
     found = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(raw)} if "=" in raw or "hidden" in raw else {}
     name = f"{tag}.{found.get('class', '').strip().lower()}"
     role = found.get("role", "").lower()
     if tag in ASIDE or role in ASIDE_ROLES or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower():
-        return name, 2
+        return name, NEVER
+    words = () if tag in ("html", "body") else _WORDS.findall(f"{found.get('class', '')} {found.get('id', '')}".lower())
+    comments = not COMMENT_WORDS.isdisjoint(words)
     if tag in MAIN or role in ("main", "article"):
-        return name, 1
-    if tag not in ("html", "body"):
-        words = _WORDS.findall(f"{found.get('class', '')} {found.get('id', '')}".lower())
-        if not ASIDE_WORDS.isdisjoint(words):
-            return name, 2
-    return name, 0
+        return name, MAIN_PART if tag == "main" or role == "main" else COMMENT_ARTICLE if comments else ARTICLE
+    if comments:
+        return name, COMMENTS
+    return name, SOFT if tag == "form" or role == "form" or not ASIDE_WORDS.isdisjoint(words) else NEITHER
 
 
 class Element:
-    """An open element: its path's hash, its kind, and what it lies in."""
+    """An open element: its path's hash, its kind, and what it lies in; main, aside and is_main are settle()'s."""
 
-    __slots__ = ("tag", "path", "main", "aside", "up", "depth", "is_main")
+    __slots__ = ("tag", "path", "kind", "up", "depth", "never", "main", "aside", "is_main", "mass", "most")
 
     def __init__(self, tag: str, path: int, kind: int, up: Element | None):
-        self.tag, self.path, self.up = tag, path, up
+        self.tag, self.path, self.kind, self.up = tag, path, kind, up
         self.depth = up.depth + 1 if up else 0
-        self.is_main = kind == 1 and not (up and up.aside)
-        self.main = bool(up and up.main) or self.is_main
-        # A page's header isn't main text, an article's own is.
-        self.aside = bool(up and up.aside) or kind == 2 or tag == "header" and not self.main
+        self.never = bool(up and up.never) or kind == NEVER
+        self.main = self.aside = self.is_main = False
+        #: Characters of text in it, and in the largest article or main element that it is or holds.
+        self.mass = self.most = 0
+
+    def inside(self, *kinds: int) -> bool:
+        up = self.up
+        while up and up.kind not in kinds:
+            up = up.up
+        return up is not None
+
+
+def settle(found: list[tuple[Element, str | None]]) -> list[tuple[Element, str | None]]:
+    """Tells which of a page's elements are main and which are asides, from their kinds and how much text they hold.
+
+    A word of class or id, or being a form or the page's header, makes an element an aside unless it holds the page's largest article or,
+    on pages without one, most of the text; inside an article, unless it holds most of that.  Comments
+    never count by their own text.  If all of a page's text were in such asides, none of them is one.
+    """
+    elements = [el for el, text in found if text is None]
+    if not elements:
+        return found
+    root = elements[0]
+    while root.up:
+        root = root.up
+    for el, text in found:
+        if text and not el.never:
+            el.mass += len(" ".join(text.split()))
+    for el in reversed(elements):
+        el.up.mass += el.mass
+    # Articles with comment words are comments in articles, and in comments beside an article.
+    article = any(el.kind == ARTICLE and el.mass and not el.inside(COMMENTS) for el in elements)
+    for el in elements:
+        if el.kind == COMMENT_ARTICLE:
+            el.kind = COMMENTS if el.inside(ARTICLE) or article and el.inside(COMMENTS) else ARTICLE
+    for el in reversed(elements):
+        if el.kind in (ARTICLE, MAIN_PART):
+            el.most = el.mass
+        el.up.most = max(el.up.most, el.most)
+    within: dict[int, int] = {}
+    for el in elements:
+        up = el.up
+        over = within.get(id(up))
+        kind = SOFT if el.tag == "header" and el.kind == NEITHER and not up.main else el.kind
+        el.aside = up.aside or el.never
+        if not el.aside and kind in (SOFT, COMMENTS):
+            if over is None:
+                kept = root.most and el.most == root.most or not root.most and kind == SOFT and 2 * el.mass > root.mass
+            else:
+                kept = 2 * el.most > over or kind == SOFT and 2 * el.mass > over
+            el.aside = not kept
+        el.is_main = not el.aside and kind in (ARTICLE, MAIN_PART)
+        el.main = not el.aside and (up.main or el.is_main)
+        if el.main:
+            within[id(el)] = el.mass if el.is_main else over
+    if root.mass and not any(text and not text.isspace() and not el.aside for el, text in found):
+        for el in elements:
+            el.aside = el.never
+            el.is_main = not el.aside and el.kind in (ARTICLE, MAIN_PART)
+            el.main = not el.aside and (el.up.main or el.is_main)
+    return found
 
 
 def nodes(page: str) -> Iterator[tuple[Element, str | None]]:
     """Each element as it opens (with None), and each text node with the element that holds it; ("", element) where a block begins or ends."""
-    root = Element("", 0, 0, None)
+    root = Element("", 0, NEITHER, None)
     at, here = 0, root
     end = len(page)
     known: dict[tuple[int, str, str], tuple[int, int]] = {}
@@ -158,7 +221,7 @@ def _blocks(found: list[tuple[Element, str | None]]) -> Iterator[tuple[Element,
     """The pieces of text between two block boundaries, asides left out, and the block element that holds the first."""
     holder: Element | None = None
     pieces: list[str] = []
-    for el, text in [*found, (Element("", 0, 0, None), "")]:
+    for el, text in [*found, (Element("", 0, NEITHER, None), "")]:
         if text == "":
             if holder:
                 yield holder, pieces
@@ -181,7 +244,7 @@ def page_tokens(page: str) -> dict[int, list[int]]:
     Token 0 is the page itself.
     """
     found: dict[int, list[int]] = {0: [1, 0, 0, 0, 3]}
-    known = list(nodes(page))
+    known = settle(list(nodes(page)))
     for el, text in known:
         if text is None:
             found.setdefault(el.path, [0, 0, el.depth, el.up.path if el.up else 0, 2 if el.tag in TEXT_TAGS else 0])[0] += 1
@@ -243,7 +306,7 @@ def host_templates(pages: DataFrame) -> DataFrame:
 
 def main_text(page: str, pages: int, main: int | None, constants: frozenset[int]) -> str:
     """The text of a page's main slot without the host's constants; see the module for what names decide."""
-    found = list(nodes(page))
+    found = settle(list(nodes(page)))
     blocks = list(_blocks(found))
     own = any(el.main and not el.aside for el, _ in found)
     slot = None if main is None or all(el.path != main for el, _ in found) else main

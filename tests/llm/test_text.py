@@ -191,3 +191,33 @@ def test_template_inside_articles(spark):
                 rows.append((i, f"http://{host}.example/{i}", page))
                 want[i] = " ".join([head, *([] if host == "many" else ["Printed by the house"]), first, last, "and so on", last])
     assert {r.page_id: r.text for r in html_extract.extract(pages_of(spark, rows)).collect()} == want
+
+
+def test_wrappers_are_no_asides(spark):
+    """Class words and forms around the main text don't drop it; comments are none, in articles or beside them."""
+    body = "<article><h1>Head</h1><p>Body text of some length.</p></article>"
+    whole = "Head Body text of some length."
+    teasers = "<div class='related'>" + "<article>Other story</article>" * 9 + "</div>"
+    comment = "<article class='comment'><p>" + "me too " * 30 + "</p></article>"
+    cases = [
+        (f"<div class='content-with-sidebar'>{body}</div>", whole),
+        (f"<div class='layout no-sidebar has-comments'>{body}<div class='sidebar'>Side</div>{teasers}</div>", whole),
+        (f"<div id='site-search-page'>{body}</div>", whole),
+        (f"<form id='aspnetForm'><div class='widget'>Side</div>{body}</form>", whole),
+        (f"<main><div class='has-comments'>{body}</div></main>", whole),
+        (f"<div class='layout with-sidebar'><h1>Head</h1><p>Body text of some length.</p><div class='comments'>{'me too ' * 2}</div></div>", whole),
+        (f"<article><h1>Head</h1><p>Body text of some length.</p>{comment}</article>", whole),
+        (f"{body}<div id='comments'>{comment}</div>{teasers}", whole),
+        ("<div class='sidebar'><article>Tease</article></div><div class='has-sidebar'>" + body + "</div>", whole),
+        ("<main><article class='post comments-open'><p>All of it</p></article></main>", "All of it"),
+        (f"<p>{whole}</p><form>Search Go</form><div class='login'>Log in</div>", whole),
+        ("<div class='comments'><p>nothing else</p></div>", "nothing else"),
+        ("<nav>Menu</nav><form><footer>us</footer></form>", ""),
+    ]
+    # A host for each, then one host of several pages of each.
+    rows = [(k, f"http://h{k}.example", f"<html><body>{h}</body></html>") for k, (h, _) in enumerate(cases)]
+    rows += [(100 * (k + 1) + n, f"http://m{k}.example/{n}", f"<html><body>{h.replace('some', 'some' + 'abcdef'[n])}</body></html>") for k, (h, _) in enumerate(cases[:5]) for n in range(6)]
+    want = {k: t for k, (_, t) in enumerate(cases)}
+    want |= {100 * (k + 1) + n: f"Body text of some{'abcdef'[n]} length." for k in range(5) for n in range(6)}
+    got = {r.page_id: r.text for r in html_extract.extract(pages_of(spark, rows)).collect()}
+    assert got == want
