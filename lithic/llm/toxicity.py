@@ -13,7 +13,7 @@ that both classes share.  Else the many rare words of ordinary prose, and how a
 language happens to be spread over the labels, would drown the few that matter.
 
 Training takes a bounded sample of labelled rows.  Contexts are counted by Spark;
-the entries kept, MOST_ENTRIES of each level at most, make the model that is
+all entries that differ, which the sample bounds, make the model that is
 broadcast.  What an entry doesn't get goes to the level below, so the distributions stay whole.
 """
 
@@ -34,7 +34,6 @@ from lithic.llm.words import PUNCT, U64, mix, span_hashes, text_slices, tokens_o
 
 PER_CLASS = 6000
 G2, RATIO = 15.0, 5.0
-MOST_ENTRIES = 200_000
 STEM = 4
 DISCOUNT = 0.75
 #: The training rows are dealt into so many parts; each is scored by a model of the others to fit the logistic function.
@@ -150,7 +149,7 @@ def _totals(df: DataFrame) -> np.ndarray:
 def _entries(df: DataFrame, totals: np.ndarray, key: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, np.ndarray]]:
     """The rows that differ: keys, counts (rows, parts, classes), whether kept in each part, and all columns."""
     kept = df.withColumn("kept", _differs(totals)).where("kept > 0")
-    found = kept.orderBy(F.desc(F.col(f"n{PARTS}_0") + F.col(f"n{PARTS}_1")), key).limit(MOST_ENTRIES).toArrow()
+    found = kept.withColumn("both", F.col(f"n{PARTS}_0") + F.col(f"n{PARTS}_1")).toArrow().sort_by([("both", "descending"), (key, "ascending")])
     column = {c: found.column(c).to_numpy() for c in found.column_names}
     counts = np.stack([column[f"n{p}_{c}"] for p, c in _CELLS], 1).reshape(-1, PARTS + 1, 2).astype(float)
     return column[key].view(U64), counts, (column["kept"][:, None] >> np.arange(PARTS + 1)) & 1 == 1, column

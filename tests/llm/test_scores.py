@@ -203,6 +203,20 @@ def test_top_k_in_blocks(spark, monkeypatch):
     assert sorted(map(tuple, topk.top_k(df, df.where("vec_id % 5 = 0"), k=3).collect())) == brute_top(rows, 3)
 
 
+# ---- toxicity's entries ------------------------------------------------------
+
+
+def test_all_entries_are_kept(spark):
+    """A level has as many entries as differ between the classes, the most frequent first."""
+    n, alike = 200_500, 500
+    cells = {f"n{p}_{c}": (F.when(F.col("pair") < alike, 30).otherwise(c * 30 + F.col("pair") % 2)).cast("long") for p, c in toxicity._CELLS}
+    df = spark.range(n + alike).select((F.col("id")).alias("pair")).withColumns(cells)
+    keys, counts, kept, column = toxicity._entries(df, np.full((toxicity.PARTS + 1, 2), 1e9), "pair")
+    assert len(keys) == n and kept.all() and counts.shape == (n, toxicity.PARTS + 1, 2)
+    odd = [k for k in range(alike, n + alike) if k % 2]
+    assert keys[: len(odd)].tolist() == odd and set(column["pair"].tolist()) == set(range(alike, n + alike))
+
+
 # ---- pipeline ----------------------------------------------------------------
 
 
