@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -91,6 +92,7 @@ RECORDS: tuple[TurnList | Fields, ...] = (
     Fields("instruction", (("user", ("instruction",)), ("assistant", ("output",)))),
     Fields("instruction_input", (("user", ("instruction", "input")), ("assistant", ("output",)))),
     Fields("instruction_system", (("system", ("system",)), ("user", ("instruction",)), ("assistant", ("output",)))),
+    Fields("instruction_input_system", (("system", ("system",)), ("user", ("instruction", "input")), ("assistant", ("output",)))),
     Fields("prompt_completion", (("user", ("prompt",)), ("assistant", ("completion",)))),
     Fields("prompt_response", (("user", ("prompt",)), ("assistant", ("response",)))),
     Fields("prompt_response_system", (("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",)))),
@@ -151,7 +153,10 @@ def canonical_records(df: DataFrame, column: str, records: Sequence[TurnList | F
     """df with layout_fingerprint, layout (the mapping's name) and turns (array<struct<role, text>>).
 
     column holds JSON records of any mix of layouts.  A field that is absent or
-    null is no part of the fingerprint.  A null or broken record, or one of an unknown layout,
+    null is no part of the fingerprint.  A record whose fingerprint no mapping has, as
+it has fields of several layouts or nulls in its own, goes by the mapping of most paths that are
+all present, else by that of most fields that are all named and not all null.
+A null or broken record, or one of an unknown layout,
     keeps its row with null layout and turns.  Null roles and texts in a known layout are empty.
     Existing columns of these three names are replaced; repeated rows stay.
     """
@@ -167,9 +172,21 @@ def canonical_records(df: DataFrame, column: str, records: Sequence[TurnList | F
     print_of = F.sha2(F.concat_ws("\n", *[F.when(present(p), F.lit(p)) for p in known]), 256)
     parsed = parsed.withColumn("layout_fingerprint", print_of)
     is_ = {m.name: F.col("layout_fingerprint") == fingerprint(m.paths()) for m in records}
-    layout = F.coalesce(*[F.when(is_[m.name], F.lit(m.name)) for m in records])
-    turns = F.coalesce(*[F.when(is_[m.name], m.turns(root)) for m in records])
-    return parsed.withColumns({"layout": layout, "turns": turns}).drop(root)
+    keys = F.json_object_keys(F.col(f"`{column}`"))
+
+    def named(path: str) -> Column:
+        return present(path) if "[]." in path else F.array_contains(keys, path)
+
+    every = lambda found: reduce(lambda a, b: a & b, found)
+    some = lambda found: reduce(lambda a, b: a | b, found)
+    larger = sorted(records, key=lambda m: -len(set(m.paths())))
+    fits = [(m, is_[m.name]) for m in records]
+    fits += [(m, every(present(p) for p in m.paths())) for m in larger]
+    fits += [(m, every(named(p) for p in m.paths()) & some(present(p) for p in m.paths())) for m in larger]
+    # Only the name is sought through all tests; the turns go by it.
+    parsed = parsed.withColumn("layout", F.coalesce(*[F.when(fit, F.lit(m.name)) for m, fit in fits]))
+    turns = F.coalesce(*[F.when(F.col("layout") == m.name, m.turns(root)) for m in records])
+    return parsed.withColumn("turns", turns).drop(root)
 
 
 def escape(text: Column) -> Column:

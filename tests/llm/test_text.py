@@ -61,6 +61,24 @@ def test_chat_layouts(spark):
         chat_format.table_mapping(df)
 
 
+def test_chat_records_that_fit_a_mapping(spark):
+    """Records with fields of several layouts, or nulls in their own, keep their turns."""
+    said = [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]
+    records = [
+        ({"prompt": "p", "messages": said}, "messages", [("user", "q"), ("assistant", "a")]),
+        ({"prompt": "p", "response": "r", "question": "x"}, "prompt_response", [("user", "p"), ("assistant", "r")]),
+        ({"system": "s", "instruction": "do", "input": "it", "output": "done"}, "instruction_input_system", [("system", "s"), ("user", "do\n\nit"), ("assistant", "done")]),
+        ({"instruction": "do", "output": None}, "instruction", [("user", "do"), ("assistant", "")]),
+        ({"system": "s", "prompt": "p", "response": None}, "prompt_response_system", [("system", "s"), ("user", "p"), ("assistant", "")]),
+        ({"question": "x", "answer": "y", "prompt": "p", "completion": None}, "question_answer", [("user", "x"), ("assistant", "y")]),
+        ({"prompt": None, "completion": None}, None, None),
+        ({"prompt": "p"}, None, None),
+    ]
+    df = spark.createDataFrame([(k, json.dumps(r)) for k, (r, _, _) in enumerate(records)], "id long, raw string")
+    got = {r.id: r for r in chat_format.canonical_records(df, "raw").collect()}
+    assert [(got[k].layout, got[k].turns and [(t.role, t.text) for t in got[k].turns]) for k in range(len(records))] == [(m, t) for _, m, t in records]
+
+
 # ---- token counts and packing ------------------------------------------------
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
