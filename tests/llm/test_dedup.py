@@ -70,6 +70,14 @@ def test_same_groups_as_brute_force(spark, keys):
     assert sorted(map(tuple, got), key=repr) == sorted(brute(rows, 4), key=repr)
 
 
+def test_near_groups_as_brute_force(spark):
+    rng = random.Random(12)
+    texts = edited_copies(rng, 4, 25, 90) + ["", None, " \n", "One two", "one TWO", "One two three"] + ["same words over and over again"] * 5
+    rows = [(k * 7 % 1000, t) for k, t in enumerate(texts)]
+    got = fingerprint.near_groups(docs_of(spark, rows)).select("doc_id", "n_shingles", "component_id", "kept").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(brute(rows, fingerprint.SHINGLE), key=repr)
+
+
 def test_edge_rows(spark):
     rows = [(7, "a b c d e f"), (7, "a b c d e f"), (None, "a b c d e f"), (None, "q"), (3, "A B c d e f"), (9, None)]
     got = sorted(map(tuple, minhash.near_duplicates(docs_of(spark, rows)).select("doc_id", "component_id", "kept").collect()), key=repr)
