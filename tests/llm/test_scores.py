@@ -232,3 +232,50 @@ def test_pipeline(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 4096").count() == 0
     assert out.agg(F.sum("length")).first()[0] > 0
+
+
+def test_stages_as_plain_python(spark, tmp_path):
+    """Each stage's rows, and run()'s, against plain versions on a small corpus."""
+    import corpus_pipeline
+    import public_tokenizers
+    import pyarrow as pa
+    from test_dedup import brute
+    from tokenizers import Tokenizer
+
+    docs, labels = made_corpus(spark)
+    rows = [tuple(r)[:5] for r in docs.collect()]
+    # Near and exact copies of some, in two sources.
+    rows += [(1000 + k, rows[k][1] + (" copy" if k % 2 else ""), "en", "t", 0) for k in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    at = spark.read.parquet(f"{tmp_path}/documents.parquet").cache()
+    stages, held = dict(corpus_pipeline.STAGES), lambda df: [(r.doc_id, r.text) for r in df.collect()]
+    for name, module, keep in (("toxicity", toxicity, lambda x: x < 0.7), ("quality_classifier", quality, lambda x: x >= 0.3)):
+        before = held(at)
+        score = module.scores(pa.array([t for _, t in before]), module.fit(at, labels))
+        at = stages[name](spark, at, str(tmp_path)).cache()
+        assert sorted(held(at)) == sorted(d for d, x in zip(before, score, strict=True) if keep(x)), name
+        assert 0 < at.count() < len(before), name
+    before = held(at)
+    at = stages["minhash_near_dedup"](spark, at, str(tmp_path)).cache()
+    assert sorted(i for i, _ in held(at)) == sorted(i for i, _, _, kept in brute(before, 5) if kept)
+    assert at.count() < len(before)
+    sizes, texts = {}, dict(held(at))
+    for r in at.collect():
+        sizes[r.source] = sizes.get(r.source, 0) + len(r.text.split())
+    at = stages["source_mixing"](spark, at, str(tmp_path)).cache()
+    mixed = at.collect()
+    assert all(texts[r.doc_id].startswith(r.text) for r in mixed)
+    taken = {s: sum(len(r.text.split()) for r in mixed if r.source == s) for s in sizes}
+    assert taken == {s: int(t + 0.5) for s, t in brute_targets(sizes).items()}
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    want = {}
+    for r in mixed:
+        want[r.doc_id] = want.get(r.doc_id, 0) + len(tokenizer.encode(r.text, add_special_tokens=False).ids) + 1
+    for out in (stages["packing"](spark, at, str(tmp_path)), corpus_pipeline.run(spark, str(tmp_path))):
+        got = {}
+        for r in out.collect():
+            got[r.doc_id] = got.get(r.doc_id, 0) + r.length
+        assert got == want
