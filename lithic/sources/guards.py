@@ -7,8 +7,9 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lithic.plans.model import Model
 from lithic.plans.resolve import InvalidData
@@ -29,7 +30,7 @@ class Limits:
     max_column_chunks: int = 1_000_000
     max_footer_bytes: int = 64 * 1024 * 1024
     #: Read every page header too (dictionary sizes, page sizes); costs a seek for each page.
-    check_pages: bool = False
+    check_pages: bool = True
 
 
 _WIDTH = {"BOOLEAN": 1, "INT32": 4, "INT64": 8, "FLOAT": 4, "DOUBLE": 8, "INT96": 12, "BYTE_ARRAY": 16, "FIXED_LEN_BYTE_ARRAY": 16}
@@ -162,7 +163,7 @@ def page_fields(data: bytes, at: int = 0) -> tuple[dict[int, object], int]:
 
 def _check_pages(path: str, f: pa.NativeFile, chunk: pq.ColumnChunkMetaData, limits: Limits) -> None:
     """Page sizes, growth and dictionary entries of a column chunk, from its page headers."""
-    at = min(x for x in (chunk.dictionary_page_offset, chunk.data_page_offset) if x)
+    at = min((x for x in (chunk.dictionary_page_offset, chunk.data_page_offset) if x), default=0)
     end = at + chunk.total_compressed_size
     while at < end:
         f.seek(at)
@@ -205,13 +206,37 @@ def check_files(spark: SparkSession, path: str | list[str], limits: Limits) -> l
     return [(r["path"], r["schema"]) for r in rows]
 
 
+def _has_text(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_has_text(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _has_text(kind.elementType)
+    if isinstance(kind, T.MapType):
+        return _has_text(kind.keyType) or _has_text(kind.valueType)
+    return isinstance(kind, (T.StringType, T.BinaryType))
+
+
+def _longest(at: Column, kind: T.DataType) -> Column:
+    """Bytes of the longest text in a value that has any, at any depth; null if all are null."""
+    if isinstance(kind, T.StructType):
+        found = [_longest(at.getField(f.name), f.dataType) for f in kind.fields if _has_text(f.dataType)]
+        return F.greatest(*found) if len(found) > 1 else found[0]
+    if isinstance(kind, T.ArrayType):
+        return F.array_max(F.transform(at, lambda x: _longest(x, kind.elementType)))
+    if isinstance(kind, T.MapType):
+        parts = [(F.map_keys(at), kind.keyType), (F.map_values(at), kind.valueType)]
+        found = [_longest(x, T.ArrayType(k)) for x, k in parts if _has_text(k)]
+        return F.greatest(*found) if len(found) > 1 else found[0]
+    return F.octet_length(at)
+
+
 def guard_rows(df: DataFrame, model: Model, limits: Limits, nulls: bool = True) -> DataFrame:
-    """df whose rows fail when read if a text is too long or a required column holds a null."""
+    """df whose rows fail when read if a text, in structs and lists too, is too long or a required column holds a null."""
     checks = []
     for c in model.columns:
         at = F.col(f"`{c.name}`")
-        if c.kind == "leaf" and c.leaf.name in ("string", "binary"):
-            size = F.octet_length(at)
+        if _has_text(df.schema[c.name].dataType):
+            size = _longest(at, df.schema[c.name].dataType)
             checks.append(F.when(size > limits.max_string_bytes, F.raise_error(F.concat(F.lit(f"column '{c.name}': a value of "), size.cast("string"), F.lit(f" bytes; the limit is {limits.max_string_bytes}")))))
         if nulls and c.kind == "leaf" and not c.nullable:
             checks.append(F.when(at.isNull(), F.raise_error(F.lit(f"required column '{c.name}' holds a null"))))

@@ -249,6 +249,29 @@ def test_guards(spark, tmp_path):
             scan(spark, Base, str(tmp_path / f"{name}.parquet")).to_df()
 
 
+def test_guards_by_default(spark, tmp_path):
+    """Page bounds need no option, and texts in structs and lists count."""
+    from lithic.sources.guards import guard_rows
+
+    at = str(tmp_path / "g.parquet")
+    pq.write_table(pa.table({"id": pa.array(range(1000), pa.int32()), "name": ["x" * 100] * 1000, "score": [1.0] * 1000}), at)
+    for limits in ({"max_dictionary_entries": 0}, {"max_page_bytes": 10}):
+        with pytest.raises(InvalidData):
+            scan(spark, Base, at).with_options(ReadOptions(limits=Limits(**limits))).to_array()
+
+    class Column:
+        name, kind, nullable = "v", "struct", True
+
+    class Nested:
+        columns = [Column]
+
+    for kind, value in (("struct<a:int,b:array<string>>", (1, ["ok", None, "x" * 100])), ("array<struct<s:string,t:string>>", [("ok", "x" * 100), None]), ("map<string,int>", {"x" * 100: 1})):
+        df = spark.createDataFrame([(value,), (None,)], f"v {kind}")
+        assert guard_rows(df, Nested, Limits(max_string_bytes=100)).count() == 2
+        with pytest.raises(Exception, match="100 bytes"):
+            guard_rows(df, Nested, Limits(max_string_bytes=99)).collect()
+
+
 def test_transforms(spark):
     df = spark.createDataFrame([(-1500,), (1500,), (70_000,)], "v long")
     got = df.select(tr.truncated(F.col("v"), 1000).alias("t"), tr.narrowed(F.col("v"), 16).alias("n"), tr.ticks_to_micros(tr.micros_to_ticks(F.col("v"))).alias("m"), tr.level(F.col("v")).alias("l")).collect()
