@@ -1,29 +1,39 @@
 """Packing token sequences by best-fit decreasing.
 
-Each task packs the documents of its own input split, so nothing is shuffled and
-no group of documents has to meet.  A document's full windows become sequences
+Each task packs the documents of its own input split: a document's full windows become sequences
 of their own; what is left of it is placed, longest first, in the open window
 with the least room that still takes it, found in a segment tree over room.
+Texts are never shuffled.  Windows that a task leaves with much room are taken apart again,
+and their pieces, rows of five numbers, are dealt out anew and packed together, so small splits
+cost no padding either.
 """
 
 from __future__ import annotations
 
 import os
-import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lithic.llm.store import materialize
 
 WINDOW = 4096
-#: Remainders that a task holds before it packs them; about 100 MB.
-HELD = 400_000
-#: Words whose ids a worker remembers, once more than that in all.
-REMEMBERED = 400_000
-PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+#: Remainders that a task holds before it places them (five numbers each); open windows stay open for later ones.
+HELD = 1 << 20
+#: A task's windows with more room than a window's part of this are packed again with those of other tasks.
+ROOMY = 32
+#: Pieces that one task packs again, about.
+AGAIN = 200_000
+#: Words whose ids a worker remembers, and bytes of text that it looks at together.
+REMEMBERED, SLICE = 1_000_000, 1 << 22
+NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+PACKED = ", ".join(f"{n} long" for n in NAMES)
 
 
 class Rooms:
@@ -62,11 +72,14 @@ class Rooms:
         return self.open[room].pop(), room
 
 
-def best_fit_decreasing(lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """For each length (1 to window) its window and offset, and how many windows there are. Equal lengths keep their order."""
+def best_fit_decreasing(lengths: np.ndarray, window: int, rooms: Rooms | None = None, windows: int = 0) -> tuple[np.ndarray, np.ndarray, int]:
+    """For each length (1 to window) its window and offset, and how many windows there are. Equal lengths keep their order.
+
+    rooms has the windows that are open already, windows is how many there were.
+    """
     where = np.zeros(len(lengths), np.int64)
     offset = np.zeros(len(lengths), np.int64)
-    rooms, windows = Rooms(window), 0
+    rooms = rooms or Rooms(window)
     for k in np.argsort(-lengths, kind="stable").tolist():
         length = int(lengths[k])
         if found := rooms.take(length):
@@ -79,125 +92,217 @@ def best_fit_decreasing(lengths: np.ndarray, window: int) -> tuple[np.ndarray, n
     return where, offset, windows
 
 
-_encoders: dict[str, Callable[[list[str]], list[bytes]]] = {}
-#: A full stop or comma that ends a word stands alone for the tokenizer; parted, the word is known already.
-_ENDS = re.compile(r"(?<=[a-z])([.,])(?=[ \n]|\Z)")
-
+def gather(values: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """values[first : first + count] of each row, one after the other."""
+    ends = np.cumsum(count)
+    at = np.repeat(first - (ends - count), count)
+    at += np.arange(len(at))
+    return values[at]
 
-def _cut(text: str) -> list[str]:
-    """Parts of a text that are tokenized each by itself."""
-    low = text if "\u03a3" in text else text.lower()  # a sigma's small form depends on its place
-    return _ENDS.sub(r" \1", low).replace("\n", " ").split(" ")
 
+class Encoder:
+    """Texts to token ids, for a word-level BPE that lower-cases, marks word ends and drops white space.
 
-def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
-    """A function from texts to their ids, each as little-endian uint32 bytes.
-
-    For a word-level BPE that lower-cases, marks word ends and drops white space: no
-    piece spans a space or a line break, so texts are cut there and a part that was seen lately
-    isn't encoded again.  The strings of special tokens in a text are ordinary text.
+    No piece spans a space or a line break, so texts are cut there and each distinct part is
+    encoded once: parts are numbered by a hash table in Arrow, and a text's ids are gathered by number.  A full
+    stop or comma that ends a word stands alone for the tokenizer, so it is encoded alone.  The strings of special tokens in a
+    text are ordinary text.  Beyond REMEMBERED words only those in use stay known.
     """
-    if path in _encoders:
-        return _encoders[path]
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    ends = np.zeros(tokenizer.get_vocab_size(), bool)
-    for piece, at in tokenizer.get_vocab().items():
-        ends[at] = piece.endswith("</w>")
-    known: dict[str, bytes] = {"": b""}
-    older: dict[str, bytes] = {}
-
-    def one_by_one(words: list[str]) -> None:
-        for word, got in zip(words, tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            known[word] = np.array(got.ids, "<u4").tobytes()
-
-    def many(words: list[str]) -> None:
-        """Words of letters in lines of 100; each should end with one piece that ends a word."""
-        lines = [words[k : k + 100] for k in range(0, len(words), 100)]
-        for line, got in zip(lines, tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
-            ids = np.array(got.ids, "<u4")
-            stops = (4 * np.flatnonzero(ends[ids]) + 4).tolist()
-            if len(stops) == len(line) and stops[-1] == 4 * len(ids):
-                raw = ids.tobytes()
-                known.update(zip(line, [raw[i:j] for i, j in zip([0, *stops[:-1]], stops, strict=True)], strict=True))
+
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for piece, at in self.tokenizer.get_vocab().items():
+            self.ends[at] = piece.endswith("</w>")
+        stops = {c: self._plain([c])[0] for c in ".,"}
+        self.stops = {c: int(ids[0]) for c, ids in stops.items() if len(ids) == 1}
+        #: Known words, and where each one's ids are in ids.
+        self.words = pa.array([""], pa.string())
+        self.first, self.count, self.ids = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def _plain(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(got.ids, np.uint32) for got in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and for each word where its own begin in them and how many they are.
+
+        Words of letters go in lines, where each should end with one piece that ends a word; a line that doesn't add up goes word by word.
+        """
+        first, count = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        letters = np.array([k for k, w in enumerate(words) if w.isalpha()], np.int64)
+        alone = np.array([k for k, w in enumerate(words) if not w.isalpha()], np.int64)
+        at, parts = 0, [np.zeros(0, np.uint32)]
+        lines = [letters[k : k + 200] for k in range(0, len(letters), 200)]
+        for line, ids in zip(lines, self._plain([" ".join([words[k] for k in line.tolist()]) for line in lines]), strict=True):
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(line) and stops[-1] == len(ids):
+                first[line] = at + np.r_[0, stops[:-1]]
+                count[line] = at + stops - first[line]
+                parts.append(ids)
+                at += len(ids)
             else:
-                one_by_one(line)
-
-    def encode(texts: list[str]) -> list[bytes]:
-        nonlocal known, older
-        parts = list(map(_cut, texts))
-        new = set().union(*parts).difference(known)
-        if len(known) + len(new) > REMEMBERED:
-            # What was asked for since the last time stays one time more.
-            known, older = {"": b""}, known
-            new = set().union(*parts) - {""}
-        again = new.intersection(older)
-        known.update(zip(again, map(older.__getitem__, again), strict=True))
-        fresh = new - again
-        letters = [w for w in fresh if w.isalpha()]
-        many(letters)
-        one_by_one(list(fresh.difference(letters)))
-        return [b"".join(map(known.__getitem__, p)) for p in parts]
-
-    _encoders[path] = encode
-    return encode
+                alone = np.append(alone, line)
+        own = self._plain([words[k] for k in alone.tolist()])
+        count[alone] = [len(ids) for ids in own]
+        first[alone] = at + np.cumsum(count[alone]) - count[alone]
+        return np.concatenate([*parts, *own]), first, count
+
+    def _numbers(self, words: pa.Array) -> np.ndarray:
+        """The words' numbers; unknown ones are encoded and get the next numbers."""
+        at = pc.index_in(words, value_set=self.words)
+        new = words.filter(pc.is_null(at)).dictionary_encode()
+        at = pc.fill_null(at, -1).to_numpy().copy()
+        if len(new):
+            if len(self.words) + len(new.dictionary) > REMEMBERED:
+                kept, own = np.unique(np.r_[0, at[at >= 0]], return_inverse=True)
+                ids = gather(self.ids, self.first[kept], self.count[kept])
+                self.words, self.count, self.ids = self.words.take(pa.array(kept)), self.count[kept], ids
+                self.first = np.cumsum(self.count) - self.count
+                at[at >= 0] = own[1:]
+            at[at < 0] = len(self.words) + new.indices.to_numpy()
+            ids, first, count = self._encoded(new.dictionary.to_pylist())
+            self.first, self.count = np.r_[self.first, len(self.ids) + first], np.r_[self.count, count]
+            self.ids, self.words = np.r_[self.ids, ids], pa.concat_arrays([self.words, new.dictionary])
+        return at
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and how many each has. Null texts have none."""
+        low = pc.replace_substring(pc.ascii_lower(texts.fill_null("")), "\n", " ")
+        parts = pc.split_pattern(low, " ")
+        words = parts.flatten().dictionary_encode()
+        distinct = words.dictionary
+        stop = np.full(len(distinct), -1, np.int64)
+        for c, one in self.stops.items():
+            stop[pc.match_substring_regex(distinct, f"[a-z][{c}]$").to_numpy(zero_copy_only=False)] = one
+        bare = pc.if_else(pa.array(stop >= 0), pc.utf8_slice_codeunits(distinct, 0, -1), distinct)
+        number, at = self._numbers(bare), words.indices.to_numpy()
+        first, count, stop = self.first[number][at], self.count[number][at], stop[at]
+        stopped = stop >= 0
+        # A stop's place gets some id first, then its own.
+        ids = gather(np.append(self.ids, np.uint32(0)), first, count + stopped)
+        ends = np.cumsum(count + stopped)
+        ids[ends[stopped] - 1] = stop[stopped]
+        return ids, np.diff(np.r_[0, ends][parts.offsets.to_numpy()])
+
+    def encode_long(self, text: str) -> np.ndarray:
+        """The ids of one text, SLICE characters at a time, cut at spaces."""
+        out, at = [np.zeros(0, np.uint32)], 0
+        while at < len(text):
+            end = at + SLICE
+            if end < len(text) and (end := max(text.rfind(" ", at, end), text.rfind("\n", at, end))) <= at:
+                later = [x for x in (text.find(" ", at + SLICE), text.find("\n", at + SLICE)) if x >= 0]
+                end = min(later, default=len(text))
+            out.append(self.encode(pa.array([text[at:end]], pa.string()))[0])
+            at = end
+        return np.concatenate(out)
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The worker's encoder of a vocabulary file."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
+def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Runs of rows of about SLICE bytes; a longer text is alone."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    row = 0
+    while row < len(size):
+        before = size[row - 1] if row else 0
+        last = min(len(size), max(row + 1, int(np.searchsorted(size, before + SLICE, "right"))))
+        yield row, last
+        row = last
+
+
+def _batch(columns: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in columns], NAMES)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, window: int = WINDOW) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    docs has doc_id and text; other columns are ignored.  A document is the ids of
+    docs has doc_id and text; other columns are ignored, whatever their names.  A document is the ids of
     its text, then end_id; a null or empty text is end_id alone.  Documents of
-    more than window tokens are cut into full windows and a rest; other documents stay in
+    more than window tokens, however long, are cut into full windows and a rest; other documents stay in
     one piece.  Pieces of a sequence follow each other from offset 0 without gaps; sequence_id
-    names the task's split and a number within it.  Repeated rows and null ids are
-    packed like any others; an empty table gives no rows.  ids_crc32 is the CRC-32 of
+    names the task that packed it and a number within it.  Repeated rows and null ids are
+    packed like any others, equal lengths in the order they come; an empty table gives no rows.  ids_crc32 is the CRC-32 of
     the piece's ids as little-endian uint32.
+
+    Best-fit decreasing sees a task's split at once (HELD remainders, beyond which the windows stay open for
+    the next ones), so which documents share a sequence depends on how the input is split; how full sequences are hardly does, as
+    windows with much room are packed again across tasks.  Runs eagerly but for that second packing.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
-        following = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
+        base = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
+        rooms, windows = Rooms(window), 0
+        full = 0  # windows of one piece are numbered downwards from the end
         held: list[tuple] = []
         done: list[tuple] = []
 
-        def rows(pieces: list[tuple]) -> pa.RecordBatch:
-            names = [x.split()[0] for x in PACKED.split(", ")]
-            columns = list(zip(*pieces, strict=True)) or [()] * len(names)
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
-
-        def close() -> Iterator[pa.RecordBatch]:
-            nonlocal following
-            where, offset, n = best_fit_decreasing(np.array([p[2] for p in held], np.int64), window)
-            for k in range(0, len(held), 50_000):
-                yield rows([(*p, following + w, o) for p, w, o in zip(held[k : k + 50_000], where[k : k + 50_000].tolist(), offset[k : k + 50_000].tolist(), strict=True)])
-            following += n
+        def placed(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal windows
+            ids = pa.array([p[0] for p in held], pa.int64())
+            rest = np.array([p[1:] for p in held], np.int64).reshape(-1, 4)
             held.clear()
+            where, offset, n = best_fit_decreasing(rest[:, 1], window, rooms, windows)
+            named = base + where
+            if last:
+                left = np.full(n - windows, window, np.int64)
+                np.subtract.at(left, where[where >= windows] - windows, rest[where >= windows, 1])
+                again = np.r_[np.zeros(windows, bool), left > window // ROOMY][where]
+                named, offset = pa.array(named, mask=again), pa.array(offset, mask=again)
+            windows = n
+            yield _batch([ids, *rest.T, named, offset])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                for doc, ids in zip(part.column("doc_id").to_pylist(), encode(texts), strict=True):
-                    ids += end
-                    total = len(ids) // 4
-                    for start in range(0, total, window):
-                        length = min(window, total - start)
-                        piece = (doc, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), total)
+            for row, stop in slices(batch.column("text")):
+                texts = batch.column("text").slice(row, stop - row)
+                if stop - row == 1 and len(text := texts[0].as_py() or "") > SLICE:
+                    ids = encode.encode_long(text)
+                    counts = np.array([len(ids)])
+                else:
+                    ids, counts = encode.encode(texts)
+                raw, at = memoryview(ids.astype("<u4").tobytes()), 0
+                for doc, n in zip(batch.column("doc_id").slice(row, stop - row).to_pylist(), counts.tolist(), strict=True):
+                    for start in range(0, n + 1, window):
+                        length = min(window, n + 1 - start)
+                        own = raw[4 * (at + start) : 4 * (at + min(n, start + length))]
+                        crc = zlib.crc32(own) if start + length <= n else zlib.crc32(end, zlib.crc32(own))
                         if length == window:
-                            done.append((*piece, following, 0))
-                            following += 1
+                            full += 1
+                            done.append((doc, start, length, crc, n + 1, base + (1 << 36) - full, 0))
                         else:
-                            held.append(piece)
+                            held.append((doc, start, length, crc, n + 1))
+                    at += n
                 if len(done) >= 10_000:
-                    yield rows(done)
+                    yield _batch(list(zip(*done, strict=True)))
                     done.clear()
                 if len(held) >= HELD:
-                    yield from close()
-        yield rows(done)
-        yield from close()
-
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, PACKED)
+                    yield from placed(False)
+        if done:
+            yield _batch(list(zip(*done, strict=True)))
+        if held:
+            yield from placed(True)
+
+    def rerun(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = (1 << 62) + ((TaskContext.get().partitionId() if TaskContext.get() else 0) << 36)
+        if rows := [b for b in batches if b.num_rows]:
+            table = pa.Table.from_batches(rows).combine_chunks()
+            where, offset, _ = best_fit_decreasing(table.column("length").to_numpy(), window)
+            yield _batch([table.column(c).chunk(0) for c in NAMES[:5]] + [base + where, offset])
+
+    pieces = materialize(docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, PACKED), "pieces")
+    loose = pieces.where(F.col("sequence_id").isNull()).select(*NAMES[:5])
+    parts = 1 + loose.count() // AGAIN
+    return pieces.where(F.col("sequence_id").isNotNull()).unionByName(loose.repartition(parts).mapInArrow(rerun, PACKED))

@@ -142,6 +142,44 @@ def test_packing(spark):
         assert at <= 4096
     assert len(places) <= -(-sum(sums.values()) // 4096) + 3  # an unfilled window for each task
     assert packing.pack(docs_of(spark, []), PATH).count() == 0
+    # Columns named as the result's are ignored, and small splits are packed nearly as well as one.
+    clashing = docs_of(spark, texts + [texts[-1]]).withColumn("sequence_id", F.lit("x")).withColumn("offset", F.lit(None)).repartition(40)
+    many = packing.pack(clashing, PATH)
+    assert many.count() == len(rows) and many.agg(F.sum("length")).first()[0] == sum(sums.values())
+    assert many.select("sequence_id").distinct().count() <= 1.06 * len(places) + 1
+    assert many.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.countDistinct("offset").alias("k"), F.count("*").alias("m")).where("n > 4096 or k < m").count() == 0
+
+
+ODD = ["it's.", "don't, X'S.", "á. b", "ΟΔΟΣ. Σ.", "İ, ısı.", "x\ty.\r\nz,", " a.", "क़लम. क़", "''s. 've,", "1,2.", "a.. b.,", "<|endoftext|>, a", None, "", " ", "é. É,", " b.", "."]
+
+
+def test_encoder_is_the_tokenizer(monkeypatch):
+    """Whatever is remembered, and wherever a long text is cut."""
+    rng = random.Random(7)
+    texts = ODD + [rng.choice(" \n").join("".join(rng.choice("abÉß1.,'-中 ") for _ in range(rng.randrange(1, 9))) for _ in range(80)) for _ in range(60)]
+    encode = packing.Encoder(PATH)
+    want = [encode.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for remembered in (10**6, 50):
+        monkeypatch.setattr(packing, "REMEMBERED", remembered)
+        for _ in range(2):
+            ids, counts = encode.encode(pa.array(texts, pa.string()))
+            assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
+            for k in range(0, len(texts), 7):
+                ids, counts = encode.encode(pa.array(texts[k : k + 7], pa.string()))
+                assert ids.tolist() == sum(want[k : k + 7], []) and len(counts) == len(texts[k : k + 7])
+    monkeypatch.setattr(packing, "SLICE", 50)
+    whole = " ".join(t or "" for t in texts)
+    assert encode.encode_long(whole).tolist() == encode.tokenizer.encode(whole, add_special_tokens=False).ids
+    assert encode.encode(pa.array([], pa.string()))[0].tolist() == [] and encode.encode_long("").tolist() == []
+
+
+def test_windows_stay_open():
+    """Remainders that come later go into windows that are open already."""
+    lengths = np.random.default_rng(5).integers(1, 3000, 120)
+    rooms, windows = packing.Rooms(4096), 0
+    for k in range(0, 120, 20):
+        _, _, windows = packing.best_fit_decreasing(lengths[k : k + 20], 4096, rooms, windows)
+    assert windows <= 1.1 * lengths.sum() / 4096 + 1
 
 
 def test_best_fit_is_tightest():
