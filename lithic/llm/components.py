@@ -11,26 +11,37 @@ from lithic.llm.store import materialize, release
 def connected_components(edges: DataFrame) -> DataFrame:
     """Edges (a, b) of one orderable type -> (node, label): the least node that can be reached.
 
-    Hooking onto the least neighbouring label, then pointer jumping, until
-    nothing changes: few rounds for star-shaped groups, logarithmically many for
-    chains.  Each round is a skew-splittable join and a map-side combined minimum;
-    labels are written to the shared folder, so lineage stays short.  Null ends
-    are ignored, self-loops give a node of its own, repeated edges change nothing,
+    Each round takes every node to the least of itself and its neighbours and keeps the edges between what is left;
+    a component's least node stays where it is, so in the end all of it is there.  Stars are gone after one or two
+    rounds, and where the order of names has nothing to do with the edges the rest shrinks by a
+    constant factor each round; a round is a map-side combined minimum and two joins that Spark splits where
+    they are skewed.  The rounds' maps are put together from the last, which is the smallest, to the first.
+    Null ends are ignored, self-loops give a node of its own, repeated edges change nothing,
     and no edges give no rows.
     """
-    edges = edges.select("a", "b").where("a is not null and b is not null")
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    first = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label"))
-    labels = materialize(first, "labels")
+    left = edges.select("a", "b").where("a is not null and b is not null")
+    maps: list[DataFrame] = []
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        hooked = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("mid"))
-        jump = labels.select(F.col("node").alias("mid"), F.col("label").alias("far"))
-        step = hooked.join(jump, "mid", "left").select("node", "was", F.least("mid", F.coalesce("far", "mid")).alias("label"))
-        new = materialize(step, "labels")
-        changed = new.where("was <> label").limit(1).count()
-        release(labels)
-        labels = new.select("node", "label")
-        labels._lithic_path = new._lithic_path
-        if not changed:
-            return labels
+        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low"))
+        maps.append(materialize(least.select("node", F.least("node", "low").alias("label")), "labels"))
+        to = maps[-1]
+        moved = left
+        for end in "ab":
+            moved = moved.join(to.select(F.col("node").alias(end), F.col("label").alias(f"to_{end}")), end)
+        moved = moved.where("to_a <> to_b").select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct()
+        moved = materialize(moved, "edges")
+        if len(maps) > 1:
+            release(left)
+        left = moved
+        if left.isEmpty():
+            release(left)
+            break
+    labels = maps.pop()
+    while maps:
+        first = maps.pop()
+        far = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
+        joined = materialize(first.join(far, "label", "left").select("node", F.coalesce("far", "label").alias("label")), "labels")
+        release(first, labels)
+        labels = joined
+    return labels

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lithic.llm import minhash
-from lithic.llm.store import materialize
+from lithic.llm.store import map_arrow, materialize
 from lithic.llm.words import U64, mix, shingles_of, text_slices, words_of
 
 PERMUTATIONS = 128
@@ -143,7 +143,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
             yield _compared(batch.column("doc_id").to_pylist(), batch.column("held").to_pylist(), batch.column("next_held").to_pylist(), own, later)
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    rows = materialize(ordered.mapInArrow(run, f"{_DONE}, kind int, place int, held string"), "fingerprints")
+    rows = materialize(map_arrow(ordered, run, f"{_DONE}, kind int, place int, held string"), "fingerprints")
     # First (2) and last (1) row of each range, in order: what follows a last row is the next range's first.
     ends = rows.where("kind > 0").select("doc_id", "kind", "place", "held", "fingerprint")
     order = Window.orderBy("place", F.desc("kind"))

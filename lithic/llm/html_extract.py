@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lithic.llm.store import materialize
+from lithic.llm.store import map_arrow, materialize
 
 #: A class is frequent enough from this share of its host's pages on, and this many pages.
 SUPPORT, PAGES = 0.5, 4
@@ -284,7 +284,7 @@ def host_templates(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *map(as_long, columns[1:])], ["host", "token", "mark", "mass", "depth", "parent", "kind", "once", "copies"])
 
     spec = "host string, token long, mark long, mass long, depth long, parent long, kind long, once long, copies long"
-    tokens = marked.join(copied, "content", "left").select("host", "content", F.coalesce("copies", F.lit(1)).cast("long").alias("copies"), "html").mapInArrow(run, spec)
+    tokens = map_arrow(marked.join(copied, "content", "left").select("host", "content", F.coalesce("copies", F.lit(1)).cast("long").alias("copies"), "html"), run, spec)
     # An occurrence vector is named by the sum of a mark for each page and count; a page's copies share their page's count of one.
     sums = [F.sum("mark").alias("vector"), F.round(F.sum(F.lit(1.0) / F.col("copies"))).cast("long").alias("pages"), F.sum("mass").alias("mass"), F.first("depth").alias("depth"), F.first("parent").alias("parent"), F.first("kind").alias("kind"), F.avg("once").alias("once")]
     vectors = tokens.groupBy("host", "token").agg(*sums)
@@ -378,4 +378,4 @@ def extract(pages: DataFrame) -> DataFrame:
                 texts.append(main_text(page.as_py() or "", n.as_py(), None if slot is None else slot & (1 << 64) - 1, some))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return joined.select("page_id", "url", "html", "all", "main", "constants").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return map_arrow(joined.select("page_id", "url", "html", "all", "main", "constants"), run, "page_id long, url string, text string, n_chars long")

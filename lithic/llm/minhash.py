@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lithic.llm.components import connected_components
-from lithic.llm.store import materialize, release
+from lithic.llm.store import map_arrow, materialize, release
 from lithic.llm.words import U64, mix, shingles_of, text_slices, words_of
 
 PERMUTATIONS = 64
@@ -41,8 +41,8 @@ BAND_VALUES = 4
 BANDS = 2 * PERMUTATIONS // BAND_VALUES
 #: One shingle in so many is looked at to choose the leaders of step 2; it decides no link.
 SAMPLED = 8
-#: Rows of two short keys each (some 50 MB) up to which the list of needed texts is broadcast.
-BROADCAST_ROWS = 500_000
+#: Rows of two short keys each (some 25 MB) up to which the list of needed texts is broadcast.
+BROADCAST_ROWS = 250_000
 #: In step 3, rounds in which a shingle's sets are compared with HEADS of them before the rest is.
 POST_TURNS, HEADS = 2, 3
 
@@ -107,11 +107,11 @@ def set_features(docs: DataFrame, width: int, keys: Keys = min_max_bands) -> Dat
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * per), flat)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), lists], ["doc_id", "text_key", "n_shingles", "set_key", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, text_key binary, n_shingles long, set_key binary, bands array<long>")
+    return map_arrow(docs, run, "doc_id long, text_key binary, n_shingles long, set_key binary, bands array<long>")
 
 
 def held_shingles(members: DataFrame, texts: DataFrame, width: int, every: int = 1) -> DataFrame:
-    """members (b, text_key, ...) -> (b, s): a row for each distinct shingle, or for one in every by hash."""
+    """members (b, ...) -> (b, s): a row for each distinct shingle, or for one in every by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,7 +123,7 @@ def held_shingles(members: DataFrame, texts: DataFrame, width: int, every: int =
                 rows = np.repeat(np.arange(k, k + len(part)), [len(x) for x in part])
                 yield pa.RecordBatch.from_arrays([batch.column("b").take(pa.array(rows)), pa.array(np.concatenate(part).view(np.int64))], ["b", "s"])
 
-    return members.select("b", "text_key").join(texts, "text_key").select("b", "text").mapInArrow(run, "b binary, s long")
+    return map_arrow(members.select("b").join(texts, "b").select("b", "text"), run, "b long, s long")
 
 
 def text_key(text: Column) -> Column:
@@ -132,9 +132,9 @@ def text_key(text: Column) -> Column:
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b, key_a, key_b) whose full shingle sets have 100 |A & B| >= percent |A | B|, as (a, b).
+    """The pairs (a, b, label_a, label_b) whose full shingle sets have 100 |A & B| >= percent |A | B|, as their components (a, b).
 
-    texts (text_key, text) has each needed text once.  The text is joined to each
+    texts (b, text) has the text of each set once.  The text is joined to each
     side in turn; a leader of many pairs is a skewed key, which Spark splits.
     """
 
@@ -144,32 +144,34 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
             right = [x for _, _, sets in shingle_sets(batch.column("text_b"), width) for x in sets]
             shared = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right, strict=True)], np.int64)
             union = np.array([len(x) + len(y) for x, y in zip(left, right, strict=True)], np.int64) - shared
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(100 * shared >= percent * union))
+            yield pa.RecordBatch.from_arrays([batch.column("label_a"), batch.column("label_b")], ["a", "b"]).filter(pa.array(100 * shared >= percent * union))
 
-    one = texts.select(F.col("text_key").alias("key_a"), F.col("text").alias("text_a"))
-    two = texts.select(F.col("text_key").alias("key_b"), F.col("text").alias("text_b"))
-    full = pairs.join(one, "key_a").join(two, "key_b")
-    return full.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
+    one = texts.select(F.col("b").alias("a"), F.col("text").alias("text_a"))
+    two = texts.select("b", F.col("text").alias("text_b"))
+    full = pairs.join(one, "a").join(two, "b")
+    return map_arrow(full.select("label_a", "label_b", "text_a", "text_b"), run, "a long, b long")
 
 
 def _pairs(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Distinct (a, b) of set keys -> with their text keys, without pairs whose sizes alone rule them out."""
+    """Distinct pairs (a, b) -> with their labels, without those of one component and those whose sizes alone rule them out."""
     low, high = F.least("a", "b"), F.greatest("a", "b")
     ends = pairs.where("a <> b").select(low.alias("a"), high.alias("b")).distinct()
     for k in "ab":
-        ends = ends.join(nodes.select(F.col("set_key").alias(k), F.col("n").alias(f"n_{k}"), F.col("text_key").alias(f"key_{k}")), k)
+        ends = ends.join(nodes.select(F.col("b").alias(k), F.col("n").alias(f"n_{k}"), F.col("label").alias(f"label_{k}")), k)
     fits = F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b")
-    return ends.where(fits).select("a", "b", "key_a", "key_b")
+    return ends.where(fits).where("label_a <> label_b").select("a", "b", "label_a", "label_b")
 
 
-def _mixed(crowd: DataFrame, labels: DataFrame) -> DataFrame | None:
+def _mixed(crowd: DataFrame, nodes: DataFrame) -> DataFrame | None:
     """Members (bucket, b, label) of buckets that hold more than one component; None if there are none."""
-    named = crowd.join(labels.withColumnRenamed("node", "b"), "b", "left")
-    named = materialize(named.select("bucket", "b", F.coalesce("label", "b").alias("label")), "members")
+    named = materialize(crowd.select("bucket", "b").join(nodes.select("b", "label"), "b"), "members")
     split = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
     mixed = materialize(named.join(split, "bucket"), "mixed")
     release(named)
-    return None if mixed.isEmpty() else mixed
+    if mixed.isEmpty():
+        release(mixed)
+        return None
+    return mixed
 
 
 def _posts(mixed: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -177,9 +179,8 @@ def _posts(mixed: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, per
 
     after: how many shared shingles come later in the set's order; most: the greatest size of a partner.
     """
-    members = mixed.select("b", "label").distinct().join(nodes.withColumnRenamed("set_key", "b"), "b").select("b", "label", "n", "text_key")
-    members = materialize(members, "members")
-    held = materialize(held_shingles(members, texts, width).join(members.select("b", "n", "label"), "b"), "held")
+    members = mixed.select("b").distinct().join(nodes.select("b", "n", "label"), "b")
+    held = materialize(held_shingles(members, texts, width).join(members, "b"), "held")
     across = held.groupBy("s").agg(F.count("*").alias("d"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("s", "d")
     own = Window.partitionBy("b")
     ranked = held.join(across, "s").select("b", "n", "label", "s", F.count("*").over(own).alias("c"), F.row_number().over(own.orderBy("d", "s")).alias("nth"))
@@ -187,7 +188,7 @@ def _posts(mixed: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, per
     prefix = F.expr(f"n - ({percent} * n + 99) div 100 + 1 - (n - c)")
     most = F.expr(f"((100 + {percent}) * c) div {percent} - n").alias("most")
     posts = materialize(ranked.where(F.col("nth") <= prefix).select("s", "b", "n", "label", (F.col("c") - F.col("nth")).alias("after"), most), "posts")
-    release(members, held)
+    release(held)
     return posts
 
 
@@ -205,60 +206,76 @@ def _fitting(posts: DataFrame, other: DataFrame, percent: int) -> DataFrame:
     return posts.join(other, "s").where(f"label <> label_a and n <= most_a and n_a <= most and {enough}").select("a", "b")
 
 
-def _relabelled(posts: DataFrame, labels: DataFrame) -> DataFrame:
-    new = labels.select(F.col("node").alias("b"), F.col("label").alias("new"))
-    named = posts.join(new, "b", "left").withColumn("label", F.coalesce("new", "label")).drop("new")
-    return materialize(named.select("s", "b", "n", "label", "after", "most"), "posts")
+def _relabelled(posts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """posts with the labels of now; the old table goes."""
+    new = materialize(posts.drop("label").join(nodes.select("b", "label"), "b"), "posts")
+    release(posts)
+    return new
 
 
 def linked_sets(own: DataFrame, feats: DataFrame, width: int, percent: int) -> DataFrame:
-    """Components of set_features(own): (node, label), both set keys, for every set that has a link."""
+    """Components of set_features(own): (node, label), both set keys, for every set that shares a bucket with another.
+
+    Sets go by a long id inside, which is written once with their table.  Each step confirms pairs between components only
+    and joins what it links; edges are never gone over again.
+    """
     where = F.struct("text_key", "doc_id")
     reps = feats.where("n_shingles > 0").groupBy("set_key").agg(F.first("n_shingles").alias("n"), F.min(where).alias("at"), F.first("bands").alias("bands"))
-    reps = materialize(reps, "reps")
-    in_band = reps.select(F.col("set_key").alias("b"), F.explode("bands").alias("bucket"))
-    shared = in_band.groupBy("bucket").agg(F.min("b").alias("a"), F.count("*").alias("m")).where("m > 1").drop("m")
+    reps = materialize(reps.select(F.monotonically_increasing_id().alias("b"), "set_key", "n", "at", "bands"), "reps")
+    in_band = reps.select("b", F.explode("bands").alias("bucket"))
+    shared = in_band.groupBy("bucket").agg(F.min("b").alias("a"), F.max("b").alias("z")).where("a <> z").drop("z")
     crowd = materialize(in_band.join(shared, "bucket"), "crowd")
     # The sets that share a bucket with another, and a text of each.
-    nodes = reps.join(crowd.select(F.col("b").alias("set_key")).distinct(), "set_key").select("set_key", "n", "at.text_key", "at.doc_id")
-    nodes = materialize(nodes, "nodes")
-    at = nodes.select(F.col("text_key").alias("at_key"), F.col("doc_id").alias("at_id"))
+    picked = reps.join(crowd.select("b").distinct(), "b").select("b", "set_key", "n", F.col("b").alias("label"), "at.text_key", "at.doc_id")
+    nodes = materialize(picked, "nodes")
+    release(reps)
+    at = nodes.select(F.col("b").alias("at"), F.col("text_key").alias("at_key"), F.col("doc_id").alias("at_id"))
     # Few needed texts are picked out where they are read; many meet theirs by shuffling.
     at = F.broadcast(at) if nodes.count() <= BROADCAST_ROWS else at
     texts = own.join(at, (F.col("text_key") == F.col("at_key")) & F.col("doc_id").eqNullSafe(F.col("at_id")))
-    texts = materialize(texts.select("text_key", "doc_id", "text").dropDuplicates(["text_key", "doc_id"]).drop("doc_id"), "texts")
-
-    def more(edges: DataFrame | None, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        new = confirmed(_pairs(pairs, nodes, percent), texts, width, percent)
-        edges = materialize(new if edges is None else edges.unionByName(new), "edges")
-        return edges, connected_components(edges)
-
-    edges, labels = more(None, crowd.select("a", "b"))
-    if (mixed := _mixed(crowd, labels)) is not None:
-        members = mixed.select("b").distinct().join(nodes.withColumnRenamed("set_key", "b"), "b")
+    texts = materialize(texts.select(F.col("at").alias("b"), "text").dropDuplicates(["b"]), "texts")
+
+    def more(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+        """nodes with the labels after what the pairs link."""
+        links = materialize(confirmed(_pairs(pairs, nodes, percent), texts, width, percent).distinct(), "links")
+        if links.isEmpty():
+            release(links)
+            return nodes
+        joined = connected_components(links).select(F.col("node").alias("label"), F.col("label").alias("new"))
+        named = nodes.join(joined, "label", "left").withColumn("label", F.coalesce("new", "label")).drop("new")
+        named = materialize(named.select(*nodes.columns), "nodes")
+        release(links, nodes, joined)
+        return named
+
+    nodes = more(nodes, crowd.select("a", "b"))
+    if (mixed := _mixed(crowd, nodes)) is not None:
+        members = mixed.select("b").distinct().join(nodes.select("b", "n"), "b")
         held = materialize(held_shingles(members, texts, width, SAMPLED), "sampled")
         lone = held.groupBy("s").agg(F.min("b").alias("b"), F.count("*").alias("d")).where("d = 1").groupBy("b").agg(F.count("*").alias("lone"))
         alone = members.join(lone, "b", "left").select("b", (F.coalesce("lone", F.lit(0)) / F.col("n")).alias("share"))
         hubs = mixed.join(alone, "b").groupBy("bucket").agg(F.min(F.struct("share", "b", "label")).alias("hub"))
-        far = mixed.join(hubs, "bucket").where("label <> hub.label").select("b", F.col("hub.b").alias("a"))
-        edges, labels = more(edges, far)
-        if (rest := _mixed(mixed.select("bucket", "b"), labels)) is not None:
+        far = materialize(mixed.join(hubs, "bucket").where("label <> hub.label").select("b", F.col("hub.b").alias("a")).distinct(), "far")
+        release(held)
+        nodes = more(nodes, far)
+        if (rest := _mixed(mixed, nodes)) is not None:
             posts = _posts(rest, nodes, texts, width, percent)
             for turn in range(POST_TURNS):
                 # Everyone on a shingle's list with a few of the list.
-                posts = _relabelled(posts, labels)
                 lists = _open(posts)
                 row = F.struct(*posts.columns)
                 heads = lists.groupBy("s").agg(*[F.min_by(row, F.xxhash64(F.lit(turn * HEADS + k), "b")).alias(f"h{k}") for k in range(HEADS)])
                 heads = heads.select(F.explode(F.array_distinct(F.array(*[f"h{k}" for k in range(HEADS)]))).alias("h")).select("h.*")
-                edges, labels = more(edges, _fitting(lists, heads, percent))
+                nodes = more(nodes, _fitting(lists, heads, percent))
+                posts = _relabelled(posts, nodes)
             # What still crosses components, all of it.
-            lists = _open(_relabelled(posts, labels))
-            edges, labels = more(edges, _fitting(lists, lists, percent).where("a < b"))
-            release(rest)
-        release(mixed, held)
-    release(reps, crowd, nodes, texts, edges)
-    return labels
+            lists = _open(posts)
+            nodes = more(nodes, _fitting(lists, lists, percent).where("a < b"))
+            release(rest, posts)
+        release(mixed, far)
+    heads = nodes.where("b = label").select("label", F.col("set_key").alias("head"))
+    named = materialize(nodes.join(heads, "label").select(F.col("set_key").alias("node"), F.col("head").alias("label")), "linked")
+    release(crowd, nodes, texts)
+    return named
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, keys: Keys = min_max_bands) -> DataFrame:
@@ -270,15 +287,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, keys: Ke
     kept (doc_id = component_id).  Links are 100 * intersection >= percent *
     union of full sets; components are their transitive closure.  Null and blank
     texts have the empty set and are linked with nothing.  A text of fewer than
-    width words has its whole sequence as its one shingle.  Repeated rows are
+    width words has its whole sequence as its one shingle; of a very long one all shingles count.  Repeated rows are
     linked as equal sets are.  A null doc_id is never the least unless its
     component has no other; then component_id is null and kept is false.  An
     empty table gives no rows.  keys gives each text's band keys from its shingles.
     Runs eagerly but for the last join.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("text_key", text_key(F.col("text")))
-    feats = materialize(set_features(own, width, keys), "sets")
-    labels = linked_sets(own, feats, width, percent)
+    wide = materialize(set_features(own, width, keys), "sets")
+    labels = linked_sets(own, wide, width, percent)
+    feats = materialize(wide.drop("bands"), "sets")
+    release(wide)
     least = feats.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("least"))
     named = least.join(labels.withColumnRenamed("node", "set_key"), "set_key")
     lowest = named.groupBy("label").agg(F.min("least").alias("lowest"))
@@ -286,12 +305,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, keys: Ke
     # Sets without a link are components of their own: equal sets, named by their least doc_id.
     alone = least.join(labels.select(F.col("node").alias("set_key")), "set_key", "left_anti").select("set_key", F.col("set_key").alias("label"), F.col("least").alias("lowest"))
     ids = materialize(ids.unionByName(alone), "ids")
-    return _by_row(feats, ids)
+    release(labels)
+    out = _by_row(feats, ids)
+    out._lithic_from = (feats, ids)
+    return out
 
 
 def _by_row(feats: DataFrame, ids: DataFrame) -> DataFrame:
     """A row for each of feats; a set with many copies is a skewed key of a plain join, which Spark splits."""
-    rows = feats.drop("bands").join(ids, "set_key", "left")
+    rows = feats.join(ids, "set_key", "left")
     blank = F.col("n_shingles") == 0
     own_id = F.when(blank, F.col("doc_id")).otherwise(F.col("lowest"))
     out = rows.select("doc_id", "text_key", "n_shingles", F.coalesce("label", "set_key").alias("group_key"), own_id.alias("component_id"))
@@ -302,9 +324,12 @@ def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     """docs with one document of each near-duplicate group, all columns as they were.
 
     The row kept has the group's least doc_id (nulls last, then the least text key;
-    of rows equal in both any one).  Rows without words stay, all of them.
+    of rows equal in both any one).  Rows without words (null, empty and blank texts) stay, all of them.
+    Groups are near_duplicates', so very long texts count whole; columns may have any names, those of its
+    result too; an empty table gives an empty one.
     """
-    links = near_duplicates(docs, width, percent).where("n_shingles > 0")
+    found = near_duplicates(docs, width, percent)
+    links = found.where("n_shingles > 0")
     rows = links.groupBy("group_key", "doc_id", "text_key").agg(F.count("*").alias("times"))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
     first = rows.groupBy("group_key").agg(F.min(order).alias("first"))
@@ -312,6 +337,7 @@ def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     judged = rows.join(first, "group_key").withColumn("again", stays).where(~stays | (F.col("times") > 1))
     # The rows that go, and with again those of which one stays: few beside the documents.
     judged = materialize(judged.select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key"), "again"), "gone")
+    release(*found._lithic_from)
     small = judged.count() <= BROADCAST_ROWS
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     keyed = docs.select(row, F.col("doc_id").cast("long").alias("id"), text_key(F.col("text")).alias("key"))

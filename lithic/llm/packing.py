@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lithic.llm.store import materialize
+from lithic.llm.store import map_arrow, materialize
 
 WINDOW = 4096
 #: Remainders that a task holds before it places them (five numbers each); open windows stay open for later ones.
@@ -31,7 +31,7 @@ ROOMY = 32
 #: Pieces that one task packs again, about.
 AGAIN = 200_000
 #: Words whose ids a worker remembers, and bytes of text that it looks at together.
-REMEMBERED, SLICE = 1_000_000, 1 << 22
+REMEMBERED, SLICE = 1_000_000, 1 << 21
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 PACKED = ", ".join(f"{n} long" for n in NAMES)
 
@@ -302,7 +302,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, window: int = WI
             where, offset, _ = best_fit_decreasing(table.column("length").to_numpy(), window)
             yield _batch([table.column(c).chunk(0) for c in NAMES[:5]] + [base + where, offset])
 
-    pieces = materialize(docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, PACKED), "pieces")
+    pieces = materialize(map_arrow(docs.selectExpr("cast(doc_id as long) as doc_id", "text"), run, PACKED), "pieces")
     loose = pieces.where(F.col("sequence_id").isNull()).select(*NAMES[:5])
     parts = 1 + loose.count() // AGAIN
     return pieces.where(F.col("sequence_id").isNotNull()).unionByName(loose.repartition(parts).mapInArrow(rerun, PACKED))

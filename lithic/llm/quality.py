@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lithic.llm.labelled import fold_of, training_rows
+from lithic.llm.store import map_arrow
 from lithic.llm.words import U64, mix, text_slices, tokens_of
 
 PER_CLASS = 6000
@@ -82,7 +83,7 @@ def train(rows: DataFrame, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
     order = F.xxhash64("epoch", "doc_id")
     passes = rows.select("doc_id", "text", "label", F.explode(F.sequence(F.lit(1), F.lit(epochs))).alias("epoch"))
     inline = passes.repartition(1).sortWithinPartitions("epoch", order, "doc_id", "text").select("text", "label")
-    learned = inline.mapInArrow(run, "at long, w double").toArrow()
+    learned = map_arrow(inline, run, "at long, w double").toArrow()
     w = np.zeros((1 << BITS) + 1)
     w[learned.column("at").to_numpy()] = learned.column("w").to_numpy()
     return w[:-1], float(w[-1])
@@ -124,7 +125,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores(batch.column("text"), model.value))], ["doc_id", "score"])
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    scored = map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, score double")
     return scored.select("doc_id", (fold_of(F.col("doc_id"), folds) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -136,4 +137,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **of_f
         for batch in batches:
             yield batch.filter(pa.array(scores(batch.column(at), model.value) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)

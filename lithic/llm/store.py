@@ -1,4 +1,4 @@
-"""Tables that cut lineage, in the folder that driver and executors share."""
+"""Tables that cut lineage, in the folder that driver and executors share, and Arrow batches of bounded size."""
 
 from __future__ import annotations
 
@@ -6,10 +6,19 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of an Arrow batch between Spark and Python, unless the session says otherwise; a longer row is a batch of its own.
+BATCH_BYTES = "8m"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _LOCAL: dict[str, str] = {}
+#: Sessions whose batches are bounded already, by application.
+_bounded: set[str] = set()
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -26,26 +35,59 @@ def shared_root(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches by bytes: rows hold whole texts, so a count of rows alone bounds no worker's memory.
+
+    The session's own setting stays if it is less than Spark's default.
+    """
+    app = spark.sparkContext.applicationId
+    if app not in _bounded:
+        _bounded.add(app)
+        if spark.conf.get(_BATCH) in ("67108864b", "64m", "64MB"):
+            spark.conf.set(_BATCH, BATCH_BYTES)
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: object) -> DataFrame:
+    """df.mapInArrow over batches of bounded size."""
+    bound_batches(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
+@contextlib.contextmanager
+def _shuffles_go(spark: SparkSession) -> Iterator[None]:
+    """What runs inside leaves no shuffle files behind: each query's go when it has ended."""
+    was = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, was) if was is not None else spark.conf.unset(_CLEANUP)
+
+
 def materialize(df: DataFrame, what: str = "table") -> DataFrame:
     """Write df once to the shared folder and read it back.
 
-    Lost executors lose nothing of it.  The files go when the Python process
+    Lost executors lose nothing of it.  The shuffle files that made it go at once; its own files go when the Python process
     ends, or with release().
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/lithic-{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with _shuffles_go(spark):
+        df.write.option("compression", "zstd").parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._lithic_path = path
     atexit.register(_delete, spark, path)
     return back
 
 
-def release(*tables: DataFrame) -> None:
-    """Delete materialized tables that no later plan reads."""
-    for df in tables:
-        if path := getattr(df, "_lithic_path", None):
-            _delete(df.sparkSession, path)
+def release(*parts: DataFrame | Broadcast) -> None:
+    """Delete materialized tables that no later plan reads, and broadcasts that no later task reads."""
+    for part in parts:
+        if isinstance(part, Broadcast):
+            with contextlib.suppress(Exception):  # gone already
+                part.destroy()
+        elif path := getattr(part, "_lithic_path", None):
+            _delete(part.sparkSession, path)
 
 
 def _delete(spark: SparkSession, path: str) -> None:

@@ -17,6 +17,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lithic.llm.store import map_arrow
+
 #: Fixed value: what this kind of vocabulary writes at the end of a word.
 WORD_END = "</w>"
 #: Words: runs of letters, single digits, runs of other visible characters.
@@ -144,4 +146,4 @@ def count_tokens(docs: DataFrame, vocabulary_path: str) -> DataFrame:
                 tokens.append(total)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], ["doc_id", "n_words", "n_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_words long, n_tokens long")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_words long, n_tokens long")

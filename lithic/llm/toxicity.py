@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lithic.llm.labelled import fold_of, training_rows
-from lithic.llm.store import materialize, release
+from lithic.llm.store import map_arrow, materialize, release
 from lithic.llm.words import PUNCT, U64, mix, span_hashes, text_slices, tokens_of
 
 PER_CLASS = 6000
@@ -85,7 +85,7 @@ def context_counts(rows: DataFrame) -> DataFrame:
 
     spec = ", ".join(f"{c} long" for c in ("key", "pair", "before", "word", "stem", *_COUNTS))
     names = [F.first(c).alias(c) for c in ("pair", "before", "word", "stem")]
-    return rows.select("text", "label", "part").mapInArrow(run, spec).groupBy("key").agg(*names, *[F.sum(c).alias(c) for c in _COUNTS])
+    return map_arrow(rows.select("text", "label", "part"), run, spec).groupBy("key").agg(*names, *[F.sum(c).alias(c) for c in _COUNTS])
 
 
 @dataclass
@@ -299,7 +299,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores(batch.column("text"), model.value))], ["doc_id", "score"])
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    scored = map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, score double")
     return scored.select("doc_id", (fold_of(F.col("doc_id"), folds) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -311,4 +311,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **of_
         for batch in batches:
             yield batch.filter(pa.array(scores(batch.column(at), model.value) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
