@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from typing import Optional
 
 import pyarrow as pa
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lithic.functions import transforms as tr
-from lithic.operators.pruning import may
+from lithic.operators.pruning import Predicate, may
 from lithic.plans.model import column, record
 from lithic.sources import footer
 from lithic.sources.reader import scan
@@ -81,12 +83,20 @@ def _path(sf_dir: str, table: str) -> str:
     return f"{sf_dir}/{table}.parquet"
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A new path in the folder that all executors share; a temporary one on a local master."""
+def scratch(spark: SparkSession) -> str:
+    """A new path in the folder that all executors share, a temporary one on a local master; what is there goes when the process ends."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None and not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{root or tempfile.gettempdir()}/lithic-{uuid.uuid4().hex}"
+    path = f"{root or tempfile.gettempdir()}/lithic-{uuid.uuid4().hex}"
+
+    def gone() -> None:
+        with contextlib.suppress(Exception):  # the JVM may be gone already
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    atexit.register(gone)
+    return path
 
 
 def scan_project(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,8 +106,7 @@ def scan_project(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scan_evolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A newer model over older files: reordered, absent optional columns null."""
-    df = scan(spark, CustomerEvolved, _path(sf_dir, "customer")).to_df()
-    return df.withColumn("added_count", F.col("added_count").cast("string"))
+    return scan(spark, CustomerEvolved, _path(sf_dir, "customer")).to_df()
 
 
 def _lines(spark: SparkSession, sf_dir: str, predicate) -> DataFrame:
@@ -143,7 +152,7 @@ def prune_conjunction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prune_superset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole row groups of a sorted copy, then the rows: the same as the rows alone."""
-    at = _scratch(spark)
+    at = scratch(spark)
     source = scan(spark, Lines, _path(sf_dir, "lineitem")).to_df()
     write(source.orderBy("l_orderkey"), Lines, at, WriteOptions(row_group_size=1000))
     some = may("l_orderkey").between(2050, 2349)
@@ -152,26 +161,101 @@ def prune_superset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def zone_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Least, greatest and null count of integer columns out of the footers, over all row groups."""
-    rows = footer.zone_map(spark, _path(sf_dir, "orders")).where("logical_type in ('NONE', 'INT64') and physical_type = 'INT64'").where(F.col("column").isin("o_orderkey", "o_custkey"))
-    low, high = F.min(F.col("min_value").cast("long")), F.max(F.col("max_value").cast("long"))
-    return rows.groupBy(F.col("column").alias("column_name")).agg(low.alias("least"), high.alias("greatest"), F.sum("null_count").alias("nulls"), F.sum("num_values").alias("n"))
+    """Least, greatest and null count of integer, floating and text columns out of the footers, over all row groups."""
+    rows = footer.zone_map(spark, _path(sf_dir, "orders")).where(F.col("column").isin("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus"))
+    number = F.col("logical_type") != "STRING"
+    low, high = (F.when(number, F.col(c).cast("double")) for c in ("min_value", "max_value"))
+    texts = [F.min(F.when(~number, F.col("min_value"))).alias("first_text"), F.max(F.when(~number, F.col("max_value"))).alias("last_text")]
+    return rows.groupBy(F.col("column").alias("column_name")).agg(F.min(low).alias("least"), F.max(high).alias("greatest"), *texts, F.sum("null_count").alias("nulls"), F.sum("num_values").alias("n"))
 
 
 def batch_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Revenue out of columnar batches: a sum for each batch, then of those."""
+    """Revenue of a key range, in ten-thousandths: pushed down, two columns read, added up in generated code."""
+    some = scan(spark, Lines, _path(sf_dir, "lineitem")).filter(F.col("l_orderkey") >= 500).to_df()
+    return some.agg(F.sum(F.rint(F.col("l_extendedprice") * (1 - F.col("l_discount")) * 10_000).cast("long")).alias("units"), F.count("*").alias("n"))
+
+
+RANGES = 32
+_ranged: dict[tuple[str, str], str] = {}
+
+
+def ranged_lines(spark: SparkSession, sf_dir: str) -> str:
+    """Lines in a row group for each of RANGES ranges of the order key, written once for a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _ranged:
+        source = spark.read.parquet(_path(sf_dir, "lineitem"))
+        width = source.agg(F.max("l_orderkey")).first()[0] // RANGES + 1
+        at = scratch(spark)
+        rows = source.withColumn("part", F.expr(f"l_orderkey div {width}")).repartition(RANGES, "part")
+        write(rows, Lines, at, WriteOptions(row_group_size=10_000_000, partition_by=("part",)))
+        _ranged[key] = at
+    return _ranged[key]
+
+
+def _opened(spark: SparkSession, sf_dir: str, predicate) -> DataFrame:
+    """Which row groups a predicate opens, what is in them, and what of that its rows are."""
+    some = scan(spark, Lines, ranged_lines(spark, sf_dir)).where(predicate)
+    groups = some.row_groups().agg(F.count("*").alias("groups"), F.coalesce(F.sum("row_count"), F.lit(0)).alias("candidates"))
+    whole = some.to_df()
+    rows = whole.agg(F.count("*").alias("read"), F.count(F.when(predicate.residual(), 1)).alias("n"), F.coalesce(F.sum(F.when(predicate.residual(), F.col("l_quantity").cast("decimal(28,4)"))), F.lit(0)).cast("double").alias("quantity"))
+    return groups.join(rows)  # a row each
+
+
+_KEY = may("l_orderkey")
+#: Query -> its predicate, and in SQL which ranges g it opens and which rows it means.
+GROUPS: dict[str, tuple[Callable[[], Predicate], str, str]] = {
+    "groups_equal": (lambda: _KEY.equal(5000), "lo <= 5000 AND hi >= 5000", "l_orderkey = 5000"),
+    "groups_at_least": (lambda: _KEY.at_least(9000), "hi >= 9000", "l_orderkey >= 9000"),
+    "groups_greater_than": (lambda: _KEY.greater_than(9000), "hi > 9000", "l_orderkey > 9000"),
+    "groups_at_most": (lambda: _KEY.at_most(500), "lo <= 500", "l_orderkey <= 500"),
+    "groups_less_than": (lambda: _KEY.less_than(500), "lo < 500", "l_orderkey < 500"),
+    "groups_between": (lambda: _KEY.between(2050, 2349), "hi >= 2050 AND lo <= 2349", "l_orderkey BETWEEN 2050 AND 2349"),
+    "groups_any": (lambda: _KEY.any_of([1, 7, None, 7000, 10**12]), "lo <= 1 AND hi >= 1 OR lo <= 7 AND hi >= 7 OR lo <= 7000 AND hi >= 7000", "l_orderkey IN (1, 7, 7000)"),
+    "groups_conjunction": (lambda: _KEY.at_least(1000) & _KEY.less_than(3000) & may("l_linenumber").at_most(2), "hi >= 1000 AND lo < 3000 AND least_line <= 2", "l_orderkey >= 1000 AND l_orderkey < 3000 AND l_linenumber <= 2"),
+    "groups_negated": (lambda: ~(_KEY.at_least(1000) & _KEY.at_most(9000)), "lo < 1000 OR hi > 9000", "l_orderkey < 1000 OR l_orderkey > 9000"),
+}
+_RANGED_SQL = f"""WITH w AS (SELECT max(l_orderkey) // {RANGES} + 1 AS width FROM lineitem),
+    g AS (SELECT min(l_orderkey) AS lo, max(l_orderkey) AS hi, min(l_linenumber) AS least_line, count(*) AS n FROM lineitem, w GROUP BY l_orderkey // width)"""
+
+
+def _groups_query(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: _opened(spark, sf_dir, GROUPS[name][0]())
+
+
+def _groups_sql(groups: str, rows: str) -> str:
+    return f"""{_RANGED_SQL} SELECT (SELECT count(*) FROM g WHERE {groups}) AS groups, CAST((SELECT coalesce(sum(n), 0) FROM g WHERE {groups}) AS BIGINT) AS candidates,
+    CAST((SELECT coalesce(sum(n), 0) FROM g WHERE {groups}) AS BIGINT) AS read, count(*) AS n, CAST(coalesce(sum(CAST(l_quantity AS DECIMAL(28,4))), 0) AS DOUBLE) AS quantity FROM lineitem WHERE {rows}"""
+
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+@record
+class Noted:
+    key: Optional[int] = column("l_orderkey")
+    note: Optional[str] = column("note")
+
+
+def groups_without_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A prunable column that has no least and greatest value (it is null throughout) keeps every group open."""
+    at = scratch(spark)
+    source = spark.read.parquet(_path(sf_dir, "lineitem"))
+    width = source.agg(F.max("l_orderkey")).first()[0] // RANGES + 1
+    rows = source.select("l_orderkey", F.lit(None).cast("string").alias("note"), F.expr(f"l_orderkey div {width}").alias("part")).repartition(RANGES, "part")
+    write(rows, Noted, at, WriteOptions(row_group_size=10_000_000, partition_by=("part",)))
+    some = scan(spark, Noted, at).where(may("l_orderkey").at_least(10**12))
+    return some.row_groups().agg(F.count("*").alias("groups"), F.sum("row_count").alias("candidates")).join(some.to_df().agg(F.count("*").alias("read"), F.count("note").alias("notes")))
+
+
+def row_group_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columnar batches, one for each row group, added up where they are read."""
+
+    def sums(b: pa.RecordBatch) -> pa.RecordBatch:
         import numpy as np
 
-        for b in batches:
-            price, less = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            cents = np.rint(price * (1 - less) * 10_000).astype(np.int64).sum()
-            yield pa.RecordBatch.from_arrays([pa.array([int(cents)], pa.int64()), pa.array([b.num_rows], pa.int64())], ["units", "n"])
+        price, less = (b.column(k).to_numpy(zero_copy_only=False) for k in ("l_extendedprice", "l_discount"))
+        units = int(np.rint(price * (1 - less) * 10_000).astype(np.int64).sum())
+        return pa.RecordBatch.from_arrays([pa.array([units], pa.int64()), pa.array([b.num_rows], pa.int64())], ["units", "n"])
 
-    some = scan(spark, Lines, _path(sf_dir, "lineitem")).filter(F.col("l_orderkey") >= 500).to_df()
-    parts = some.select("l_extendedprice", "l_discount").mapInArrow(sums, "units long, n long")
-    return parts.agg(F.sum("units").alias("units"), F.sum("n").alias("n"))
+    parts = scan(spark, Lines, ranged_lines(spark, sf_dir)).map_batches(sums, "units long, n long")
+    return parts.agg(F.count("*").alias("batches"), F.sum("n").alias("n"), F.max("n").alias("largest"), F.sum("units").alias("units"))
 
 
 def interop_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,7 +267,7 @@ def roundtrip_codecs(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = scan(spark, Lines, _path(sf_dir, "lineitem")).to_df()
     found = []
     for codec in ("none", "snappy", "gzip", "lz4", "zstd"):
-        at = _scratch(spark)
+        at = scratch(spark)
         write(source, Lines, at, WriteOptions(compression=codec))
         found.append(scan(spark, Lines, at).to_df().agg(F.lit(codec).alias("codec"), F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("decimal(28,4)")).cast("double").alias("quantity")))
     out = found[0]
@@ -193,7 +277,7 @@ def roundtrip_codecs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def roundtrip_row_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = _scratch(spark)
+    at = scratch(spark)
     write(scan(spark, Orders, _path(sf_dir, "orders")).to_df(), Orders, at, WriteOptions(row_group_size=1000, files=1))
     groups = footer.row_groups(spark, at)
     return groups.agg(F.count("*").alias("row_groups"), F.sum("row_count").alias("n"), F.max("row_count").alias("largest"))
@@ -206,7 +290,7 @@ def nested_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = F.when(k % 5 != 0, F.struct(F.when(k % 3 != 0, F.col("o_orderstatus")).alias("region"), k.alias("key")))
     words = F.when(k % 7 == 0, None).when(k % 7 == 1, F.array().cast("array<string>")).otherwise(F.array(F.col("o_orderpriority"), F.when(k % 2 == 0, F.lit("x"))))
     parts = F.when(k % 4 == 0, None).otherwise(F.array(F.struct(F.col("o_orderstatus").alias("region"), (k * 2).alias("key"))))
-    at = _scratch(spark)
+    at = scratch(spark)
     write(orders.select(k.alias("key"), place.alias("place"), words.alias("words"), parts.alias("parts")), Nested, at)
     back = scan(spark, Nested, at).to_df()
     return back.select("key", F.col("place").isNull().alias("no_place"), F.col("place.region").alias("region"), F.when(F.col("words").isNotNull(), F.size("words")).otherwise(-1).alias("n_words"), F.get("words", F.lit(0)).alias("first_word"), F.get("words", F.lit(1)).alias("second_word"), F.coalesce(F.get("parts", F.lit(0))["key"], F.lit(-1)).alias("part_key"))
@@ -223,7 +307,7 @@ def arrow_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     # The dimension table of regions is small by its nature.
     table = spark.read.parquet(_path(sf_dir, "region")).select(F.col("r_regionkey").cast("long").alias("key"), F.col("r_name").alias("region")).toArrow()
-    at = _scratch(spark)
+    at = scratch(spark)
     write_arrow(spark, table, Place, at)
     return scan(spark, Place, at).to_df()
 
@@ -259,7 +343,7 @@ def time_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
 _AGG = "count(*) AS n, CAST(sum(CAST(l_quantity AS DECIMAL(28,4))) AS DOUBLE) AS quantity"
 SQL = {
     "scan_project": "SELECT o_orderstatus, o_orderkey, o_totalprice FROM orders",
-    "scan_evolved": "SELECT CAST(NULL AS VARCHAR) AS added_note, c_acctbal, c_custkey, CAST(NULL AS VARCHAR) AS added_count, c_name FROM customer",
+    "scan_evolved": "SELECT CAST(NULL AS VARCHAR) AS added_note, c_acctbal, c_custkey, CAST(NULL AS INTEGER) AS added_count, c_name FROM customer",
     "prune_at_least": f"SELECT {_AGG} FROM lineitem WHERE l_orderkey >= 9000",
     "prune_greater_than": f"SELECT {_AGG} FROM lineitem WHERE l_orderkey > 9000",
     "prune_at_most": f"SELECT {_AGG} FROM lineitem WHERE l_orderkey <= 500",
@@ -269,7 +353,10 @@ SQL = {
     "prune_any": "SELECT o_orderstatus, o_orderkey, o_totalprice FROM orders WHERE o_orderkey IN (1, 7, 700, 1000000000000)",
     "prune_conjunction": "SELECT event_type, count(*) AS n, min(event_id) AS first_event FROM events WHERE user_id BETWEEN 10 AND 60 AND event_type <> 'click' GROUP BY event_type",
     "prune_superset": "SELECT l_returnflag, count(*) AS n, CAST(sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(28,4))) AS DOUBLE) AS revenue FROM lineitem WHERE l_orderkey BETWEEN 2050 AND 2349 GROUP BY l_returnflag",
-    "zone_map": "SELECT 'o_orderkey' AS column_name, min(o_orderkey) AS least, max(o_orderkey) AS greatest, count(*) - count(o_orderkey) AS nulls, count(*) AS n FROM orders UNION ALL SELECT 'o_custkey', min(o_custkey), max(o_custkey), count(*) - count(o_custkey), count(*) FROM orders",
+    "zone_map": " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, {'NULL' if text else f'CAST(min({c}) AS DOUBLE)'} AS least, {'NULL' if text else f'CAST(max({c}) AS DOUBLE)'} AS greatest, {f'min({c})' if text else 'NULL'} AS first_text, {f'max({c})' if text else 'NULL'} AS last_text, CAST(count(*) - count({c}) AS BIGINT) AS nulls, count(*) AS n FROM orders"
+        for c, text in (("o_orderkey", False), ("o_custkey", False), ("o_totalprice", False), ("o_orderstatus", True))
+    ),
     "batch_revenue": "SELECT CAST(sum(CAST(round_even(l_extendedprice * (1 - l_discount) * 10000, 0) AS BIGINT)) AS BIGINT) AS units, count(*) AS n FROM lineitem WHERE l_orderkey >= 500",
     "interop_summary": "SELECT count(*) AS n, count(*) - count(event_type) AS null_kinds, min(user_id) AS least, max(user_id) AS greatest, CAST(sum(CAST(value AS DECIMAL(28,4))) AS DOUBLE) AS total FROM events",
     "roundtrip_codecs": f"SELECT codec, {_AGG} FROM lineitem, (VALUES ('none'), ('snappy'), ('gzip'), ('lz4'), ('zstd')) c(codec) GROUP BY codec",
@@ -290,8 +377,14 @@ SQL = {
 }
 
 
+SQL |= {name: _groups_sql(groups, rows) for name, (_, groups, rows) in GROUPS.items()}
+SQL["groups_without_statistics"] = f"{_RANGED_SQL} SELECT count(*) AS groups, CAST(sum(n) AS BIGINT) AS candidates, CAST(sum(n) AS BIGINT) AS read, CAST(0 AS BIGINT) AS notes FROM g"
+SQL["row_group_batches"] = f"""{_RANGED_SQL} SELECT (SELECT count(*) FROM g) AS batches, count(*) AS n, (SELECT max(n) FROM g) AS largest,
+    CAST(sum(CAST(round_even(l_extendedprice * (1 - l_discount) * 10000, 0) AS BIGINT)) AS BIGINT) AS units FROM lineitem"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: globals()[name] for name in SQL}
+    return {name: _groups_query(name) if name in GROUPS else globals()[name] for name in SQL}
 
 
 def oracle_sql() -> dict[str, str]:

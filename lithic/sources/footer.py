@@ -2,18 +2,23 @@
 
 Files are listed by Spark; their footers are read in parallel, one small task
 input for each file, so neither the listing nor a footer's content meets on the driver.
+A store that Arrow can't open is read by Spark's own Hadoop file systems: the last bytes of each file, which
+hold its footer, go through the driver to the same tasks.
 """
 
 from __future__ import annotations
 
 import datetime
+import functools
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from itertools import accumulate
 
 import pyarrow as pa
 import pyarrow.fs as pa_fs
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ZONE_MAP = (
@@ -22,22 +27,102 @@ ZONE_MAP = (
 )
 
 
+#: Names that Hadoop has for stores that Arrow knows by another.
+_SCHEMES = {"s3a": "s3", "s3n": "s3"}
+#: Footers that are read through the driver at once, and before they are handed on.
+_THREADS, _AT_ONCE = 32, 4096
+
+
+def local_uri(path: str) -> str:
+    """A file's URI as Arrow spells it."""
+    if path.startswith("file:/") and not path.startswith("file://"):
+        return "file://" + path[5:]
+    scheme, colon, rest = path.partition("://")
+    return f"{_SCHEMES.get(scheme, scheme)}{colon}{rest}"
+
+
 def open_file(path: str) -> pa.NativeFile:
     """A file by its URI or path, in any store that Arrow reads."""
-    fs, inner = pa_fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pa_fs.LocalFileSystem(), path)
+    fs, inner = pa_fs.FileSystem.from_uri(local_uri(path)) if "://" in path or path.startswith("file:") else (pa_fs.LocalFileSystem(), path)
     return fs.open_input_file(inner)
 
 
-def local_uri(path: str) -> str:
-    return "file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path
+@functools.lru_cache(maxsize=64)
+def arrow_reads(scheme: str) -> bool:
+    """Whether Arrow has a file system for a URI's scheme; libhdfs is a matter of each machine, so HDFS goes by Spark."""
+    return _SCHEMES.get(scheme, scheme) in ("", "file", "s3", "gs", "gcs", "abfs", "abfss")
+
+
+def by_arrow(paths: list[str]) -> bool:
+    return all(arrow_reads(p.partition(":")[0] if "://" in p or p.startswith("file:") else "") for p in paths)
 
 
 def files(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(path, length) of the data files at path, without their content."""
-    listed = spark.read.format("binaryFile").load(path).select("path", "length")
+    """(path, length, modificationTime) of the data files at path, without their content."""
+    listed = spark.read.format("binaryFile").load(path).select("path", "length", "modificationTime")
     return listed.where(~F.regexp_like(F.regexp_extract("path", r"([^/]*)$", 1), F.lit(r"^[_.]"))).where("length > 0")
 
 
+def tail_of(spark: SparkSession, path: str, length: int, most: int) -> bytes:
+    """A file's footer with its frame, by Spark's file systems; of one that is broken or larger than most, its last 8 bytes alone."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).open(at)
+    try:
+
+        def last(n: int) -> bytes:
+            stream.seek(length - n)
+            return bytes(stream.readNBytes(n))
+
+        frame = last(min(8, length))
+        size = int.from_bytes(frame[:4], "little") + 8
+        return last(size) if frame[4:] == b"PAR1" and size <= min(length, most) else frame
+    finally:
+        stream.close()
+
+
+def tails(spark: SparkSession, path: str | list[str], most: int = 64 * 1024 * 1024) -> DataFrame:
+    """files() with tail, which is null where tasks open the files themselves (Arrow knows the store)."""
+    listed = files(spark, path)
+    if by_arrow([path] if isinstance(path, str) else list(path)):
+        return listed.withColumn("tail", F.lit(None).cast("binary"))
+    out, part = None, []
+
+    def read(rows: list) -> DataFrame:
+        with ThreadPoolExecutor(_THREADS) as pool:
+            found = list(pool.map(lambda r: tail_of(spark, r.path, r.length, most), rows))
+        return spark.createDataFrame([(*r, t) for r, t in zip(rows, found, strict=True)], listed.schema.add("tail", "binary"))
+
+    for row in listed.toLocalIterator():
+        part.append(row)
+        if len(part) == _AT_ONCE:
+            out, part = (read(part) if out is None else out.unionByName(read(part))), []
+    if part or out is None:
+        out = read(part) if out is None else out.unionByName(read(part))
+    return out.repartition(max(1, min(spark.sparkContext.defaultParallelism, out.count())))
+
+
+def metadata_of(path: str, tail: bytes | None) -> pq.FileMetaData:
+    """A footer, out of a file's last bytes or of the file."""
+    if tail is not None:
+        return pq.read_metadata(pa.BufferReader(b"PAR1" + tail))
+    with open_file(path) as f:
+        return pq.read_metadata(f)
+
+
+def per_footer(spark: SparkSession, path: str | list[str], rows: Callable[[str, pq.FileMetaData], list[tuple]], schema: pa.Schema) -> DataFrame:
+    """What rows() makes of each file's path and footer, in the tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for one, tail in zip(batch.column("path").to_pylist(), batch.column("tail").to_pylist(), strict=True):
+                if found := rows(one, metadata_of(one, tail)):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*found, strict=True), schema.types, strict=True)], schema=schema)
+
+    from pyspark.sql.pandas.types import from_arrow_schema
+
+    return tails(spark, path).select("path", "tail").mapInArrow(run, from_arrow_schema(schema))
+
+
 def logical_name(column: pq.ColumnSchema) -> str:
     """The annotation's name, integers as UINT8 and the like."""
     said = json.loads(column.logical_type.to_json())
@@ -74,42 +159,44 @@ def zone_map_rows(path: str, meta: pq.FileMetaData) -> Iterator[tuple]:
             )
 
 
-def zone_map(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """A row for each row group and column: counts, least and greatest value, sizes (see ZONE_MAP)."""
+_KINDS = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_()}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in ZONE_MAP.split(", ")]
-        for batch in batches:
-            for one in batch.column("path").to_pylist():
-                with open_file(local_uri(one)) as f:
-                    rows = list(zone_map_rows(one, pq.read_metadata(f)))
-                if rows:
-                    columns = list(zip(*rows, strict=True))
-                    kinds = [pa.string(), pa.int32(), pa.int64(), *[pa.string()] * 4, *[pa.int64()] * 3, pa.bool_(), pa.string(), pa.string(), *[pa.int64()] * 3]
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names)
 
-    return files(spark, path).select("path").mapInArrow(run, ZONE_MAP)
+def zone_map(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """A row for each row group and column: counts, least and greatest value, sizes (see ZONE_MAP)."""
+    schema = pa.schema([(n, _KINDS[k]) for n, k in (x.split() for x in ZONE_MAP.split(", "))])
+    return per_footer(spark, path, lambda one, meta: list(zone_map_rows(one, meta)), schema)
 
 
 def row_groups(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """A row for each row group: path, row_group, row_count, first_row (its place in the file)."""
-    groups = zone_map(spark, path).select("path", "row_group", "row_count").distinct()
-    before = Window.partitionBy("path").orderBy("row_group").rowsBetween(Window.unboundedPreceding, -1)
-    return groups.withColumn("first_row", F.coalesce(F.sum("row_count").over(before), F.lit(0)))
 
+    def rows(one: str, meta: pq.FileMetaData) -> list[tuple]:
+        counts = [meta.row_group(g).num_rows for g in range(meta.num_row_groups)]
+        return [(one, g, n, before) for g, (n, before) in enumerate(zip(counts, accumulate(counts, initial=0)))]
 
-def schemas(spark: SparkSession, path: str | list[str]) -> list[tuple[str, bytes]]:
-    """The distinct schemas among the files, each with a file that has it; few, whatever the number of files."""
+    return per_footer(spark, path, rows, pa.schema([("path", pa.string()), ("row_group", pa.int32()), ("row_count", pa.int64()), ("first_row", pa.int64())]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            shown = []
-            for one in batch.column("path").to_pylist():
-                with open_file(local_uri(one)) as f:
-                    shown.append(describe_schema(pq.read_metadata(f)))
-            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(shown, pa.string())], ["path", "schema"])
 
-    found = files(spark, path).select("path").mapInArrow(run, "path string, schema string")
+def encodings(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """A row for each row group and column: path, row_group, column, field_id (null if none), encodings, whether there is a dictionary."""
+
+    def rows(one: str, meta: pq.FileMetaData) -> list[tuple]:
+        arrow, out = meta.schema.to_arrow_schema(), []
+        ids = {f.name: (f.metadata or {}).get(b"PARQUET:field_id") for f in arrow}
+        for g in range(meta.num_row_groups):
+            for c in range(meta.num_columns):
+                chunk = meta.row_group(g).column(c)
+                at = ids.get(chunk.path_in_schema)
+                out.append((one, g, chunk.path_in_schema, None if at is None else int(at), sorted(map(str, chunk.encodings)), chunk.has_dictionary_page))
+        return out
+
+    return per_footer(spark, path, rows, pa.schema([("path", pa.string()), ("row_group", pa.int32()), ("column", pa.string()), ("field_id", pa.int32()), ("encodings", pa.list_(pa.string())), ("dictionary", pa.bool_())]))
+
+
+def schemas(spark: SparkSession, path: str | list[str]) -> list[tuple[str, str]]:
+    """The distinct schemas among the files, each with a file that has it; few, whatever the number of files."""
+    found = per_footer(spark, path, lambda one, meta: [(one, describe_schema(meta))], pa.schema([("path", pa.string()), ("schema", pa.string())]))
     return [(r["path"], r["schema"]) for r in found.groupBy("schema").agg(F.min("path").alias("path")).collect()]
 
 

@@ -1,17 +1,23 @@
-"""Bounds for files that aren't trusted: checked on footers and page headers before data is decoded."""
+"""Bounds for files that aren't trusted: checked on footers and page headers before data is decoded.
+
+Rows and bytes are bounded for what is held at once: a row group of the model's columns.  The total
+of a table is bounded only where all of it comes to the caller (Scan.to_array), so a scan may be as large as it likes.
+"""
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lithic.plans.model import Model
+from lithic.plans.model import Column as ModelColumn
 from lithic.plans.resolve import InvalidData
 from lithic.sources import footer
 
@@ -29,15 +35,22 @@ class Limits:
     max_expansion: int = 500
     max_column_chunks: int = 1_000_000
     max_footer_bytes: int = 64 * 1024 * 1024
-    #: Read every page header too (dictionary sizes, page sizes); costs a seek for each page.
+    #: Read the page headers of the model's columns too (dictionary sizes, page sizes); costs a seek for each page.
+    #: In a store that only Spark reads, page headers can't be reached before the data and the bounds of whole chunks hold alone.
     check_pages: bool = True
+    #: Decode the levels of nested columns too, against their bounds and the row groups' rows; reads those columns' pages once more.
+    check_levels: bool = False
 
 
 _WIDTH = {"BOOLEAN": 1, "INT32": 4, "INT64": 8, "FLOAT": 4, "DOUBLE": 8, "INT96": 12, "BYTE_ARRAY": 16, "FIXED_LEN_BYTE_ARRAY": 16}
 
 
-def check_footer(path: str, size: int, meta: pq.FileMetaData, limits: Limits) -> None:
-    """InvalidData if a footer breaks a bound."""
+def _root(path: str) -> str:
+    return path.split(".")[0].lower()
+
+
+def check_footer(path: str, size: int, meta: pq.FileMetaData, limits: Limits, roots: frozenset[str] | None = None) -> None:
+    """InvalidData if a footer breaks a bound.  roots: the top-level columns (lower case) that are read; None for all."""
 
     def fail(what: str) -> None:
         raise InvalidData(f"{path}: {what}")
@@ -50,12 +63,10 @@ def check_footer(path: str, size: int, meta: pq.FileMetaData, limits: Limits) ->
         if (depth := meta.schema.column(k).path.count(".") + 1) > limits.max_nesting_depth:
             fail(f"column '{meta.schema.column(k).path}' is nested {depth} deep; the limit is {limits.max_nesting_depth}")
     spans: list[tuple[int, int, str]] = []
-    total = 0
     for g in range(meta.num_row_groups):
         group = meta.row_group(g)
-        total += group.num_rows
-        if group.num_rows < 0 or group.num_rows > limits.max_allocation_values or total > limits.max_allocation_values:
-            fail(f"row group {g} brings {total} rows; the limit is {limits.max_allocation_values}")
+        if group.num_rows < 0 or group.num_rows > limits.max_allocation_values:
+            fail(f"row group {g} has {group.num_rows} rows; the limit is {limits.max_allocation_values}")
         width = 0
         for c in range(group.num_columns):
             chunk, leaf = group.column(c), meta.schema.column(c)
@@ -63,15 +74,17 @@ def check_footer(path: str, size: int, meta: pq.FileMetaData, limits: Limits) ->
                 fail(f"row group {g}, column '{leaf.path}': {chunk.physical_type} in a column of {leaf.physical_type}")
             if leaf.max_repetition_level == 0 and chunk.num_values != group.num_rows:
                 fail(f"row group {g}, column '{leaf.path}': {chunk.num_values} values for {group.num_rows} rows")
-            if chunk.num_values > limits.max_allocation_values:
-                fail(f"row group {g}, column '{leaf.path}': {chunk.num_values} values; the limit is {limits.max_allocation_values}")
-            if chunk.total_compressed_size > 0 and chunk.total_uncompressed_size / chunk.total_compressed_size > limits.max_expansion:
-                fail(f"row group {g}, column '{leaf.path}' grows {chunk.total_uncompressed_size / chunk.total_compressed_size:.0f} times; the limit is {limits.max_expansion}")
             offsets = [x for x in (chunk.dictionary_page_offset, chunk.data_page_offset) if x]
             first, length = min(offsets, default=0), chunk.total_compressed_size
             if length < 0 or first < 4 and length or first + length > size - 8:
                 fail(f"row group {g}, column '{leaf.path}': bytes {first} to {first + length} are not in the file's data")
             spans.append((first, first + length, leaf.path))
+            if roots is not None and _root(leaf.path) not in roots:
+                continue
+            if chunk.num_values > limits.max_allocation_values:
+                fail(f"row group {g}, column '{leaf.path}': {chunk.num_values} values; the limit is {limits.max_allocation_values}")
+            if chunk.total_compressed_size > 0 and chunk.total_uncompressed_size / chunk.total_compressed_size > limits.max_expansion:
+                fail(f"row group {g}, column '{leaf.path}' grows {chunk.total_uncompressed_size / chunk.total_compressed_size:.0f} times; the limit is {limits.max_expansion}")
             width += _WIDTH.get(chunk.physical_type, 16)
         if group.num_rows * width > limits.max_allocation_bytes:
             fail(f"row group {g} needs {group.num_rows * width} bytes; the limit is {limits.max_allocation_bytes}")
@@ -81,27 +94,36 @@ def check_footer(path: str, size: int, meta: pq.FileMetaData, limits: Limits) ->
             fail(f"column chunks '{a}' and '{b}' overlap")
 
 
-def read_footer(path: str, size: int, limits: Limits) -> pq.FileMetaData:
-    """The footer, if its size and frame are sound."""
-    with footer.open_file(footer.local_uri(path)) as f:
-        if size < 12:
-            raise InvalidData(f"{path}: {size} bytes are no Parquet file")
-        f.seek(size - 8)
-        tail = f.read(8)
-        length = int.from_bytes(tail[:4], "little")
-        if tail[4:] != b"PAR1" or length > size - 12 or length > limits.max_footer_bytes:
-            raise InvalidData(f"{path}: the footer of {length} bytes is broken or beyond the limit of {limits.max_footer_bytes}")
-        f.seek(0)
-        try:
-            meta = pq.read_metadata(f)
-        except (pa.ArrowException, OSError) as e:
-            raise InvalidData(f"{path}: {e}") from e
-        check_footer(path, size, meta, limits)
-        if limits.check_pages:
-            for g in range(meta.num_row_groups):
-                for c in range(meta.num_columns):
-                    _check_pages(path, f, meta.row_group(g).column(c), limits)
-        return meta
+def read_footer(path: str, size: int, limits: Limits, roots: frozenset[str] | None = None, tail: bytes | None = None) -> pq.FileMetaData:
+    """The footer, if its size and frame are sound; tail has the file's last bytes where tasks can't open it."""
+    if size < 12:
+        raise InvalidData(f"{path}: {size} bytes are no Parquet file")
+    if tail is not None:
+        return _read_footer(path, size, limits, roots, pa.BufferReader(b"PAR1" + tail), len(tail) + 4, False)
+    with footer.open_file(path) as f:
+        return _read_footer(path, size, limits, roots, f, size, limits.check_pages)
+
+
+def _read_footer(path: str, size: int, limits: Limits, roots: frozenset[str] | None, f: pa.NativeFile, end: int, pages: bool) -> pq.FileMetaData:
+    f.seek(end - 8)
+    frame = f.read(8)
+    length = int.from_bytes(frame[:4], "little")
+    if frame[4:] != b"PAR1" or length > min(size, end) - 12 or length > limits.max_footer_bytes:
+        raise InvalidData(f"{path}: the footer of {length} bytes is broken or beyond the limit of {limits.max_footer_bytes}")
+    f.seek(0)
+    try:
+        meta = pq.read_metadata(f)
+    except (pa.ArrowException, OSError) as e:
+        raise InvalidData(f"{path}: {e}") from e
+    check_footer(path, size, meta, limits, roots)
+    if pages:
+        for g in range(meta.num_row_groups):
+            for c in range(meta.num_columns):
+                leaf = meta.schema.column(c)
+                if roots is None or _root(leaf.path) in roots:
+                    nested = limits.check_levels and (leaf.max_repetition_level or leaf.max_definition_level > 1)
+                    _check_pages(path, f, meta.row_group(g).column(c), limits, (leaf, meta.row_group(g).num_rows) if nested else None)
+    return meta
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -161,8 +183,48 @@ def page_fields(data: bytes, at: int = 0) -> tuple[dict[int, object], int]:
     return out, at + 1
 
 
-def _check_pages(path: str, f: pa.NativeFile, chunk: pq.ColumnChunkMetaData, limits: Limits) -> None:
-    """Page sizes, growth and dictionary entries of a column chunk, from its page headers."""
+def levels(data: bytes, width: int, n: int) -> np.ndarray:
+    """n levels of width bits out of runs and bit-packed groups."""
+    out, at, have = [np.zeros(0, np.int64)], 0, 0
+    while have < n:
+        head, at = _varint(data, at)
+        if head & 1:
+            size = (head >> 1) * width
+            bits = np.unpackbits(np.frombuffer(data[at : at + size], np.uint8), bitorder="little")
+            found = bits[: len(bits) // width * width].reshape(-1, width) @ (1 << np.arange(width))
+        else:
+            size = (width + 7) // 8
+            found = np.full(min(head >> 1, n - have), int.from_bytes(data[at : at + size], "little"))
+        if not len(found) or at + size > len(data):
+            raise IndexError("levels end early")
+        at, have = at + size, have + len(found)
+        out.append(found)
+    return np.concatenate(out)[:n]
+
+
+def _page_levels(fields: dict, body: bytes, codec: str, leaf: pq.ColumnSchema) -> tuple[np.ndarray, np.ndarray]:
+    """Repetition and definition levels of a data page."""
+    found = []
+    if fields.get(1) == 3:  # the newer pages keep levels apart, uncompressed and without lengths
+        own = fields[8]
+        n, sizes = own[1], (own.get(6, 0), own.get(5, 0))
+        for size, most in zip(sizes, (leaf.max_repetition_level, leaf.max_definition_level), strict=True):
+            found.append(levels(body[:size], most.bit_length(), n) if most else np.zeros(n, np.int64))
+            body = body[size:]
+        return found[0], found[1]
+    n = fields[5][1]
+    if codec != "UNCOMPRESSED":
+        body = pa.Codec({"LZ4": "lz4_raw"}.get(codec, codec.lower())).decompress(body, fields[2]).to_pybytes()
+    for most in (leaf.max_repetition_level, leaf.max_definition_level):
+        size = int.from_bytes(body[:4], "little") if most else 0
+        found.append(levels(body[4 : 4 + size], most.bit_length(), n) if most else np.zeros(n, np.int64))
+        body = body[4 + size :] if most else body
+    return found[0], found[1]
+
+
+def _check_pages(path: str, f: pa.NativeFile, chunk: pq.ColumnChunkMetaData, limits: Limits, nested: tuple[pq.ColumnSchema, int] | None = None) -> None:
+    """Page sizes, growth and dictionary entries of a column chunk, from its page headers; of a nested one (its leaf and rows) the levels too."""
+    rows = 0
     at = min((x for x in (chunk.dictionary_page_offset, chunk.data_page_offset) if x), default=0)
     end = at + chunk.total_compressed_size
     while at < end:
@@ -180,30 +242,61 @@ def _check_pages(path: str, f: pa.NativeFile, chunk: pq.ColumnChunkMetaData, lim
             raise InvalidData(f"{path}, column '{chunk.path_in_schema}': a page grows {plain / packed:.0f} times; the limit is {limits.max_expansion}")
         if entries > limits.max_dictionary_entries:
             raise InvalidData(f"{path}, column '{chunk.path_in_schema}': {entries} dictionary entries; the limit is {limits.max_dictionary_entries}")
+        if nested and fields.get(1) in (0, 3):
+            f.seek(at + used)
+            try:
+                repeats, defined = _page_levels(fields, f.read(packed), chunk.compression, nested[0])
+            except (IndexError, KeyError, TypeError, ValueError, pa.ArrowException, OSError) as e:
+                raise InvalidData(f"{path}, column '{chunk.path_in_schema}': broken levels at {at}") from e
+            for name, found, most in (("repetition", repeats, nested[0].max_repetition_level), ("definition", defined, nested[0].max_definition_level)):
+                if len(found) and found.max() > most:
+                    raise InvalidData(f"{path}, column '{chunk.path_in_schema}': illegal {name} level {found.max()}; the greatest is {most}")
+            rows += int((repeats == 0).sum())
         at += used + packed
+    if nested and rows != nested[1]:
+        raise InvalidData(f"{path}, column '{chunk.path_in_schema}': levels of {rows} rows in a row group of {nested[1]}")
 
 
-def check_files(spark: SparkSession, path: str | list[str], limits: Limits) -> list[tuple[str, str]]:
-    """Checks every file where the executors are; the distinct schemas as (a file, schema)."""
+#: What check_files() found, by session, files and limits: footers that haven't changed aren't read again.
+_checked: OrderedDict[tuple, tuple[list[tuple[str, str]], int]] = OrderedDict()
+_REMEMBERED = 256
+
+
+def check_files(spark: SparkSession, path: str | list[str], limits: Limits, roots: frozenset[str] | None = None) -> tuple[list[tuple[str, str]], int]:
+    """Checks every file where the executors are; the distinct schemas as (a file, schema), and how many rows there are.
+
+    The answer is remembered as long as the files' paths, lengths and times stay what they are.
+    """
+    paths = [path] if isinstance(path, str) else list(path)
+    listed = footer.files(spark, paths)
+    state = listed.agg(F.count("*"), F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first()
+    key = (spark.sparkContext.applicationId, tuple(paths), limits, roots, *state)
+    if key in _checked:
+        _checked.move_to_end(key)
+        return _checked[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            schema, wrong = [], []
-            for one, size in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist(), strict=True):
+            found = []
+            for one, size, tail in zip(*(batch.column(c).to_pylist() for c in ("path", "length", "tail")), strict=True):
                 try:
-                    schema.append(footer.describe_schema(read_footer(one, size, limits)))
-                    wrong.append(None)
+                    meta = read_footer(one, size, limits, roots, tail)
+                    found.append((one, footer.describe_schema(meta), None, meta.num_rows))
                 except InvalidData as e:
-                    schema.append("")
-                    wrong.append(str(e))
-            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(schema, pa.string()), pa.array(wrong, pa.string())], ["path", "schema", "wrong"])
+                    found.append((one, "", str(e), 0))
+            kinds = {"path": pa.string(), "schema": pa.string(), "wrong": pa.string(), "rows": pa.int64()}
+            columns = list(zip(*found, strict=True)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], list(kinds))
 
-    found = footer.files(spark, path).mapInArrow(run, "path string, schema string, wrong string")
-    rows = found.groupBy("schema").agg(F.min("path").alias("path"), F.min("wrong").alias("wrong")).collect()
+    found = footer.tails(spark, paths, limits.max_footer_bytes).select("path", "length", "tail").mapInArrow(run, "path string, schema string, wrong string, rows long")
+    rows = found.groupBy("schema").agg(F.min("path").alias("path"), F.min("wrong").alias("wrong"), F.sum("rows").alias("rows")).collect()
     for r in rows:
         if r["wrong"]:
             raise InvalidData(r["wrong"])
-    return [(r["path"], r["schema"]) for r in rows]
+    _checked[key] = [(r["path"], r["schema"]) for r in rows], sum(r["rows"] for r in rows)
+    while len(_checked) > _REMEMBERED:
+        _checked.popitem(last=False)
+    return _checked[key]
 
 
 def _has_text(kind: T.DataType) -> bool:
@@ -230,14 +323,16 @@ def _longest(at: Column, kind: T.DataType) -> Column:
     return F.octet_length(at)
 
 
-def guard_rows(df: DataFrame, model: Model, limits: Limits, nulls: bool = True) -> DataFrame:
-    """df whose rows fail when read if a text, in structs and lists too, is too long or a required column holds a null."""
-    checks = []
-    for c in model.columns:
-        at = F.col(f"`{c.name}`")
-        if _has_text(df.schema[c.name].dataType):
-            size = _longest(at, df.schema[c.name].dataType)
-            checks.append(F.when(size > limits.max_string_bytes, F.raise_error(F.concat(F.lit(f"column '{c.name}': a value of "), size.cast("string"), F.lit(f" bytes; the limit is {limits.max_string_bytes}")))))
-        if nulls and c.kind == "leaf" and not c.nullable:
-            checks.append(F.when(at.isNull(), F.raise_error(F.lit(f"required column '{c.name}' holds a null"))))
-    return df.where(F.coalesce(*[x.cast("boolean") for x in checks], F.lit(True))) if checks else df
+def guarded(c: ModelColumn, at: Column, limits: Limits, nulls: bool = True) -> Column:
+    """A column that fails when read if a text in it, in structs and lists too, is too long, or if it is required and holds a null.
+
+    The check is part of the column, so a column that nobody asks for takes its check with it and isn't read.
+    """
+    kind, out = c.spark_type, at
+    if _has_text(kind):
+        size = _longest(at, kind)
+        said = F.concat(F.lit(f"column '{c.name}': a value of "), size.cast("string"), F.lit(f" bytes; the limit is {limits.max_string_bytes}"))
+        out = F.when(size > limits.max_string_bytes, F.raise_error(said).cast(kind)).otherwise(out)
+    if nulls and c.kind == "leaf" and not c.nullable:
+        out = F.when(at.isNull(), F.raise_error(F.lit(f"required column '{c.name}' holds a null")).cast(kind)).otherwise(out)
+    return out.alias(c.name)

@@ -1,14 +1,19 @@
 """The scan builder: scan(spark, Model, path) ... to a DataFrame, rows, a row stream or Arrow batches.
 
 Every step returns a new builder.  Footers are checked and schemas resolved by one
-distributed job before the first plan is made; the scan itself is Spark's own Parquet
+distributed job before the first plan is made, and remembered while the files stay as they are; the scan itself is Spark's own Parquet
 reader with the model's columns only, so filters and columns reach the files.
 """
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import dataclasses
+import io
+import shutil
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -24,7 +29,7 @@ from lithic.operators.pruning import ColumnStatistics, Predicate, RowGroupMetada
 from lithic.plans.model import Model, model_of
 from lithic.plans.resolve import InvalidData, resolve
 from lithic.sources import footer
-from lithic.sources.guards import Limits, check_files, guard_rows, read_footer
+from lithic.sources.guards import Limits, check_files, guarded, read_footer
 
 
 class NotSupported(RuntimeError):
@@ -69,7 +74,7 @@ class Scan:
         return dataclasses.replace(self, predicate=predicate)
 
     def filter(self, condition: Column) -> Scan:
-        """Only rows that match, by Spark's own pushdown."""
+        """Only rows that match, by Spark's own pushdown; rows that don't aren't checked for long texts and nulls."""
         return dataclasses.replace(self, condition=condition if self.condition is None else self.condition & condition)
 
     def parallel(self) -> Scan:
@@ -85,26 +90,35 @@ class Scan:
         """The scan as a lazy DataFrame with the model's columns in the model's order."""
         return self._frame(False)
 
+    def _checked(self) -> tuple[list[tuple[str, str]], int]:
+        return check_files(self.spark, list(self.paths), self.options.limits, frozenset(c.name.lower() for c in self.model.columns))
+
     def _frame(self, placed: bool) -> DataFrame:
-        schemas = check_files(self.spark, list(self.paths), self.options.limits)
+        schemas, _ = self._checked()
         # A column that is in some files only is null in the others.
         present = [resolve(self.model, schema, path) for path, schema in schemas]
         absent = {c.name for c in self.model.columns if present and not any(p[c.name] for p in present)}
-        if self.predicate is not None:
-            df = self._candidates()
-        else:
-            kept = T.StructType([f for f in self.model.schema.fields if f.name not in absent])
-            df = self.spark.read.schema(kept).parquet(*self.paths)
-            if self.options.max_tasks > 0:
-                df = df.coalesce(self.options.max_tasks)
+        df = self._native(absent) if self.predicate is None else self._candidates(absent)
+        if self.predicate is None and self.options.max_tasks > 0:
+            df = df.coalesce(self.options.max_tasks)
+        # The condition goes first, on the file's own columns, so it is pushed down.
         named = [F.lit(None).cast(c.spark_type).alias(c.name) if c.name in absent else F.col(f"`{c.name}`") for c in self.model.columns]
-        if placed:
-            named += [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row")]
-        df = guard_rows(df.select(*named), self.model, self.options.limits)
-        return df if self.condition is None else df.where(self.condition)
+        place = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row")] if placed else []
+        df = df.select(*named, *place)
+        df = df if self.condition is None else df.where(self.condition)
+        checked = [F.col(f"`{c.name}`") if c.name in absent else guarded(c, F.col(f"`{c.name}`"), self.options.limits) for c in self.model.columns]
+        return df.select(*checked, *(["__file", "__row"] if placed else []))
+
+    def _native(self, absent: set[str]) -> DataFrame:
+        """Spark's own scan of the columns that the files have."""
+        kept = T.StructType([f for f in self.model.schema.fields if f.name not in absent])
+        return self.spark.read.schema(kept).parquet(*self.paths)
 
     def to_array(self) -> list[Row]:
-        """All rows in file order."""
+        """All rows in file order; InvalidData if the files hold more than the limits allow to be held."""
+        _, rows = self._checked()
+        if self.predicate is None and self.condition is None and rows > self.options.limits.max_allocation_values:
+            raise InvalidData(f"{rows} rows for one array; the limit is {self.options.limits.max_allocation_values}")
         return self._ordered().collect()
 
     def rows(self) -> Iterator[Row]:
@@ -113,21 +127,35 @@ class Scan:
         return self._ordered().toLocalIterator()
 
     def batches(self) -> Iterator[pa.RecordBatch]:
-        """One Arrow batch for each row group, in order; the batches are the caller's own."""
-        self._not_after_parallel("batches()")
+        """One Arrow batch for each row group, in order; the batches are the caller's own.
+
+        They are read where the executors are, and come one after the other.
+        """
+        self._may_batch("batches()")
+
+        def shown(batch: pa.RecordBatch) -> pa.RecordBatch:
+            sink = io.BytesIO()
+            with pa.ipc.new_stream(sink, batch.schema) as out:
+                out.write_batch(batch)
+            return pa.RecordBatch.from_arrays([pa.array([sink.getvalue()], pa.large_binary() if sink.tell() > 1 << 30 else pa.binary())], ["batch"])
+
+        for row in self.map_batches(shown, "batch binary").toLocalIterator(prefetchPartitions=True):
+            yield pa.ipc.open_stream(row.batch).read_next_batch()
+
+    def map_batches(self, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: T.StructType | str) -> DataFrame:
+        """What f makes of each row group's Arrow batch, in the tasks: (schema), a row group at a time, in no promised order of files."""
+        self._may_batch("map_batches()")
+        schemas, _ = self._checked()
+        for path, found in schemas:
+            resolve(self.model, found, path)
+        return self._grouped(lambda batches: (f(b) for b in batches), schema)
+
+    def _may_batch(self, what: str) -> None:
+        self._not_after_parallel(what)
         if self.options.strict and self.predicate is not None:
-            raise NotSupported("batches() after where()")
+            raise NotSupported(f"{what} after where()")
         if not self.model.flat:
-            raise NotSupported("batches() are for models of plain columns")
-        self.to_df()
-        for path, length in sorted(tuple(r) for r in footer.files(self.spark, list(self.paths)).collect()):
-            meta = read_footer(path, length, self.options.limits)
-            with footer.open_file(footer.local_uri(path)) as f:
-                file = pq.ParquetFile(f)
-                names = {n.lower(): n for n in reversed(file.schema_arrow.names)}
-                for g in range(meta.num_row_groups):
-                    table = file.read_row_group(g, columns=[names[c.name.lower()] for c in self.model.columns if c.name.lower() in names])
-                    yield _as_model(table, self.model)
+            raise NotSupported(f"{what} is for models of plain columns")
 
     def _not_after_parallel(self, what: str) -> None:
         if self.options.strict and self.in_parallel:
@@ -140,37 +168,53 @@ class Scan:
     # ---- whole row groups ---------------------------------------------------
 
     def row_groups(self) -> DataFrame:
-        """(path, row_group, row_count) of the groups that the predicate accepts."""
-        model, limits = dataclasses.replace(self.model, cls=None), self.options.limits
+        """(path, row_group, row_count, first_row) of the groups that the predicate accepts."""
+        model, limits = dataclasses.replace(self.model, cls=None), dataclasses.replace(self.options.limits, check_pages=False)
         predicate = self.predicate.group if isinstance(self.predicate, Predicate) else self.predicate
+        kinds = {"path": pa.string(), "row_group": pa.int32(), "row_count": pa.int64(), "first_row": pa.int64()}
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found: list[tuple[str, int, int]] = []
-                for path, size in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist(), strict=True):
-                    for group in group_metadata(read_footer(path, size, limits), model):
+                found: list[tuple[str, int, int, int]] = []
+                for path, size, tail in zip(*(batch.column(c).to_pylist() for c in ("path", "length", "tail")), strict=True):
+                    before = 0
+                    for group in group_metadata(read_footer(path, size, limits, frozenset(), tail), model):
                         if accept_row_group(model, predicate, group):
-                            found.append((path, group.row_group, group.row_count))
-                columns = list(zip(*found, strict=True)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.int64()), strict=True)], ["path", "row_group", "row_count"])
-
-        return footer.files(self.spark, list(self.paths)).mapInArrow(run, "path string, row_group int, row_count long")
-
-    def _candidates(self) -> DataFrame:
+                            found.append((path, group.row_group, group.row_count, before))
+                        before += group.row_count
+                columns = list(zip(*found, strict=True)) or [()] * len(kinds)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], list(kinds))
+
+        listed = footer.tails(self.spark, list(self.paths), limits.max_footer_bytes).select("path", "length", "tail")
+        return listed.mapInArrow(run, "path string, row_group int, row_count long, first_row long")
+
+    def _grouped(self, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+        """f over the accepted row groups' batches, each read by one task; a task has groups that follow each other."""
+        if not footer.by_arrow(list(self.paths)):
+            raise NotSupported("row groups as batches: Arrow doesn't open this store")
         model = dataclasses.replace(self.model, cls=None)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for path, g in zip(batch.column("path").to_pylist(), batch.column("row_group").to_pylist(), strict=True):
-                    with footer.open_file(footer.local_uri(path)) as f:
-                        file = pq.ParquetFile(f)
+                    with footer.open_file(path) as opened:
+                        file = pq.ParquetFile(opened)
                         names = {n.lower(): n for n in reversed(file.schema_arrow.names)}
                         yield _as_model(file.read_row_group(g, columns=[names[c.name.lower()] for c in model.columns if c.name.lower() in names]), model)
 
-        chosen = self.row_groups()
         tasks = max(1, self.spark.sparkContext.defaultParallelism)
-        spread = chosen.repartitionByRange(tasks, "path", "row_group").sortWithinPartitions("path", "row_group")
-        return spread.select("path", "row_group").mapInArrow(run, self.model.schema)
+        spread = self.row_groups().repartitionByRange(tasks, "path", "row_group").sortWithinPartitions("path", "row_group")
+        return spread.select("path", "row_group").mapInArrow(lambda batches: f(groups(batches)), schema)
+
+    def _candidates(self, absent: set[str]) -> DataFrame:
+        """The rows of the accepted groups: read group by group, or in a store that only Spark opens by their places in the files."""
+        if footer.by_arrow(list(self.paths)):
+            return self._grouped(lambda batches: batches, self.model.schema)
+        chosen = self.row_groups().select("path", F.col("first_row").alias("__first"), (F.col("first_row") + F.col("row_count")).alias("__end"))
+        own = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+        rows = self._native(absent).select("*", own.alias("__path"), F.col("_metadata.row_index").alias("__at"))
+        met = (F.col("__path") == F.col("path")) & (F.col("__at") >= F.col("__first")) & (F.col("__at") < F.col("__end"))
+        return rows.join(chosen, met).drop("path", "__path", "__at", "__first", "__end")
 
 
 def group_metadata(meta: pq.FileMetaData, model: Model) -> Iterator[RowGroupMetadata]:
@@ -218,28 +262,43 @@ def scan_buffer(spark: SparkSession, model: Model | type, data: bytes) -> Scan:
     """A scan of a file in memory, which is put in the shared folder, or a temporary one on a local master."""
     if data is None:
         raise ValueError("data must not be None")
-    return dataclasses.replace(scan(spark, model, _spool(spark, data)), kind="buffer")
+    return dataclasses.replace(scan(spark, model, _spool(spark, io.BytesIO(data))), kind="buffer")
 
 
 def scan_stream(spark: SparkSession, model: Model | type, stream) -> Scan:
-    """A scan of a readable binary stream; it can't be read in parallel."""
+    """A scan of a readable binary stream, copied piece by piece; it can't be read in parallel."""
     if stream is None:
         raise ValueError("stream must not be None")
-    return dataclasses.replace(scan(spark, model, _spool(spark, stream.read())), kind="stream")
+    return dataclasses.replace(scan(spark, model, _spool(spark, stream)), kind="stream")
+
+
+_PIECE = 1 << 20
 
 
-def _spool(spark: SparkSession, data: bytes) -> str:
+def _spool(spark: SparkSession, data) -> str:
+    """The bytes of a readable stream as a file of a new name, which goes when the process ends."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None and not spark.sparkContext.master.startswith("local["):
         raise InvalidData("set spark.checkpoint.dir to a folder that all executors share")
-    if root is None or root.startswith("file:") or "://" not in root:
-        place = Path(tempfile.mkdtemp(prefix="lithic-", dir=(root or "").removeprefix("file://") or None)) / "buffer.parquet"
-        place.parent.mkdir(parents=True, exist_ok=True)
-        place.write_bytes(data)
-        return str(place)
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/lithic-buffer-{id(data)}.parquet")
-    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
-    out.write(bytearray(data))
-    out.close()
+    name = f"lithic-buffer-{uuid.uuid4().hex}.parquet"
+    if root is None:
+        place = Path(tempfile.mkdtemp(prefix="lithic-"))
+        atexit.register(shutil.rmtree, place, ignore_errors=True)
+        with (place / name).open("wb") as out:
+            shutil.copyfileobj(data, out, _PIECE)
+        return str(place / name)
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}")
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = store.create(at, False)
+    try:
+        while piece := data.read(_PIECE):
+            out.write(bytearray(piece))
+    finally:
+        out.close()
+
+    def gone() -> None:
+        with contextlib.suppress(Exception):  # the JVM may be gone already
+            store.delete(at, False)
+
+    atexit.register(gone)
     return at.toString()

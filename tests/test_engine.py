@@ -217,7 +217,7 @@ def test_writing(spark, tmp_path):
     write_arrow(spark, batch, Base, str(tmp_path / "a"), WriteOptions(row_group_size=1))
     assert footer.row_groups(spark, str(tmp_path / "a")).count() == 1
     for codec, shown in (("zstd", "ZSTD"), ("lz4", "LZ4"), ("none", "UNCOMPRESSED")):
-        write(scan(spark, Base, at).to_df(), Base, str(tmp_path / codec), WriteOptions(compression=codec, level="fastest"))
+        write(scan(spark, Base, at).to_df(), Base, str(tmp_path / codec), WriteOptions(compression=codec, level="fastest" if codec == "zstd" else "optimal"))
         assert {r.codec for r in footer.zone_map(spark, str(tmp_path / codec)).select("codec").collect()} <= {shown, shown + "_RAW"}
     with pytest.raises(Exception, match="is no uint8"):
         record_of = spark.createDataFrame([(300,)], "v int")
@@ -251,7 +251,8 @@ def test_guards(spark, tmp_path):
 
 def test_guards_by_default(spark, tmp_path):
     """Page bounds need no option, and texts in structs and lists count."""
-    from lithic.sources.guards import guard_rows
+    from lithic.plans.model import Column, Options
+    from lithic.sources.guards import guarded
 
     at = str(tmp_path / "g.parquet")
     pq.write_table(pa.table({"id": pa.array(range(1000), pa.int32()), "name": ["x" * 100] * 1000, "score": [1.0] * 1000}), at)
@@ -259,17 +260,170 @@ def test_guards_by_default(spark, tmp_path):
         with pytest.raises(InvalidData):
             scan(spark, Base, at).with_options(ReadOptions(limits=Limits(**limits))).to_array()
 
-    class Column:
-        name, kind, nullable = "v", "struct", True
-
-    class Nested:
-        columns = [Column]
+    class Odd(Column):
+        spark_type = None
 
     for kind, value in (("struct<a:int,b:array<string>>", (1, ["ok", None, "x" * 100])), ("array<struct<s:string,t:string>>", [("ok", "x" * 100), None]), ("map<string,int>", {"x" * 100: 1})):
         df = spark.createDataFrame([(value,), (None,)], f"v {kind}")
-        assert guard_rows(df, Nested, Limits(max_string_bytes=100)).count() == 2
+        c = Odd("v", "v", "record", True, Options())
+        object.__setattr__(c, "__class__", type("Shown", (Odd,), {"spark_type": df.schema["v"].dataType}))
+        assert df.select(guarded(c, F.col("v"), Limits(max_string_bytes=100))).where("v is null").count() == 1
         with pytest.raises(Exception, match="100 bytes"):
-            guard_rows(df, Nested, Limits(max_string_bytes=99)).collect()
+            df.select(guarded(c, F.col("v"), Limits(max_string_bytes=99))).collect()
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_unused_columns_are_not_read(spark, sorted_events):
+    s = scan(spark, Event, sorted_events)
+    assert "ReadSchema: struct<bucket:int>" in plan_of(s.to_df().select("bucket"))
+    pushed = plan_of(s.filter(F.col("key") >= 9000).to_df().select("bucket"))
+    assert "GreaterThanOrEqual(key,9000)" in pushed and "payload" not in pushed.partition("ReadSchema")[2]
+
+
+def test_tables_may_be_larger_than_a_group(spark, tmp_path):
+    """Limits count what is held at once: a scan of more rows than one group may have goes on, an array of them doesn't."""
+    at = str(tmp_path / "many.parquet")
+    pq.write_table(pa.table({"id": pa.array(range(1000), pa.int32()), "name": ["a"] * 1000, "score": [1.0] * 1000, "wide": ["w"] * 1000}), at, row_group_size=100)
+    s = scan(spark, Base, at).with_options(ReadOptions(limits=Limits(max_allocation_values=100, max_allocation_bytes=2800)))
+    assert s.to_df().count() == 1000
+    with pytest.raises(InvalidData, match="1000 rows"):
+        s.to_array()
+    with pytest.raises(InvalidData, match="needs 2800 bytes"):
+        scan(spark, Base, at).with_options(ReadOptions(limits=Limits(max_allocation_bytes=2799))).to_df()
+
+
+def test_footers_are_remembered(spark, tmp_path, monkeypatch):
+    from lithic.sources import guards
+
+    at = tmp_path / "one.parquet"
+    pq.write_table(pa.table({"id": pa.array([1], pa.int32()), "name": ["a"]}), at)
+    calls, tails = [], footer.tails
+    monkeypatch.setattr(footer, "tails", lambda *a: calls.append(a) or tails(*a))
+    for _ in range(3):
+        assert scan(spark, Base, str(at)).to_df().count() == 1
+    assert len(calls) == 1
+    pq.write_table(pa.table({"id": pa.array([1, 2], pa.int64()), "name": ["a", "b"]}), at)
+    with pytest.raises(InvalidData, match="id"):
+        scan(spark, Base, str(at)).to_df()
+    assert len(calls) == 2 and len(guards._checked) <= guards._REMEMBERED
+
+
+def test_store_that_only_spark_opens(spark, sorted_events):
+    """viewfs is no file system of Arrow's: footers come through Hadoop's, and whole row groups through Spark's scan."""
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.lithictest.link./in", f"file://{sorted_events}")
+    s = scan(spark, Event, "viewfs://lithictest/in")
+    assert s.to_df().count() == 10_000
+    assert groups(s.where(may("key").between(2050, 2349))) == [20, 21, 22, 23]
+    kept = s.where(may("key").equal(7531)).to_df()
+    assert sorted(r.key for r in kept.collect()) == list(range(7500, 7600))
+    assert footer.row_groups(spark, "viewfs://lithictest/in").agg(F.sum("row_count")).first()[0] == 10_000
+    with pytest.raises(InvalidData):
+        s.with_options(ReadOptions(limits=Limits(max_row_groups=9))).to_df()
+    with pytest.raises(NotSupported):
+        next(s.batches())
+
+
+def test_batches_where_the_data_is(spark, sorted_events):
+    def show(b):
+        return pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64()), pa.array([sum(b.column("key").to_pylist())], pa.int64())], ["n", "total"])
+
+    rows = scan(spark, Event, sorted_events).map_batches(show, "n long, total long").collect()
+    assert len(rows) == 100 and {r.n for r in rows} == {100} and sum(r.total for r in rows) == sum(range(10_000))
+    with pytest.raises(NotSupported):
+        scan(spark, Event, sorted_events).where(may("key").equal(1)).map_batches(show, "n long, total long")
+
+
+def test_buffers_have_names_of_their_own(spark):
+    """A scan of a buffer is lazy: another buffer of the same size must not be read in its place."""
+    import io
+
+    def data(name):
+        out = io.BytesIO()
+        pq.write_table(pa.table({"id": pa.array([1], pa.int32()), "name": [name]}), out)
+        return out.getvalue()
+
+    first, second = (scan_buffer(spark, Base, data(n)).to_df() for n in "ab")
+    assert first.collect()[0].name == "a" and second.collect()[0].name == "b"
+
+
+def test_broken_levels_say_why(spark):
+    from lithic import rule_queries as r
+
+    import io
+
+    lists = io.BytesIO()
+    pq.write_table(pa.table({"id": pa.array([1, 2], pa.int32()), "scores": pa.array([[10], [20]], pa.list_(pa.int32()))}), lists, compression="none", use_dictionary=False)
+    lists = lists.getvalue()
+    checked = ReadOptions(limits=Limits(check_levels=True))
+    for broken, said in ((r._bad_levels(lists), "illegal definition level 99"), (r._fewer_rows(lists, of_flat=True), "levels of 2 rows in a row group of 1"), (r._fewer_rows(lists), "2 values for 1 rows")):
+        with pytest.raises(InvalidData, match=said):
+            scan_buffer(spark, r.Listed, broken).with_options(checked).to_df()
+    for how in ({"data_page_version": "2.0"}, {"compression": "zstd"}, {"compression": "snappy", "data_page_version": "2.0"}, {"compression": "lz4"}, {"compression": "gzip"}):
+        out = io.BytesIO()
+        values = [[1, None, 3], None, [], [None]] * 300 + [list(range(50))] * 40
+        pq.write_table(pa.table({"id": pa.array(range(len(values)), pa.int32()), "scores": pa.array(values, pa.list_(pa.int32()))}), out, row_group_size=500, **how)
+        assert scan_buffer(spark, r.Listed, out.getvalue()).with_options(checked).to_df().count() == len(values)
+
+
+def test_footer_bounds():
+    """Ranges, overlaps, physical types and counts that no honest writer makes."""
+    from types import SimpleNamespace as N
+
+    from lithic.sources.guards import check_footer
+
+    def footer_of(*chunks, rows=10, leaves=("INT32", "INT32")):
+        cells = [N(physical_type=c.get("kind", "INT32"), num_values=c.get("n", rows), total_compressed_size=c.get("size", 40), total_uncompressed_size=c.get("plain", 40), dictionary_page_offset=None, data_page_offset=c["at"]) for c in chunks]
+        group = N(num_rows=rows, num_columns=len(cells), column=lambda k: cells[k])
+        schema = N(column=lambda k: N(path=f"c{k}", physical_type=leaves[k], max_repetition_level=0))
+        return N(num_row_groups=1, num_columns=len(cells), schema=schema, row_group=lambda g: group)
+
+    check_footer("f", 200, footer_of({"at": 4}, {"at": 44}), Limits())
+    for said, meta in (
+        ("overlap", footer_of({"at": 4}, {"at": 43})),
+        ("not in the file's data", footer_of({"at": 4}, {"at": 160})),
+        ("not in the file's data", footer_of({"at": 2}, {"at": 44})),
+        ("not in the file's data", footer_of({"at": 4, "size": -1}, {"at": 44})),
+        ("BYTE_ARRAY in a column of INT32", footer_of({"at": 4}, {"at": 44, "kind": "BYTE_ARRAY"})),
+        ("9 values for 10 rows", footer_of({"at": 4}, {"at": 44, "n": 9})),
+        ("grows 501 times", footer_of({"at": 4}, {"at": 44, "plain": 40 * 501})),
+        ("rows; the limit", footer_of({"at": 4}, {"at": 44}, rows=10_000_001)),
+        ("rows; the limit", footer_of({"at": 4}, {"at": 44}, rows=-1)),
+    ):
+        with pytest.raises(InvalidData, match=said):
+            check_footer("f", 200, meta, Limits())
+    # What isn't read isn't counted.
+    check_footer("f", 200, footer_of({"at": 4}, {"at": 44, "plain": 40 * 501}), Limits(), frozenset(["c0"]))
+
+
+def test_writer_options_in_files(spark, tmp_path):
+    """Dictionary pages that outgrow their bound are given up; field ids are in the file."""
+    rows = spark.range(2000).selectExpr("id as key", "concat('name ', id % 50) as name").coalesce(1)
+    found = {}
+    for size in (64, 1 << 24):
+        write(rows, _Named, str(tmp_path / f"d{size}"), WriteOptions(dictionary_page_bytes=size))
+        found[size] = {r.column: r for r in footer.encodings(spark, str(tmp_path / f"d{size}")).collect()}
+    assert found[1 << 24]["name"].dictionary and found[1 << 24]["name"].encodings != found[64]["name"].encodings
+    assert found[64]["key"].field_id == 3 and found[64]["name"].field_id is None
+
+
+@record
+class _Named:
+    key: int = column(field_id=3)
+    name: Optional[str] = column(encoding="dictionary")
+
+
+def test_negated_predicates():
+    p = may("key")
+    stats = lambda lo, hi: RowGroupMetadata(0, 1, {"key": ColumnStatistics(lo, hi)})
+    both = ~(p.at_least(10) & p.at_most(20))
+    assert both(stats(1, 9)) and both(stats(21, 30)) and both(stats(5, 15)) and not both(stats(10, 20))
+    either = ~(p.less_than(10) | p.greater_than(20))
+    assert either(stats(10, 20)) and not either(stats(1, 9)) and not either(stats(21, 30))
+    assert not (~p.equal(3))(stats(3, 3)) and (~p.equal(3))(stats(3, 4)) and not (~p.between(1, 9))(stats(2, 8))
+    assert (~p.any_of([3]))(stats(3, 3)) and p.any_of([None, 3])(stats(1, 4)) and not p.any_of([None])(stats(1, 4))
 
 
 def test_transforms(spark):

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from lithic.queries import SQL
+from lithic import queries, rule_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,7 +25,7 @@ def plain(rows):
 
 
 @pytest.mark.skipif(not Path(SF).exists(), reason="no test data")
-@pytest.mark.parametrize("name", sorted(SQL))
+@pytest.mark.parametrize("name", sorted(queries.SQL | rule_queries.SQL))
 def test_same_as_sql(spark, duck, name):
     df = __spark_entry__.queries()[name](spark, SF)
     columns = sorted(df.columns)
