@@ -53,7 +53,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(_table(spark, sf_dir, "documents")).drop("row_key")
+    return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,14 +95,14 @@ SELECT conv_id, count(*) AS n_turns,
 FROM said GROUP BY conv_id
 """
 
-#: The mixture's totals by another road: each source takes the first `take` words of its thrice repeated stream.
+#: Words by another road: each source takes the first `take` words of its thrice repeated stream; the slots are the golden-ratio schedule's.
 OP6_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
     md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS spot
   FROM documents),
 src AS (
-  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS source_no,
     (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM sized GROUP BY source),
 fill AS (
   SELECT *, 3 * source_size AS cap, sum(source_size) OVER () AS total,
@@ -111,14 +111,33 @@ fill AS (
 level AS (
   SELECT min_by(CAST(total - caps AS DOUBLE) / CAST(weights AS DOUBLE), cap / weight) AS level
   FROM fill WHERE CAST(total - caps AS DOUBLE) / CAST(weights AS DOUBLE) * weight < cap),
-goal AS (SELECT source, source_size, least(CAST(cap AS DOUBLE), level * weight) AS target FROM fill, level),
+goal AS (
+  SELECT source, source_no, source_size, least(CAST(cap AS DOUBLE), level * weight) AS target,
+    CAST(floor(least(CAST(cap AS DOUBLE), level * weight) + 0.5) AS BIGINT) AS take FROM fill, level),
+shares AS (
+  SELECT source_no, (take + 2047) // 2048 AS blocks, CAST(sum((take + 2047) // 2048) OVER (ORDER BY source_no) AS BIGINT) AS hi,
+    CAST(sum((take + 2047) // 2048) OVER () AS BIGINT) AS every FROM goal WHERE take > 0),
+n AS (SELECT max(every) + max(every) // 16 + 64 AS n FROM shares),
+points AS (SELECT i AS slot, CAST(i % 2147483648 * 1327217885 % 2147483648 AS DOUBLE) / 2147483648.0::DOUBLE AS u FROM n, range(CAST(n.n AS BIGINT)) r(i)),
+owned AS (
+  SELECT slot, source_no, blocks, row_number() OVER (PARTITION BY source_no ORDER BY slot) - 1 AS rank FROM points JOIN shares
+  ON u >= CAST(hi - blocks AS DOUBLE) / CAST(every AS DOUBLE) AND u < CAST(hi AS DOUBLE) / CAST(every AS DOUBLE)),
 laid AS (
-  SELECT doc_id, size, source_size, target, CAST(floor(target + 0.5) AS BIGINT) AS take,
+  SELECT doc_id, source_no, size, source_size, target, take,
     CAST(sum(size) OVER (PARTITION BY source ORDER BY spot ROWS UNBOUNDED PRECEDING) - size AS BIGINT) AS pos
-  FROM sized JOIN goal USING (source))
-SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-  greatest(0, least(size, take - pos)) + greatest(0, least(size, take - pos - source_size)) + greatest(0, least(size, take - pos - 2 * source_size)) AS taken
-FROM laid
+  FROM sized JOIN goal USING (source)),
+used AS (
+  SELECT *, greatest(0, least(size, take - pos)) + greatest(0, least(size, take - pos - source_size)) + greatest(0, least(size, take - pos - 2 * source_size)) AS taken,
+    CASE WHEN pos + 2 * source_size < take THEN 2 WHEN pos + source_size < take THEN 1 ELSE 0 END AS again FROM laid),
+ranks AS (
+  SELECT *, CASE WHEN taken > 0 THEN pos // 2048 END AS first_rank,
+    CASE WHEN taken > 0 THEN (least(pos + again * source_size + size, take) - 1) // 2048 END AS last_rank FROM used)
+SELECT doc_id, CAST(size AS BIGINT) AS size, r.source_size, target, CAST(taken AS BIGINT) AS taken,
+  CASE WHEN first_rank IS NOT NULL THEN coalesce(a.slot, n.n + r.source_no) END AS first_slot,
+  CASE WHEN last_rank IS NOT NULL THEN coalesce(b.slot, n.n + r.source_no) END AS last_slot
+FROM ranks r CROSS JOIN n
+LEFT JOIN owned a ON a.source_no = r.source_no AND a.rank = r.first_rank AND a.rank < a.blocks
+LEFT JOIN owned b ON b.source_no = r.source_no AND b.rank = r.last_rank AND b.rank < b.blocks
 """
 
 #: These pages have one article each without asides in it; blocks, character references and white space as in the operator.

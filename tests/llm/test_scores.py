@@ -158,6 +158,68 @@ def test_mixture_itself(spark):
         assert known[r.doc_id].startswith(r.text) and r.n_chars == len(r.text)
 
 
+def test_mixture_follows_the_schedule(spark):
+    """Any stretch of the slots has the sources near their shares; the golden ratio does that, slots in a row don't."""
+    texts = [(k, " ".join(f"w{j}" for j in range(5 + k % 30)), f"s{k % 5}") for k in range(1500)]
+    docs = docs_of(spark, texts)
+    rows = [(r.slot, r.source, len(r.text.split())) for r in mixing.mixture(docs, block=16).collect()]
+    whole = sum(n for *_, n in rows)
+    share = {s: sum(n for _, x, n in rows if x == s) / whole for s in {x for _, x, _ in rows}}
+    top = max(r[0] for r in rows)
+    for k in range(8):
+        part = [r for r in rows if k * top // 8 <= r[0] < (k + 1) * top // 8]
+        for s, want in share.items():
+            assert abs(sum(n for _, x, n in part if x == s) / sum(n for *_, n in part) - want) < 0.08, (k, s)
+    slots = mixing.mix_sources(docs, block=16).where("taken > 0")
+    assert slots.where("first_slot is null or last_slot < first_slot").count() == 0
+    assert {r.first_slot for r in slots.collect()} <= {s for s, *_ in rows}
+    # Partitions are stretches of the schedule, in order.
+    spread = mixing.mixture(docs, block=16).groupBy(F.spark_partition_id().alias("p")).agg(F.min("slot").alias("lo"), F.max("slot").alias("hi")).orderBy("p").collect()
+    assert len(spread) > 1 and all(a.hi < b.lo for a, b in zip(spread, spread[1:]))
+
+
+def test_mixture_edges(spark):
+    spec = "doc_id long, text string, source string, row string, cut int, taken int, slot string, n_chars string"
+    rows = [(k % 40 if k % 7 else None, " ".join(["a", "b", "c"] * (k % 11)) if k % 13 else None, "big" if k % 3 else None, "r", 1, 2, "s", "x") for k in range(400)]
+    rows += [(1000, " \n", "big", "r", 1, 2, "s", "x"), (1001, "", "none", "r", 1, 2, "s", "x"), (1002, "w " * 40_000, "long", "r", 1, 2, "s", "x")] + [rows[5]] * 30
+    docs = spark.createDataFrame(rows, spec)
+    found = mixing.apply_mix(docs, block=32)
+    assert found.columns == docs.columns and mixing.apply_mix(docs.limit(0)).count() == 0
+    kept = found.collect()
+    assert {(r.row, r.cut, r.taken, r.slot) for r in kept} == {("r", 1, 2, "s")}
+    words = sum(len(r.text.split()) for r in kept)
+    sums = mixing.mix_sources(docs, block=32)
+    assert sums.count() == len(rows) and words == sums.agg(F.sum("taken")).first()[0]
+    known = {(i, " ".join((t or "").split()), s) for i, t, s, *_ in rows}
+    assert all(any(i == r.doc_id and s == r.source and t.startswith(" ".join(r.text.split())) for i, t, s in known) for r in kept)
+    assert all(r.n_chars == "x" or int(r.n_chars) == len(r.text) for r in kept)
+
+
+def test_equal_rows_are_spread(spark, monkeypatch):
+    """More equal rows than a range holds go to ranges of their own; targets hold all the same."""
+    monkeypatch.setattr(mixing, "RANGE", 10)
+    texts = [(None, "x y z", "a")] * 300 + [(k, "u v " * (k % 9), "ab"[k % 2]) for k in range(200)]
+    docs = docs_of(spark, texts)
+    placed, _ = mixing._streams(docs, 3)
+    rows = placed.where("size > 0").collect()
+    for source in "ab":
+        at = 0
+        for r in sorted((r for r in rows if r.source == source), key=lambda r: r.before):
+            assert r.before == at
+            at += r.size
+    got = mixing.mix_sources(docs, block=16).groupBy("source_size", "target").agg(F.sum("taken").alias("taken")).collect()
+    assert all(abs(r.taken - r.target) <= 0.5 for r in got)
+
+
+def test_word_counts():
+    import pyarrow as pa
+
+    texts = ["", " ", "a", " a", "a ", "a\tb\r\nc", None, "é\u00a0ü x", "x" * 10, "\x0b\x0c", "a  b", "b", None, "", "c"]
+    want = [len([w for w in __import__("re").split(r"[\x20\x09-\x0D]+", t or "") if w]) for t in texts]
+    assert mixing.word_counts(pa.array(texts)).tolist() == want
+    assert mixing.word_counts(pa.array([], pa.string())).tolist() == []
+
+
 def test_schedule_is_even(spark):
     targets = spark.createDataFrame([(k, k * 997) for k in range(1, 9)], "source_no long, take long")
     slots = sorted(map(tuple, mixing.schedule(targets, 10).collect()))
