@@ -304,8 +304,8 @@ def host_templates(pages: DataFrame) -> DataFrame:
     return totals.join(main, "host", "left").join(constants, "host", "left")
 
 
-def main_text(page: str, pages: int, main: int | None, constants: frozenset[int]) -> str:
-    """The text of a page's main slot without the host's constants; see the module for what names decide."""
+def main_text(page: str, pages: int, main: int | None, constants: frozenset[int]) -> tuple[str, bool]:
+    """The text of a page's main slot without the host's constants, and whether it is the slot's; see the module for what names decide."""
     found = settle(list(nodes(page)))
     blocks = list(_blocks(found))
     own = any(el.main and not el.aside for el, _ in found)
@@ -322,9 +322,10 @@ def main_text(page: str, pages: int, main: int | None, constants: frozenset[int]
         around = {id(up) for top in tops if top and (up := _article(top))}
         taken = [t or _below(holder, around) for (holder, _), t in zip(blocks, taken, strict=True)] if around else taken
     if slot is None or not any(taken):
+        slot = None
         taken = [holder.main or not own for holder, _ in blocks]
     out = ["".join(map(html_.unescape, pieces)) for (holder, pieces), t in zip(blocks, taken, strict=True) if t and (not constants or _token(holder, pieces) not in constants)]
-    return " ".join(" ".join(out).split())
+    return " ".join(" ".join(out).split()), slot is not None
 
 
 def _within(el: Element, path: int) -> Element | None:
@@ -351,9 +352,9 @@ def _below(el: Element, tops: set[int]) -> bool:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """A row for each row of pages: page_id, url, text, n_chars.
+    """A row for each row of pages: page_id, url, text, n_chars, host_pages, from_template.
 
-    pages has page_id, url and html; other columns are ignored.  Null and empty pages
+    host_pages counts the host's distinct pages; from_template tells whether the text is that of the template's main slot.  pages has page_id, url and html; other columns are ignored.  Null and empty pages
     have an empty text.  Blocks are joined by one space, white space inside them is one space,
     character references are decoded.  Hosts are told by the url, in lower case; rows with a null
     url are of one host.  Repeated rows are extracted each, whole pages however long; elements left open
@@ -371,11 +372,14 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
+            texts, of_slot = [], []
             for page, n, main, constants in zip(*(batch.column(c) for c in ("html", "all", "main", "constants")), strict=True):
-                slot = main.as_py()
+                at = main.as_py()
                 some = frozenset(x & (1 << 64) - 1 for x in constants.as_py() or ())
-                texts.append(main_text(page.as_py() or "", n.as_py(), None if slot is None else slot & (1 << 64) - 1, some))
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
+                text, found = main_text(page.as_py() or "", n.as_py(), None if at is None else at & (1 << 64) - 1, some)
+                texts.append(text)
+                of_slot.append(found)
+            columns = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64()), batch.column("all"), pa.array(of_slot, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars", "host_pages", "from_template"])
 
-    return map_arrow(joined.select("page_id", "url", "html", "all", "main", "constants"), run, "page_id long, url string, text string, n_chars long")
+    return map_arrow(joined.select("page_id", "url", "html", "all", "main", "constants"), run, "page_id long, url string, text string, n_chars long, host_pages long, from_template boolean")

@@ -142,12 +142,15 @@ LEFT JOIN owned b ON b.source_no = r.source_no AND b.rank = r.last_rank AND b.ra
 
 #: These pages have one article each without asides in it; blocks, character references and white space as in the operator.
 OP4_SQL = r"""
-WITH bodies AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article[^>]*>(.*?)</article>', 1) AS body FROM pages),
-plain AS (SELECT page_id, url, regexp_replace(regexp_replace(body, '</?(p|br|h1)[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g') AS t FROM bodies),
+WITH hosts AS (SELECT *, lower(regexp_extract(coalesce(url, ''), '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1)) AS host FROM pages),
+counted AS (SELECT host, count(DISTINCT coalesce(html, '')) AS host_pages FROM hosts GROUP BY host),
+bodies AS (SELECT page_id, url, host_pages, regexp_extract(coalesce(html, ''), '(?s)<article[^>]*>(.*?)</article>', 1) AS body FROM hosts JOIN counted USING (host)),
+plain AS (SELECT *, regexp_replace(regexp_replace(body, '</?(p|br|h1)[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g') AS t FROM bodies),
 read AS (
-  SELECT page_id, url, trim(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(t, '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;', chr(1)), '\s+', ' ', 'g')) AS t
+  SELECT page_id, url, host_pages, trim(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(t, '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;', chr(1)), '\s+', ' ', 'g')) AS t
   FROM plain)
-SELECT page_id, url, replace(regexp_replace(t, '&amp', '&', 'g'), chr(1), '&') AS text, length(replace(regexp_replace(t, '&amp', '&', 'g'), chr(1), '&')) AS n_chars FROM read
+SELECT page_id, url, replace(regexp_replace(t, '&amp', '&', 'g'), chr(1), '&') AS text, length(replace(regexp_replace(t, '&amp', '&', 'g'), chr(1), '&')) AS n_chars,
+  host_pages, host_pages >= 4 AS from_template FROM read
 """
 
 OP9_SQL = r"""
