@@ -56,7 +56,7 @@ class TurnList:
 
 @dataclass(frozen=True)
 class Fields:
-    """Fixed fields: for each turn its role and the paths whose values, joined by a blank line, are its text."""
+    """Fixed fields: for each turn its role and the paths whose values are its text, those that have any joined by a blank line."""
 
     name: str
     parts: tuple[tuple[str, tuple[str, ...]], ...]
@@ -65,7 +65,10 @@ class Fields:
         return [p for _, fields in self.parts for p in fields]
 
     def turns(self, root: str) -> Column:
-        return F.array(*[_turn(F.lit(role), F.concat_ws("\n\n", *[F.col(f"{root}.{p}") for p in fields])) for role, fields in self.parts])
+        def text(fields: tuple[str, ...]) -> Column:
+            return F.array_join(F.filter(F.array(*[F.col(f"{root}.{p}") for p in fields]), lambda x: x.isNotNull() & (x != "")), "\n\n")
+
+        return F.array(*[_turn(F.lit(role), text(fields)) for role, fields in self.parts])
 
 
 @dataclass(frozen=True)
@@ -152,41 +155,50 @@ def _record_schema(records: Sequence[TurnList | Fields]) -> T.StructType:
 def canonical_records(df: DataFrame, column: str, records: Sequence[TurnList | Fields] = RECORDS) -> DataFrame:
     """df with layout_fingerprint, layout (the mapping's name) and turns (array<struct<role, text>>).
 
-    column holds JSON records of any mix of layouts.  A field that is absent or
-    null is no part of the fingerprint.  A record whose fingerprint no mapping has, as
-it has fields of several layouts or nulls in its own, goes by the mapping of most paths that are
-all present, else by that of most fields that are all named and not all null.
-A null or broken record, or one of an unknown layout,
-    keeps its row with null layout and turns.  Null roles and texts in a known layout are empty.
-    Existing columns of these three names are replaced; repeated rows stay.
+    column holds JSON records of any mix of layouts.  The fingerprint is that of the known paths that a record names, whether
+    or not there is a value; an empty list names all that its elements could.  A record whose fingerprint is no mapping's, as
+    it has fields of several layouts, goes by the mapping of most paths that all
+    have values, else by that of most paths that are all named.  Of equally many the first declared counts.
+    A null or broken record, one of an unknown layout and one without any value keep their rows with null layout and turns.
+    Null roles and texts in a known layout are empty; very long texts are whole; an empty table gives none.
+    Existing columns of these three names are replaced; repeated rows, and repeated ids, stay.
     """
-    root = "__record"
-    parsed = df.drop("layout_fingerprint", "layout", "turns").withColumn(root, F.from_json(F.col(f"`{column}`"), _record_schema(records)))
+    root, lists, at = "__record", "__lists", F.col(f"`{column}`")
+    heads = sorted({p.partition("[].")[0] for m in records for p in m.paths() if "[]." in p})
+    parsed = df.drop("layout_fingerprint", "layout", "turns").withColumn(root, F.from_json(at, _record_schema(records)))
+    parsed = parsed.withColumn(lists, F.struct(*[F.from_json(F.get_json_object(at, f"$.{h}"), "array<map<string,string>>").alias(h) for h in heads]))
+    keys = F.json_object_keys(at)
 
     def present(path: str) -> Column:
         head, _, leaf = path.partition("[].")
-        at = F.col(f"{root}.`{head}`")
-        return F.exists(at, lambda m: m[leaf].isNotNull()) if leaf else at.isNotNull()
-
-    known = sorted({p for m in records for p in m.paths()})
-    print_of = F.sha2(F.concat_ws("\n", *[F.when(present(p), F.lit(p)) for p in known]), 256)
-    parsed = parsed.withColumn("layout_fingerprint", print_of)
-    is_ = {m.name: F.col("layout_fingerprint") == fingerprint(m.paths()) for m in records}
-    keys = F.json_object_keys(F.col(f"`{column}`"))
+        value = F.col(f"{root}.`{head}`")
+        return F.exists(value, lambda m: m[leaf].isNotNull()) if leaf else value.isNotNull()
 
     def named(path: str) -> Column:
-        return present(path) if "[]." in path else F.array_contains(keys, path)
+        head, _, leaf = path.partition("[].")
+        if not leaf:
+            return F.array_contains(keys, path)
+        items = F.col(f"{lists}.`{head}`")
+        return (F.size(items) == 0) | F.exists(items, lambda m: F.map_contains_key(m, leaf))
 
+    known = sorted({p for m in records for p in m.paths()})
+    parsed = parsed.withColumn("layout_fingerprint", F.sha2(F.concat_ws("\n", *[F.when(named(p), F.lit(p)) for p in known]), 256))
     every = lambda found: reduce(lambda a, b: a & b, found)
     some = lambda found: reduce(lambda a, b: a | b, found)
     larger = sorted(records, key=lambda m: -len(set(m.paths())))
-    fits = [(m, is_[m.name]) for m in records]
+    fits = [(m, (F.col("layout_fingerprint") == fingerprint(m.paths())) & some(present(p) for p in m.paths())) for m in records]
     fits += [(m, every(present(p) for p in m.paths())) for m in larger]
     fits += [(m, every(named(p) for p in m.paths()) & some(present(p) for p in m.paths())) for m in larger]
     # Only the name is sought through all tests; the turns go by it.
     parsed = parsed.withColumn("layout", F.coalesce(*[F.when(fit, F.lit(m.name)) for m, fit in fits]))
     turns = F.coalesce(*[F.when(F.col("layout") == m.name, m.turns(root)) for m in records])
-    return parsed.withColumn("turns", turns).drop(root)
+    return parsed.withColumn("turns", turns).drop(root, lists)
+
+
+def turn_rows(df: DataFrame, key: str, mapping: TurnRows = TABLES[0]) -> DataFrame:
+    """canonical_records() as a table with a row for each turn, in the mapping's columns; records without turns have none."""
+    rows = df.select(F.col(f"`{key}`").alias(mapping.key), F.posexplode("turns").alias("at", "turn"))
+    return rows.select(mapping.key, F.col("at").cast("long").alias(mapping.order), F.col("turn.role").alias(mapping.role), F.col("turn.text").alias(mapping.text))
 
 
 def escape(text: Column) -> Column:

@@ -72,11 +72,26 @@ def test_chat_records_that_fit_a_mapping(spark):
         ({"system": "s", "prompt": "p", "response": None}, "prompt_response_system", [("system", "s"), ("user", "p"), ("assistant", "")]),
         ({"question": "x", "answer": "y", "prompt": "p", "completion": None}, "question_answer", [("user", "x"), ("assistant", "y")]),
         ({"prompt": None, "completion": None}, None, None),
+        ({"instruction": "do", "input": "", "output": "x"}, "instruction_input", [("user", "do"), ("assistant", "x")]),
+        ({"instruction": "do", "input": None, "output": "x"}, "instruction_input", [("user", "do"), ("assistant", "x")]),
+        ({"messages": [{"role": "user", "content": None}]}, "messages", [("user", "")]),
+        ({"messages": []}, "messages", []),
+        ({"messages": None}, None, None),
+        ({"messages": said, "prompt": "p", "system": "s"}, "messages_system", [("system", "s"), ("user", "q"), ("assistant", "a")]),
+        ({"prompt": "x" * 300_000, "completion": "é"}, "prompt_completion", [("user", "x" * 300_000), ("assistant", "é")]),
         ({"prompt": "p"}, None, None),
     ]
     df = spark.createDataFrame([(k, json.dumps(r)) for k, (r, _, _) in enumerate(records)], "id long, raw string")
     got = {r.id: r for r in chat_format.canonical_records(df, "raw").collect()}
     assert [(got[k].layout, got[k].turns and [(t.role, t.text) for t in got[k].turns]) for k in range(len(records))] == [(m, t) for _, m, t in records]
+    clashing = df.union(df).withColumn("turns", F.lit("old")).withColumn("__x", F.lit(1))
+    again = chat_format.canonical_records(clashing, "raw")
+    assert again.count() == 2 * len(records) and dict(again.dtypes)["turns"].startswith("array")
+    assert chat_format.canonical_records(df.limit(0), "raw").count() == 0
+    rows = chat_format.turn_rows(again, "id")
+    assert rows.columns == ["conv_id", "turn", "role", "text"] and rows.count() == 2 * sum(len(t or ()) for *_, t in records)
+    done = {r.conv_id: r.n_turns for r in chat_format.format_turns(chat_format.turn_rows(chat_format.canonical_records(df, "raw"), "id")).collect()}
+    assert done == {k: len(t) for k, (_, _, t) in enumerate(records) if t}
 
 
 # ---- token counts and packing ------------------------------------------------
