@@ -16,11 +16,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, he
 
     Which ones is decided by a hash of doc_id, so reruns agree.  Of several label rows for an
     id the highest label counts; labels other than 0 and 1 and null ids are left out.
-    Repeated documents of a chosen id all come.
+    Of several documents with a chosen id the one of least MD5 of its text comes (null as empty), so there
+    are 2 * per_class rows at most, however often documents are repeated.
     """
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
     own = own.groupBy("doc_id").agg(F.max("label").alias("label")).withColumn("fold", fold_of(F.col("doc_id"), folds)).where(F.col("fold") != held_out)
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     some = [own.where(F.col("label") == k).orderBy(*order).limit(per_class) for k in (0, 1)]
     chosen = some[0].unionByName(some[1])  # 2 * per_class rows of three numbers
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").withColumn("text", F.coalesce("text", F.lit("")))
+    text = F.coalesce("text", F.lit(""))
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(F.md5(text).alias("key"), text.alias("text")).alias("one")).join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id", "label", "fold").agg(F.min("one").alias("one")).select("doc_id", "one.text", "label", "fold")

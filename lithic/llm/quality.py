@@ -21,7 +21,8 @@ from lithic.llm.store import map_arrow
 from lithic.llm.words import U64, mix, text_slices, tokens_of
 
 PER_CLASS = 6000
-EPOCHS = 2
+#: Steps that training takes, about: the rows are gone over as often as that needs.
+STEPS = 24_000
 BITS = 18
 SCALE = 12.0
 #: Of follow-the-regularised-leader: step size, its offset, and the two penalties.
@@ -60,12 +61,13 @@ class FollowTheRegularisedLeader:
         self.n[at] = n + g * g
 
 
-def train(rows: DataFrame, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
-    """The weights and the bias learned from (doc_id, text, label), each row epochs times.
+def train(rows: DataFrame, steps: int = STEPS) -> tuple[np.ndarray, float]:
+    """The weights and the bias learned from (doc_id, text, label), gone over until steps are taken.
 
     The rows, of which training_rows bounds the number, pass one task in hash order, one after the
     other; the task holds the model and one batch.
     """
+    epochs = max(1, -(-steps // max(1, rows.count())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = FollowTheRegularisedLeader(1 << BITS)
@@ -130,7 +132,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **of_fit: int) -> DataFrame:
-    """docs, all columns as they are, of the rows that score_quality gives threshold or more."""
+    """docs, all columns as they are, of the rows that score_quality gives threshold or more.
+
+    docs has doc_id and text, whatever else it has and however that is named.  Null, empty and wordless texts have the bias's
+    value, as all texts do without labels, and stay or go by it together; equal texts, repeated rows among them, stay or go together; very long texts count whole;
+    an empty table gives an empty one.
+    """
     model, at = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **of_fit)), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -101,6 +101,105 @@ def test_held_out_accuracy_on_data(spark):
         assert np.mean([r.predicted == labels[r.doc_id][label] for r in rows]) >= 0.93
 
 
+def test_filters_edges(spark):
+    """Filtering stages: nulls, empty, very long and repeated texts, columns of any names, no rows."""
+    docs, labels = made_corpus(spark, 60)
+    odd = docs.unionByName(docs_of(spark, [(None, None, None), (1000, "", "s"), (1001, " \n", "s"), (1001, " \n", "s"), (1002, "z " * 200_000, "s"), (None, "word1 word2", "s")]))
+    odd = odd.withColumn("predicted", F.lit("p")).withColumn("label", F.lit(7)).withColumn("held_out", F.lit(None).cast("int"))
+    for keep, score in ((toxicity.drop_toxic, lambda r: r.predicted == 0), (quality.keep_good, lambda r: r.predicted == 1)):
+        scored = (toxicity.score_toxicity if keep is toxicity.drop_toxic else quality.score_quality)(odd, labels).collect()
+        kept = keep(odd, labels)
+        assert kept.columns == odd.columns and kept.schema == odd.schema
+        assert sorted(map(repr, (r.doc_id for r in kept.collect()))) == sorted(map(repr, (r.doc_id for r in scored if score(r))))
+        assert {r.predicted for r in kept.collect()} == {"p"}
+        assert keep(odd.limit(0), labels).count() == 0 and keep(odd, labels.limit(0)).count() in (0, odd.count())
+
+
+def test_training_rows_are_bounded(spark):
+    """However often a document is repeated, one row of it teaches."""
+    docs, labels = made_corpus(spark, 30)
+    many = docs.unionByName(docs).unionByName(docs.withColumn("text", F.concat("text", F.lit(" again"))))
+    rows = labelled.training_rows(many, labels, "toxic", 3, 1, 100).collect()
+    assert len(rows) == len({r.doc_id for r in rows}) and len(rows) == labelled.training_rows(docs, labels, "toxic", 3, 1, 100).count()
+
+
+def test_regularised_leader_step_by_step():
+    """Follow-the-regularised-leader against its definition in plain Python, on ten rows."""
+    import math
+
+    rng = random.Random(3)
+    rows = [([rng.randrange(6) for _ in range(4)], rng.randrange(2)) for _ in range(10)]
+    model = quality.FollowTheRegularisedLeader(6)
+    z, n = [0.0] * 7, [0.0] * 7
+
+    def weight(k):
+        if abs(z[k]) <= quality.L1:
+            return 0.0
+        return -(z[k] - math.copysign(quality.L1, z[k])) / ((quality.BETA + math.sqrt(n[k])) / quality.ALPHA + quality.L2)
+
+    for found, y in rows:
+        x = {k: found.count(k) * quality.SCALE / len(found) for k in sorted(set(found))} | {6: 1.0}
+        p = 1 / (1 + math.exp(-sum(weight(k) * v for k, v in x.items())))
+        own = {k: weight(k) for k in x}
+        for k, v in x.items():
+            g = (p - y) * v
+            z[k] += g - (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / quality.ALPHA * own[k]
+            n[k] += g * g
+        at, many = np.unique(found, return_counts=True)
+        model.learn(at, many * (quality.SCALE / len(found)), y)
+        assert np.allclose(model.z, z) and np.allclose(model.n, n) and np.allclose(model.weights(), [weight(k) for k in range(7)])
+
+
+def test_kneser_ney_by_dictionaries(spark, monkeypatch):
+    """Counts of contexts and every probability of both models against plain dictionaries; each distribution adds up."""
+    import re
+    from collections import Counter, defaultdict
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(toxicity, "G2", 0.0)
+    monkeypatch.setattr(toxicity, "RATIO", 1e-9)  # so that every expression is an entry of its class
+    rng = random.Random(11)
+    vocabulary = ["alpha", "alphabet", "beta", "gamma", "gammas", "de", "été", "ét"]
+    texts = [(" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(3, 12))), k % 2) for k in range(20)]
+    rows = spark.createDataFrame([(t, c, k % toxicity.PARTS) for k, (t, c) in enumerate(texts)], "text string, label int, part int")
+    model = toxicity.train(toxicity.context_counts(rows))[toxicity.PARTS]
+    triples = [set(), set()]
+    for t, c in texts:
+        words = re.findall(r"\w+", t)
+        for a, b, w in zip(["", "", *words][: len(words)], ["", *words][: len(words)], words, strict=True):
+            triples[c].add((a, b, w))
+    pairs = [Counter((b, w) for _, b, w in x) for x in triples]
+    words = [Counter(w for _, w in x) for x in pairs]
+    stems = [Counter(w[: toxicity.STEM] for w in x) for x in words]
+    d, both = toxicity.DISCOUNT, sum(sum(x.values()) for x in stems)
+    known = sorted({w for x in words for w in x})
+    of_stem = defaultdict(float)
+    for w in known:
+        of_stem[w[: toxicity.STEM]] += words[0][w] + words[1][w]
+
+    def probability(c, before, w):
+        less = lambda n, counts: max(n - d, 0) / max(1, sum(counts.values()))
+        s = w[: toxicity.STEM]
+        left = 1 - sum(less(n, stems[c]) for n in stems[c].values())
+        by_stem = less(stems[c][s], stems[c]) + left * (stems[0][s] + stems[1][s] + 0.5) / both
+        rest = 1 - sum(less(n, words[c]) for n in words[c].values())
+        by_word = less(words[c][w], words[c]) + rest * by_stem * (words[0][w] + words[1][w] + 0.5) / (of_stem[s] + 0.5)
+        own = Counter({x: n for (b, x), n in pairs[c].items() if b == before})
+        spent = {x: less(n, own) for x, n in own.items()}
+        return spent.get(w, 0) + (1 - sum(spent.values())) * by_word
+
+    text = " ".join(known)
+    hashes, before, stem, _ = toxicity.word_events(*[x for _, *x in toxicity.text_slices(toxicity._lower(pa.array([text])))][0])
+    name = dict(zip(known, hashes.tolist(), strict=True)) | {"": 0}
+    for b in ["", *known]:
+        previous = np.full(len(known), name[b], np.uint64)
+        want = [[probability(c, b, w) for w in known] for c in (0, 1)]
+        assert np.allclose(model.log_ratio(hashes, previous, stem), np.log(want[1]) - np.log(want[0]))
+        # All of it is spent but for what smoothing by halves adds.
+        assert all(1 - 1e-9 <= sum(x) <= 1.35 for x in want)
+
+
 # ---- mixing ------------------------------------------------------------------
 
 
