@@ -17,6 +17,7 @@ from lithic.functions import transforms as tr
 from lithic.operators.pruning import Predicate, may
 from lithic.plans.model import column, record
 from lithic.sources import footer
+from lithic.sources.arrow_writer import CODECS
 from lithic.sources.reader import scan
 from lithic.sources.writer import WriteOptions, write
 
@@ -266,7 +267,7 @@ def interop_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def roundtrip_codecs(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = scan(spark, Lines, _path(sf_dir, "lineitem")).to_df()
     found = []
-    for codec in ("none", "snappy", "gzip", "lz4", "zstd"):
+    for codec in CODECS:
         at = scratch(spark)
         write(source, Lines, at, WriteOptions(compression=codec))
         found.append(scan(spark, Lines, at).to_df().agg(F.lit(codec).alias("codec"), F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("decimal(28,4)")).cast("double").alias("quantity")))
@@ -359,7 +360,7 @@ SQL = {
     ),
     "batch_revenue": "SELECT CAST(sum(CAST(round_even(l_extendedprice * (1 - l_discount) * 10000, 0) AS BIGINT)) AS BIGINT) AS units, count(*) AS n FROM lineitem WHERE l_orderkey >= 500",
     "interop_summary": "SELECT count(*) AS n, count(*) - count(event_type) AS null_kinds, min(user_id) AS least, max(user_id) AS greatest, CAST(sum(CAST(value AS DECIMAL(28,4))) AS DOUBLE) AS total FROM events",
-    "roundtrip_codecs": f"SELECT codec, {_AGG} FROM lineitem, (VALUES ('none'), ('snappy'), ('gzip'), ('lz4'), ('zstd')) c(codec) GROUP BY codec",
+    "roundtrip_codecs": f"SELECT codec, {_AGG} FROM lineitem, (VALUES ('none'), ('snappy'), ('gzip'), ('lz4'), ('zstd'), ('brotli')) c(codec) GROUP BY codec",
     "roundtrip_row_groups": "SELECT CAST(ceil(count(*) / 1000.0) AS BIGINT) AS row_groups, count(*) AS n, least(1000, count(*)) AS largest FROM orders",
     "nested_roundtrip": """SELECT o_orderkey AS key, o_orderkey % 5 = 0 AS no_place, CASE WHEN o_orderkey % 5 <> 0 AND o_orderkey % 3 <> 0 THEN o_orderstatus END AS region,
         CAST(CASE WHEN o_orderkey % 7 = 0 THEN -1 WHEN o_orderkey % 7 = 1 THEN 0 ELSE 2 END AS INTEGER) AS n_words,

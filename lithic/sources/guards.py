@@ -257,13 +257,33 @@ def _check_pages(path: str, f: pa.NativeFile, chunk: pq.ColumnChunkMetaData, lim
         raise InvalidData(f"{path}, column '{chunk.path_in_schema}': levels of {rows} rows in a row group of {nested[1]}")
 
 
+@dataclass(frozen=True)
+class Found:
+    """What check_files() found: the distinct schemas as (a file, schema), how many rows, and whether some column is stored as only Arrow reads it."""
+
+    schemas: list[tuple[str, str]]
+    rows: int
+    by_arrow: bool
+
+
 #: What check_files() found, by session, files and limits: footers that haven't changed aren't read again.
-_checked: OrderedDict[tuple, tuple[list[tuple[str, str]], int]] = OrderedDict()
+_checked: OrderedDict[tuple, Found] = OrderedDict()
 _REMEMBERED = 256
+# A codec and an encoding of Parquet that Spark's scan doesn't know.
+_ODD_CODECS, _ODD_ENCODING = ("BROTLI", "LZO"), "BYTE_STREAM_SPLIT"
+
+
+def _odd(meta: pq.FileMetaData, roots: frozenset[str] | None) -> bool:
+    for g in range(meta.num_row_groups):
+        for c in range(meta.num_columns):
+            chunk = meta.row_group(g).column(c)
+            if (roots is None or _root(chunk.path_in_schema) in roots) and (chunk.compression in _ODD_CODECS or _ODD_ENCODING in chunk.encodings):
+                return True
+    return False
 
 
-def check_files(spark: SparkSession, path: str | list[str], limits: Limits, roots: frozenset[str] | None = None) -> tuple[list[tuple[str, str]], int]:
-    """Checks every file where the executors are; the distinct schemas as (a file, schema), and how many rows there are.
+def check_files(spark: SparkSession, path: str | list[str], limits: Limits, roots: frozenset[str] | None = None) -> Found:
+    """Checks every file where the executors are.
 
     The answer is remembered as long as the files' paths, lengths and times stay what they are.
     """
@@ -281,19 +301,19 @@ def check_files(spark: SparkSession, path: str | list[str], limits: Limits, root
             for one, size, tail in zip(*(batch.column(c).to_pylist() for c in ("path", "length", "tail")), strict=True):
                 try:
                     meta = read_footer(one, size, limits, roots, tail)
-                    found.append((one, footer.describe_schema(meta), None, meta.num_rows))
+                    found.append((one, footer.describe_schema(meta), None, meta.num_rows, _odd(meta, roots)))
                 except InvalidData as e:
-                    found.append((one, "", str(e), 0))
-            kinds = {"path": pa.string(), "schema": pa.string(), "wrong": pa.string(), "rows": pa.int64()}
+                    found.append((one, "", str(e), 0, False))
+            kinds = {"path": pa.string(), "schema": pa.string(), "wrong": pa.string(), "rows": pa.int64(), "odd": pa.bool_()}
             columns = list(zip(*found, strict=True)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], list(kinds))
 
-    found = footer.tails(spark, paths, limits.max_footer_bytes).select("path", "length", "tail").mapInArrow(run, "path string, schema string, wrong string, rows long")
-    rows = found.groupBy("schema").agg(F.min("path").alias("path"), F.min("wrong").alias("wrong"), F.sum("rows").alias("rows")).collect()
+    found = footer.tails(spark, paths, limits.max_footer_bytes).select("path", "length", "tail").mapInArrow(run, "path string, schema string, wrong string, rows long, odd boolean")
+    rows = found.groupBy("schema").agg(F.min("path").alias("path"), F.min("wrong").alias("wrong"), F.sum("rows").alias("rows"), F.max("odd").alias("odd")).collect()
     for r in rows:
         if r["wrong"]:
             raise InvalidData(r["wrong"])
-    _checked[key] = [(r["path"], r["schema"]) for r in rows], sum(r["rows"] for r in rows)
+    _checked[key] = Found([(r["path"], r["schema"]) for r in rows], sum(r["rows"] for r in rows), any(r["odd"] for r in rows))
     while len(_checked) > _REMEMBERED:
         _checked.popitem(last=False)
     return _checked[key]

@@ -29,7 +29,7 @@ from lithic.operators.pruning import ColumnStatistics, Predicate, RowGroupMetada
 from lithic.plans.model import Model, model_of
 from lithic.plans.resolve import InvalidData, resolve
 from lithic.sources import footer
-from lithic.sources.guards import Limits, check_files, guarded, read_footer
+from lithic.sources.guards import Found, Limits, check_files, guarded, read_footer
 
 
 class NotSupported(RuntimeError):
@@ -90,19 +90,21 @@ class Scan:
         """The scan as a lazy DataFrame with the model's columns in the model's order."""
         return self._frame(False)
 
-    def _checked(self) -> tuple[list[tuple[str, str]], int]:
+    def _checked(self) -> Found:
         return check_files(self.spark, list(self.paths), self.options.limits, frozenset(c.name.lower() for c in self.model.columns))
 
     def _frame(self, placed: bool) -> DataFrame:
-        schemas, _ = self._checked()
+        found = self._checked()
         # A column that is in some files only is null in the others.
-        present = [resolve(self.model, schema, path) for path, schema in schemas]
+        present = [resolve(self.model, schema, path) for path, schema in found.schemas]
         absent = {c.name for c in self.model.columns if present and not any(p[c.name] for p in present)}
-        df = self._native(absent) if self.predicate is None else self._candidates(absent)
+        df = self._grouped(lambda batches: batches, self.model.schema) if found.by_arrow else self._native(absent) if self.predicate is None else self._candidates(absent)
+        absent = set() if found.by_arrow else absent
         if self.predicate is None and self.options.max_tasks > 0:
             df = df.coalesce(self.options.max_tasks)
         # The condition goes first, on the file's own columns, so it is pushed down.
         named = [F.lit(None).cast(c.spark_type).alias(c.name) if c.name in absent else F.col(f"`{c.name}`") for c in self.model.columns]
+        placed = placed and not found.by_arrow  # row groups come in order by themselves
         place = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row")] if placed else []
         df = df.select(*named, *place)
         df = df if self.condition is None else df.where(self.condition)
@@ -116,7 +118,7 @@ class Scan:
 
     def to_array(self) -> list[Row]:
         """All rows in file order; InvalidData if the files hold more than the limits allow to be held."""
-        _, rows = self._checked()
+        rows = self._checked().rows
         if self.predicate is None and self.condition is None and rows > self.options.limits.max_allocation_values:
             raise InvalidData(f"{rows} rows for one array; the limit is {self.options.limits.max_allocation_values}")
         return self._ordered().collect()
@@ -145,8 +147,7 @@ class Scan:
     def map_batches(self, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: T.StructType | str) -> DataFrame:
         """What f makes of each row group's Arrow batch, in the tasks: (schema), a row group at a time, in no promised order of files."""
         self._may_batch("map_batches()")
-        schemas, _ = self._checked()
-        for path, found in schemas:
+        for path, found in self._checked().schemas:
             resolve(self.model, found, path)
         return self._grouped(lambda batches: (f(b) for b in batches), schema)
 
@@ -163,7 +164,8 @@ class Scan:
 
     def _ordered(self) -> DataFrame:
         """Rows by file and place in it; whole row groups come in that order by themselves."""
-        return self._frame(False) if self.predicate is not None else self._frame(True).orderBy("__file", "__row").drop("__file", "__row")
+        df = self._frame(self.predicate is None)
+        return df.orderBy("__file", "__row").drop("__file", "__row") if "__file" in df.columns else df
 
     # ---- whole row groups ---------------------------------------------------
 

@@ -409,6 +409,32 @@ def test_writer_options_in_files(spark, tmp_path):
     assert found[64]["key"].field_id == 3 and found[64]["name"].field_id is None
 
 
+def test_arrow_writer(spark, tmp_path):
+    """What Spark's writer has no option for: row groups to the row, modes, encodings, levels; nothing is left of the staging folder."""
+    rows = spark.range(1050).selectExpr("id as key", "concat('n', id) as name").repartition(3)
+    at = str(tmp_path / "a")
+    for codec, level in (("brotli", "smallest_size"), ("gzip", "fastest"), ("zstd", "optimal"), ("lz4", "optimal"), ("none", "optimal")):
+        write(rows, _Named, at, WriteOptions(row_group_size=100, compression=codec, level=level, mode="overwrite", engine="arrow"))
+        assert {r.codec for r in footer.zone_map(spark, at).select("codec").collect()} == {"UNCOMPRESSED" if codec == "none" else codec.upper()}
+        sizes = sorted(r.row_count for r in footer.row_groups(spark, at).collect())
+        assert sum(sizes) == 1050 and sizes[-1] == 100 and sum(n < 100 for n in sizes) <= 3
+        assert [r.key for r in sorted(scan(spark, _Named, at).to_array())] == list(range(1050))
+        assert not [p for p in (tmp_path / "a").iterdir() if p.name.startswith("_staging")]
+    with pytest.raises(FileExistsError):
+        write(rows, _Named, at, WriteOptions(engine="arrow"))
+    write(rows, _Named, at, WriteOptions(engine="arrow", mode="append", encodings={"key": "byte_stream_split"}, dictionary_page_bytes=64))
+    assert scan(spark, _Named, at).to_df().count() == 2100 and scan(spark, _Named, at).filter(F.col("key") >= 1000).to_df().count() == 100
+    found = {(r.column, r.dictionary, "BYTE_STREAM_SPLIT" in r.encodings): r.field_id for r in footer.encodings(spark, at).collect()}
+    assert found[("key", False, True)] == 3 and ("key", True, False) in found
+    whole = scan(spark, _Named, at).where(may("key").between(5, 6)).to_df()
+    assert whole.where("key between 5 and 6").count() == 4
+    with pytest.raises(Exception, match="holds a null"):
+        write(spark.createDataFrame([(None, "x")], "key long, name string"), _Named, str(tmp_path / "b"), WriteOptions(engine="arrow"))
+    assert not [p for p in (tmp_path / "b").iterdir()]
+    write(rows.limit(0), _Named, str(tmp_path / "e"), WriteOptions(engine="arrow"))
+    assert scan(spark, _Named, str(tmp_path / "e")).to_df().count() == 0
+
+
 @record
 class _Named:
     key: int = column(field_id=3)

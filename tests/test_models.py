@@ -6,6 +6,7 @@ from typing import Generic, Optional, TypeVar
 import pytest
 
 from lithic.plans.model import ModelError, ModelWarning, column, record
+from lithic.sources.arrow_writer import writer_settings
 from lithic.sources.writer import WriteOptions, writer_options
 
 
@@ -96,7 +97,10 @@ def test_writer_gaps_are_named():
         a: int
         b: Optional[str]
 
-    assert code_of(lambda: WriteOptions(compression="brotli")) == "D16"
+    assert code_of(lambda: writer_options(M.__record__, WriteOptions(compression="brotli"))) == "D16"
+    assert code_of(lambda: writer_options(M.__record__, WriteOptions(compression="gzip", level="fastest"))) == "D16"
+    assert code_of(lambda: writer_settings(M.__record__, WriteOptions(encodings={"b": "byte_stream_split"}))) == "D16"
+    assert code_of(lambda: writer_settings(M.__record__, WriteOptions(compression="lz4", level="smallest_size"))) == "D16"
     assert code_of(lambda: writer_options(M.__record__, WriteOptions(encodings={"a": "byte_stream_split"}))) == "D16"
     assert code_of(lambda: writer_options(M.__record__, WriteOptions(encodings={"b": "delta_binary_packed"}))) == "D16"
     with pytest.raises(ValueError):
