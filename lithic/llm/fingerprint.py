@@ -63,7 +63,11 @@ def band_keys(shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def near_groups(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """minhash.near_duplicates over this module's signatures and five-word shingles."""
+    """minhash.near_duplicates over this module's signatures and five-word shingles: bands joined in Spark, Jaccard similarity verified.
+
+    docs has doc_id and text; other columns are ignored, whatever their names.  A row for each row of docs; what null, empty and very long texts,
+    ties, repeated rows and empty tables give is said there.
+    """
     return minhash.near_duplicates(docs, SHINGLE, percent, keys=band_keys)
 
 
@@ -96,16 +100,16 @@ def _compared(ids: list, texts: list[str], following: list[str], own: np.ndarray
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """A row for each row of docs: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    docs has doc_id and text; other columns are ignored, null texts are empty.
+    docs has doc_id and text; other columns are ignored, whatever their names; null texts are empty.
     The next document is the one that follows in the order of doc_id (null first),
-    then text; after the last comes the first, so a single row follows itself.  Equal texts, repeated rows among
+    then of a hash of the text; after the last comes the first, so a single row follows itself.  Equal texts, repeated rows among
     them, have equal fingerprints; texts without words have all one.  A text of
     fewer than five words has its whole sequence as its one shingle.  Whole texts
     count, however long.  An empty table gives no rows.
 
-    Texts move once, into ranges of doc_id that are sorted; each task holds a batch
-    and the row before it.  Only the last row of a range waits for the first of the next, and those
-    few, two for each range, meet at the end.
+    Texts move once, into ranges of the order that are sorted; each task holds a batch
+    and the row before it.  Only the last row of a range waits for the first of the next: the ranges' numbers alone
+    are put in a row, and the rows meet by them.  Rows equal in doc_id and text may be any number: a last key spreads them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,15 +146,17 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
             own, later = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, PERMUTATIONS) for c in ("fingerprint", "next_fingerprint"))
             yield _compared(batch.column("doc_id").to_pylist(), batch.column("held").to_pylist(), batch.column("next_held").to_pylist(), own, later)
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("by"), F.monotonically_increasing_id().alias("at"))
+    ordered = keyed.repartitionByRange("doc_id", "by", "at").sortWithinPartitions("doc_id", "by", "at").select("doc_id", "text")
     rows = materialize(map_arrow(ordered, run, f"{_DONE}, kind int, place int, held string"), "fingerprints")
-    # First (2) and last (1) row of each range, in order: what follows a last row is the next range's first.
-    ends = rows.where("kind > 0").select("doc_id", "kind", "place", "held", "fingerprint")
-    order = Window.orderBy("place", F.desc("kind"))
+    # First (2) and last (1) row of each range: what follows a last row is the first one of the next range that has rows.
+    order = Window.orderBy("place")
     around = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    for c in ("held", "fingerprint"):
-        ends = ends.withColumn(f"next_{c}", F.coalesce(F.lead(c).over(order), F.first(c).over(around)))
-    closed = ends.where("kind = 1").select("doc_id", "held", "fingerprint", "next_held", "next_fingerprint").mapInArrow(close, _DONE)
+    places = rows.where("kind = 1").select("place")  # a number for each range
+    places = places.select("place", F.coalesce(F.lead("place").over(order), F.first("place").over(around)).alias("next_place"))
+    firsts = rows.where("kind = 2").select(F.col("place").alias("next_place"), F.col("held").alias("next_held"), F.col("fingerprint").alias("next_fingerprint"))
+    ends = rows.where("kind = 1").select("place", "doc_id", "held", "fingerprint").join(places, "place").join(firsts, "next_place")
+    closed = map_arrow(ends.select("doc_id", "held", "fingerprint", "next_held", "next_fingerprint"), close, _DONE)
     done = rows.where("kind = 0").drop("kind", "place", "held").unionByName(closed)
     for c in ("fingerprint", "edited_fingerprint"):
         done = done.withColumn(c, F.lower(F.hex(c)))

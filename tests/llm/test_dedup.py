@@ -146,3 +146,6 @@ def test_fingerprints(spark):
     assert text_of and fingerprint.fingerprint_documents(docs_of(spark, [])).count() == 0
     one = fingerprint.fingerprint_documents(docs_of(spark, [(1, "abcd")])).collect()
     assert one[0].near_next == 1.0 and one[0].edited_sha256 == hashlib.sha256(b"abab").hexdigest()
+    clashing = docs_of(spark, texts).withColumn("fingerprint", F.lit("x")).withColumn("near_next", F.lit(None)).withColumn("kind", F.lit(1))
+    again = fingerprint.fingerprint_documents(clashing.repartition(3)).collect()
+    assert sorted((r.doc_id, r.fingerprint, r.edited_sha256) for r in again) == sorted((r.doc_id, r.fingerprint, r.edited_sha256) for r in found)
