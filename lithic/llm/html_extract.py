@@ -9,7 +9,7 @@ the host's template.  Text blocks that are tokens of the template are its consta
 its elements otherwise are slots.
 
 The main slot is the deepest template container that is there once a page and holds most of the host's text; the
-constants in it are left out.  What elements say they are (article, nav, footer, form, ...) checks that: an article around the
+constants in it are left out, unless they are half of a page's text or more: such pages share an article.  What elements say they are (article, nav, footer, form, ...) checks that: an article around the
 slot or with most of the slot's text is taken instead, and asides are never main.  Pages without
 the slot are told by such names alone; on hosts with too few pages for a template, main elements come before the slot.
 """
@@ -324,7 +324,10 @@ def main_text(page: str, pages: int, main: int | None, constants: frozenset[int]
     if slot is None or not any(taken):
         slot = None
         taken = [holder.main or not own for holder, _ in blocks]
-    out = ["".join(map(html_.unescape, pieces)) for (holder, pieces), t in zip(blocks, taken, strict=True) if t and (not constants or _token(holder, pieces) not in constants)]
+    chosen = [(sum(map(len, pieces)), pieces, bool(constants) and _token(holder, pieces) in constants) for (holder, pieces), t in zip(blocks, taken, strict=True) if t]
+    # Pages that share most of their text share an article, not a template's notes in it.
+    shared = 2 * sum(n for n, _, constant in chosen if constant) >= sum(n for n, *_ in chosen)
+    out = ["".join(map(html_.unescape, pieces)) for _, pieces, constant in chosen if shared or not constant]
     return " ".join(" ".join(out).split()), slot is not None
 
 
