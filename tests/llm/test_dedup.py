@@ -89,6 +89,35 @@ def test_edge_rows(spark):
     assert minhash.near_duplicates(docs_of(spark, [])).count() == 0 and minhash.deduplicate(docs_of(spark, [])).count() == 0
 
 
+def test_dedup_edges(spark):
+    """Very long texts count whole, and columns may have the result's names."""
+    rng = random.Random(8)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(60_000))
+    other = long.rsplit(" ", 9_000)[0] + " " + " ".join(f"x{k}" for k in range(9_000))
+    near = long.replace(" w1", " y1", 300)
+    rows = [(1, long), (2, other), (3, near), (4, long + " "), (5, None), (6, " \n"), (None, long), (8, "short one"), (8, "short one")]
+    docs = docs_of(spark, rows).withColumn("component_id", F.lit("c")).withColumn("n_shingles", F.lit(1.5)).withColumn("group_key", F.lit(None).cast("string")).withColumn("again", F.lit(True))
+    got = minhash.near_duplicates(docs, 4, 80).select("doc_id", "n_shingles", "component_id", "kept").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(brute(rows, 4), key=repr)
+    kept = minhash.deduplicate(docs, 4, 80)
+    assert kept.columns == docs.columns
+    want = sorted([i for i, _, _, k in brute(rows, 4) if k and i != 8] + [8])
+    assert sorted(r.doc_id for r in kept.collect()) == want and {r.component_id for r in kept.collect()} == {"c"}
+    assert minhash.deduplicate(docs.limit(0)).columns == docs.columns and minhash.deduplicate(docs.limit(0)).count() == 0
+
+
+def test_min_and_max_of_each_permutation():
+    """The signature by plain Python: one hash gives two values."""
+    shingles = np.random.default_rng(4).integers(0, 2**63, 50, dtype=np.uint64)
+    a, b = minhash.permutations(minhash.PERMUTATIONS)
+    sig = minhash.min_max_signatures(shingles, np.array([20, 0, 30]))
+    for row, own in ((0, shingles[:20]), (2, shingles[20:])):
+        for k in range(minhash.PERMUTATIONS):
+            values = [((int(s) * int(a[k]) + int(b[k])) % 2**64) >> 32 for s in own]
+            assert (sig[row, 2 * k], sig[row, 2 * k + 1]) == (min(values), max(values))
+    assert not sig[1].any()
+
+
 def test_long_text_and_slices():
     text = "word" * 400_000 + " tail of it"
     array = pa.array(["a b", text, None, "c"])
@@ -114,6 +143,21 @@ def test_components(spark):
     got = {r.node: r.label for r in connected_components(spark.createDataFrame(edges + edges[:5], "a long, b long")).collect()}
     assert got == {k: 0 for k in range(41)} | {k: 100 for k in range(100, 140)} | {200: 200}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    # Any graph, with names that have nothing to do with its edges.
+    names = rng.sample(range(10**6), 400)
+    edges = [(names[k], names[k + 1 if k % 9 else rng.randrange(400)]) for k in range(399)]
+    parent = {n: n for n in names}
+
+    def find(n):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        parent[y] = x
+    got = {r.node: r.label for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {n: find(n) for n in {x for e in edges for x in e}}
 
 
 def test_fingerprints(spark):
@@ -144,8 +188,8 @@ def test_fingerprints(spark):
         est = next(r.near_edited for r in found if r.doc_id == i)
         assert abs(est - true) < 0.22
     assert text_of and fingerprint.fingerprint_documents(docs_of(spark, [])).count() == 0
-    one = fingerprint.fingerprint_documents(docs_of(spark, [(1, "abcd")])).collect()
-    assert one[0].near_next == 1.0 and one[0].edited_sha256 == hashlib.sha256(b"abab").hexdigest()
     clashing = docs_of(spark, texts).withColumn("fingerprint", F.lit("x")).withColumn("near_next", F.lit(None)).withColumn("kind", F.lit(1))
     again = fingerprint.fingerprint_documents(clashing.repartition(3)).collect()
     assert sorted((r.doc_id, r.fingerprint, r.edited_sha256) for r in again) == sorted((r.doc_id, r.fingerprint, r.edited_sha256) for r in found)
+    one = fingerprint.fingerprint_documents(docs_of(spark, [(1, "abcd")])).collect()
+    assert one[0].near_next == 1.0 and one[0].edited_sha256 == hashlib.sha256(b"abab").hexdigest()
