@@ -316,12 +316,13 @@ def arrow_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ts_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(_path(sf_dir, "events")).select("event_id", F.col("ts").cast("timestamp").alias("ts"))
     micros, millis = tr.to_micros(F.col("ts")), tr.to_millis(F.col("ts"))
-    return events.select("event_id", micros.alias("micros"), millis.alias("millis"), tr.to_micros(tr.from_micros(micros)).alias("micros_again"), tr.to_micros(tr.from_millis(millis)).alias("millis_again"), tr.micros_to_ticks(micros).alias("ticks"), tr.ticks_to_micros(tr.micros_to_ticks(micros)).alias("ticks_again"))
+    early = tr.micros_to_ticks(micros) - 30_000_000_000_000_007  # some 95 years before, below the microsecond
+    return events.select("event_id", micros.alias("micros"), millis.alias("millis"), tr.to_micros(tr.from_micros(micros)).alias("micros_again"), tr.to_micros(tr.from_millis(millis)).alias("millis_again"), tr.micros_to_ticks(micros).alias("ticks"), tr.ticks_to_micros(tr.micros_to_ticks(micros)).alias("ticks_again"), tr.ticks_to_micros(early).alias("early_micros"), tr.ticks_to_millis(early).alias("early_millis"))
 
 
 def numeric_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
-    return spark.read.parquet(_path(sf_dir, "orders")).select("o_orderkey", tr.scaled(F.col("o_totalprice"), 0.5).alias("half"), tr.widened(k.cast("int"), "long").alias("wide"), tr.narrowed(k * 100_003, 16).alias("low16"), tr.narrowed(k * 4_000_037, 32).alias("low32"))
+    return spark.read.parquet(_path(sf_dir, "orders")).select("o_orderkey", tr.scaled(F.col("o_totalprice"), 0.5).alias("half"), tr.scaled(F.col("o_totalprice"), 1.1, single=True).cast("double").alias("single"), tr.widened(k.cast("int"), "long").alias("wide"), tr.narrowed(k * 100_003, 16).alias("low16"), tr.narrowed(k * 4_000_037, 32).alias("low32"))
 
 
 def null_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -368,8 +369,8 @@ SQL = {
         CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey * 2 ELSE -1 END AS part_key FROM orders""",
     "list_scan": "SELECT vec_id, CAST(len(embedding) AS INTEGER) AS dims, CAST(embedding[1] AS DOUBLE) AS first_value, label FROM embeddings",
     "arrow_ingest": "SELECT CAST(r_regionkey AS BIGINT) AS key, r_name AS region FROM region",
-    "ts_convert": "SELECT event_id, epoch_us(ts) AS micros, epoch_us(ts) // 1000 AS millis, epoch_us(ts) AS micros_again, epoch_us(ts) // 1000 * 1000 AS millis_again, epoch_us(ts) * 10 + 621355968000000000 AS ticks, epoch_us(ts) AS ticks_again FROM events",
-    "numeric_convert": """SELECT o_orderkey, o_totalprice * 0.5::DOUBLE AS half, o_orderkey AS wide,
+    "ts_convert": "SELECT event_id, epoch_us(ts) AS micros, epoch_us(ts) // 1000 AS millis, epoch_us(ts) AS micros_again, epoch_us(ts) // 1000 * 1000 AS millis_again, epoch_us(ts) * 10 + 621355968000000000 AS ticks, epoch_us(ts) AS ticks_again, CAST(sign(epoch_us(ts) * 10 - 30000000000000007) AS BIGINT) * (abs(epoch_us(ts) * 10 - 30000000000000007) // 10) AS early_micros, CAST(sign(epoch_us(ts) * 10 - 30000000000000007) AS BIGINT) * (abs(epoch_us(ts) * 10 - 30000000000000007) // 10000) AS early_millis FROM events",
+    "numeric_convert": """SELECT o_orderkey, o_totalprice * 0.5::DOUBLE AS half, CAST(CAST(o_totalprice AS FLOAT) * CAST(1.1 AS FLOAT) AS DOUBLE) AS single, o_orderkey AS wide,
         CAST((o_orderkey * 100003 + 32768) % 65536 - 32768 AS SMALLINT) AS low16, CAST((o_orderkey * 4000037 + 2147483648) % 4294967296 - 2147483648 AS INTEGER) AS low32 FROM orders""",
     "null_pack": "SELECT count(CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice END) AS present, count(CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice END) AS packed, count(*) AS n FROM orders",
     "enum_map": "SELECT CAST(CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 WHEN 'R' THEN 2 END AS INTEGER) AS code, l_returnflag AS flag, count(*) AS n FROM lineitem GROUP BY l_returnflag",
