@@ -10,7 +10,7 @@ from collections.abc import Callable
 from typing import Optional
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lithic.functions import transforms as tr
@@ -18,7 +18,7 @@ from lithic.operators.pruning import Predicate, may
 from lithic.plans.model import column, record
 from lithic.sources import footer
 from lithic.sources.arrow_writer import CODECS
-from lithic.sources.reader import scan
+from lithic.sources.reader import Scan, scan
 from lithic.sources.writer import WriteOptions, write
 
 
@@ -196,10 +196,14 @@ def ranged_lines(spark: SparkSession, sf_dir: str) -> str:
 def _opened(spark: SparkSession, sf_dir: str, predicate) -> DataFrame:
     """Which row groups a predicate opens, what is in them, and what of that its rows are."""
     some = scan(spark, Lines, ranged_lines(spark, sf_dir)).where(predicate)
-    groups = some.row_groups().agg(F.count("*").alias("groups"), F.coalesce(F.sum("row_count"), F.lit(0)).alias("candidates"))
-    whole = some.to_df()
-    rows = whole.agg(F.count("*").alias("read"), F.count(F.when(predicate.residual(), 1)).alias("n"), F.coalesce(F.sum(F.when(predicate.residual(), F.col("l_quantity").cast("decimal(28,4)"))), F.lit(0)).cast("double").alias("quantity"))
-    return groups.join(rows)  # a row each
+    match, quantity = predicate.residual(), F.col("l_quantity").cast("decimal(28,4)")
+    return some.to_df().agg(*_groups_of(some), F.count("*").alias("read"), F.count(F.when(match, 1)).alias("n"), F.coalesce(F.sum(F.when(match, quantity)), F.lit(0)).cast("double").alias("quantity"))
+
+
+def _groups_of(some: Scan) -> list[Column]:
+    """How many row groups a scan opens and the rows that they hold, as constants."""
+    found = some.row_groups().agg(F.count("*").alias("groups"), F.coalesce(F.sum("row_count"), F.lit(0)).alias("candidates")).first()
+    return [F.lit(found[c]).cast("long").alias(c) for c in ("groups", "candidates")]
 
 
 _KEY = may("l_orderkey")
@@ -242,7 +246,7 @@ def groups_without_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = source.select("l_orderkey", F.lit(None).cast("string").alias("note"), F.expr(f"l_orderkey div {width}").alias("part")).repartition(RANGES, "part")
     write(rows, Noted, at, WriteOptions(row_group_size=10_000_000, partition_by=("part",)))
     some = scan(spark, Noted, at).where(may("l_orderkey").at_least(10**12))
-    return some.row_groups().agg(F.count("*").alias("groups"), F.sum("row_count").alias("candidates")).join(some.to_df().agg(F.count("*").alias("read"), F.count("note").alias("notes")))
+    return some.to_df().agg(*_groups_of(some), F.count("*").alias("read"), F.count("note").alias("notes"))
 
 
 def row_group_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
