@@ -153,6 +153,7 @@ LEFT JOIN owned b ON b.source_no = r.source_no AND b.rank = r.last_rank AND b.ra
 """
 
 #: These pages have one article each without asides in it; blocks, character references and white space as in the operator.
+#: The template of a host with 4 distinct pages or more has a main slot, which is there on all of them.
 OP4_SQL = r"""
 WITH hosts AS (SELECT *, lower(regexp_extract(coalesce(url, ''), '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1)) AS host FROM pages),
 counted AS (SELECT host, count(DISTINCT coalesce(html, '')) AS host_pages FROM hosts GROUP BY host),

@@ -12,13 +12,12 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
-#: Bytes of an Arrow batch between Spark and Python, unless the session says otherwise; a longer row is a batch of its own.
-BATCH_BYTES = "8m"
-_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of an Arrow batch between Spark and Python, and rows of a batch of Spark's Parquet scan, unless the session says
+#: otherwise; a longer row is a batch of its own.
+BATCH_BYTES, SCAN_ROWS = "8m", "512"
+_BATCH, _SCAN = "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _LOCAL: dict[str, str] = {}
-#: Sessions whose batches are bounded already, by application.
-_bounded: set[str] = set()
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -36,15 +35,14 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Arrow batches by bytes: rows hold whole texts, so a count of rows alone bounds no worker's memory.
+    """Batches for rows that hold whole texts: Spark's own thousands of rows are tens of MB in one array.
 
-    The session's own setting stays if it is less than Spark's default.
+    What the session has set to anything but Spark's default stays.
     """
-    app = spark.sparkContext.applicationId
-    if app not in _bounded:
-        _bounded.add(app)
-        if spark.conf.get(_BATCH) in ("67108864b", "64m", "64MB"):
-            spark.conf.set(_BATCH, BATCH_BYTES)
+    if spark.conf.get(_BATCH) in ("67108864b", "64m", "64MB"):
+        spark.conf.set(_BATCH, BATCH_BYTES)
+    if spark.conf.get(_SCAN) == "4096":
+        spark.conf.set(_SCAN, SCAN_ROWS)
 
 
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: object) -> DataFrame:
@@ -71,6 +69,7 @@ def materialize(df: DataFrame, what: str = "table") -> DataFrame:
     ends, or with release().
     """
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{shared_root(spark)}/lithic-{what}-{uuid.uuid4().hex}"
     with _shuffles_go(spark):
         df.write.option("compression", "zstd").parquet(path)

@@ -41,7 +41,8 @@ PARTS = 5
 #: Whose counts a model has: all parts but one, for each; then all.
 _MODELS = [[h for h in range(PARTS) if h != k] for k in range(PARTS)] + [list(range(PARTS))]
 _CELLS = [(p, c) for p in range(PARTS + 1) for c in (0, 1)]
-_COUNTS = [f"n{h}_{c}" for h in range(PARTS) for c in (0, 1)]
+#: The bits of a model's parts and class.
+_MASKS = {(p, c): sum(1 << (2 * h + c) for h in _MODELS[p]) for p, c in _CELLS}
 
 
 def word_events(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -69,7 +70,7 @@ def _lower(texts: pa.Array) -> pa.Array:
 
 
 def context_counts(rows: DataFrame) -> DataFrame:
-    """(text, label, part) -> a row for each distinct three words in a row: pair (key of the last two), before, word, stem, and n{part}_{label}."""
+    """(text, label, part) -> a row for each distinct three words in a row: pair (key of the last two), before, word, stem, and seen (bit 2 part + label where they are)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,14 +79,15 @@ def context_counts(rows: DataFrame) -> DataFrame:
                 words, before, stems, counts = word_events(data, offsets)
                 pair = pair_key(before, words)
                 earlier = np.r_[np.zeros(1, U64), before[:-1]][: len(before)]
+                earlier[(np.cumsum(counts) - counts)[counts > 0]] = 0  # nothing comes before a text, whatever its neighbour in the batch
                 key, first, where = np.unique(pair_key(earlier, pair), return_index=True, return_inverse=True)
-                of = np.repeat(cell[row : row + len(counts)], counts)
-                numbers = [np.bincount(where[of == c], minlength=len(key)) for c in range(2 * PARTS)]
-                yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (key, pair[first], before[first], words[first], stems[first])), *map(pa.array, numbers)], ["key", "pair", "before", "word", "stem", *_COUNTS])
+                seen = np.zeros(len(key), np.int32)
+                np.bitwise_or.at(seen, where, np.repeat(1 << cell[row : row + len(counts)], counts).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (key, pair[first], before[first], words[first], stems[first])), pa.array(seen)], ["key", "pair", "before", "word", "stem", "seen"])
 
-    spec = ", ".join(f"{c} long" for c in ("key", "pair", "before", "word", "stem", *_COUNTS))
-    names = [F.first(c).alias(c) for c in ("pair", "before", "word", "stem")]
-    return map_arrow(rows.select("text", "label", "part"), run, spec).groupBy("key").agg(*names, *[F.sum(c).alias(c) for c in _COUNTS])
+    names = ["pair", "before", "word", "stem"]
+    spec = ", ".join([*(f"{c} long" for c in ("key", *names)), "seen int"])
+    return map_arrow(rows.select("text", "label", "part"), run, spec).groupBy("key").agg(*[F.first(c).alias(c) for c in names], F.bit_or("seen").alias("seen"))
 
 
 @dataclass
@@ -148,7 +150,10 @@ def _totals(df: DataFrame) -> np.ndarray:
 
 def _entries(df: DataFrame, totals: np.ndarray, key: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, np.ndarray]]:
     """The rows that differ: keys, counts (rows, parts, classes), whether kept in each part, and all columns."""
-    kept = df.withColumn("kept", _differs(totals)).where("kept > 0")
+    # n occurrences in all can't reach G2 beyond 2 n log(all / the rarer class), in any part; most rows are ruled out by that.
+    own = np.maximum(1.0, totals)
+    least = float(np.min(G2 / (2 * np.log(own.sum(1) / own.min(1)))))
+    kept = df.where(F.col(f"n{PARTS}_0") + F.col(f"n{PARTS}_1") >= least).withColumn("kept", _differs(totals)).where("kept > 0")
     found = kept.withColumn("both", F.col(f"n{PARTS}_0") + F.col(f"n{PARTS}_1")).toArrow().sort_by([("both", "descending"), (key, "ascending")])
     column = {c: found.column(c).to_numpy() for c in found.column_names}
     counts = np.stack([column[f"n{p}_{c}"] for p, c in _CELLS], 1).reshape(-1, PARTS + 1, 2).astype(float)
@@ -157,7 +162,7 @@ def _entries(df: DataFrame, totals: np.ndarray, key: str) -> tuple[np.ndarray, n
 
 def train(counts: DataFrame) -> list[KneserNey]:
     """The models of all parts of the training rows but one, for each, and of all, from context_counts."""
-    cells = [F.expr(" + ".join(f"n{h}_{c}" for h in _MODELS[p])).alias(f"n{p}_{c}") for p, c in _CELLS]
+    cells = [F.col("seen").bitwiseAND(F.lit(mask)).alias(f"n{p}_{c}") for (p, c), mask in _MASKS.items()]
     pairs = materialize(_contexts(counts.select("pair", "before", "word", "stem", *cells), ["pair"], ["before", "word", "stem"]), "pairs")
     words = materialize(_contexts(pairs, ["word"], ["stem"]), "words")
     stems = _contexts(words, ["stem"]).join(words.groupBy("stem").agg(F.sum(F.col(f"n{PARTS}_0") + F.col(f"n{PARTS}_1")).alias("contexts")), "stem")
@@ -275,7 +280,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, p
     known = labels.where(fold_of(F.col("doc_id"), folds) != held_out).groupBy(F.col("toxic").cast("int").alias("k")).count().where("k in (0, 1)").collect()
     of = {r["k"]: r["count"] for r in known}
     weight = np.where(y == 1, of.get(1, 0) / max(1, y.sum()), of.get(0, 0) / max(1, (1 - y).sum()))
-    release(rows, counts)
+    release(rows, counts, others)
     return models[PARTS], calibrate(x, y, weight)
 
 
@@ -304,7 +309,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **of_fit: int) -> DataFrame:
-    """docs, all columns as they are, without the rows that score_toxicity gives threshold or more."""
+    """docs, all columns as they are, without the rows that score_toxicity gives threshold or more.
+
+    docs has doc_id and text, whatever else it has and however that is named.  Null, empty and wordless texts have the
+    value of a difference of 0, all texts the rate of label 1 where a class has no labels; equal texts, repeated rows among them, stay or go together; very long texts count
+    whole; an empty table gives an empty one.
+    """
     model, at = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **of_fit)), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

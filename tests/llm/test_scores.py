@@ -381,6 +381,29 @@ def test_all_entries_are_kept(spark):
 # ---- pipeline ----------------------------------------------------------------
 
 
+def test_stages_edges(spark, tmp_path):
+    """Every stage on nulls, empty, very long and repeated texts, ties, extra columns of any names, and on no rows."""
+    import corpus_pipeline
+
+    docs, labels = made_corpus(spark, 60)
+    names = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "long", "slot": "string", "score": "double", "component_id": "string", "sequence_id": "string"}
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars, "a", 0.5, "c", "q") for r in docs.collect()]
+    rows += [(None, None, None, None, None, None, None, None, None), (700, "", "en", "s", 0, "a", 0.5, "c", "q"), (701, " \n", "en", None, 2, "a", 0.5, "c", "q")]
+    rows += [rows[1]] * 3 + [(702, " ".join(f"word{k % 300}" for k in range(30_000)), "en", "t", 1, "a", 0.5, "c", "q"), (None, "word1 word2 word3", "en", "t", 1, "a", 0.5, "c", "q")]
+    odd = spark.createDataFrame(rows, ", ".join(f"{k} {v}" for k, v in names.items()))
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    known = {(r[0], r[1]) for r in rows}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, str(tmp_path))
+        if name != "packing":
+            assert out.columns == odd.columns, name
+        if name in ("toxicity", "quality_classifier", "minhash_near_dedup"):
+            assert {(r.doc_id, r.text) for r in out.collect()} <= known and out.count() <= len(rows), name
+        assert out.count() > 0 and stage(spark, odd.limit(0), str(tmp_path)).count() == 0, name
+    kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["minhash_near_dedup"](spark, odd, str(tmp_path)).collect()}
+    assert {700, 701, 702, None} <= kept
+
+
 @pytest.mark.skipif(not Path(SF).exists(), reason="no test data")
 def test_pipeline(spark):
     import corpus_pipeline
