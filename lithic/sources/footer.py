@@ -63,6 +63,30 @@ def files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return listed.where(~F.regexp_like(F.regexp_extract("path", r"([^/]*)$", 1), F.lit(r"^[_.]"))).where("length > 0")
 
 
+def few_files(spark: SparkSession, paths: list[str], most: int) -> list[tuple[str, int, int]] | None:
+    """(path, length, time) of the data files at paths without a Spark job; None if they are more, lie in folders below, or go by a pattern."""
+    jvm, out = spark._jvm, []
+    for path in paths:
+        if any(c in path for c in "*?[]{}"):
+            return None
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not store.exists(at):
+            return None
+        found = store.listStatus(at)
+        if len(found) > 2 * most:
+            return None
+        for status in found:
+            name = status.getPath().getName()
+            if name.startswith(("_", ".")):
+                continue
+            if status.isDirectory() or len(out) == most:
+                return None
+            if status.getLen() > 0:
+                out.append((status.getPath().toString(), status.getLen(), status.getModificationTime()))
+    return out
+
+
 def tail_of(spark: SparkSession, path: str, length: int, most: int) -> bytes:
     """A file's footer with its frame, by Spark's file systems; of one that is broken or larger than most, its last 8 bytes alone."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

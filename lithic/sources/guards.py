@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections import OrderedDict
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -269,6 +270,8 @@ class Found:
 #: What check_files() found, by session, files and limits: footers that haven't changed aren't read again.
 _checked: OrderedDict[tuple, Found] = OrderedDict()
 _REMEMBERED = 256
+#: Files, and bytes in all, up to which the driver looks itself.
+_FEW, _SMALL = 16, 1 << 28
 # A codec and an encoding of Parquet that Spark's scan doesn't know.
 _ODD_CODECS, _ODD_ENCODING = ("BROTLI", "LZO"), "BYTE_STREAM_SPLIT"
 
@@ -283,40 +286,60 @@ def _odd(meta: pq.FileMetaData, roots: frozenset[str] | None) -> bool:
 
 
 def check_files(spark: SparkSession, path: str | list[str], limits: Limits, roots: frozenset[str] | None = None) -> Found:
-    """Checks every file where the executors are.
+    """Checks every file where the executors are; a few files, as Spark reads a few footers when it plans, without a job.
 
     The answer is remembered as long as the files' paths, lengths and times stay what they are.
     """
     paths = [path] if isinstance(path, str) else list(path)
-    listed = footer.files(spark, paths)
-    state = listed.agg(F.count("*"), F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first()
-    key = (spark.sparkContext.applicationId, tuple(paths), limits, roots, *state)
+    few = footer.few_files(spark, paths, _FEW)
+    if few is not None and sum(n for _, n, _ in few) > _SMALL:
+        few = None
+    if few is None:
+        state = tuple(footer.files(spark, paths).agg(F.count("*"), F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first())
+    else:
+        state = tuple(sorted(few))
+    key = (spark.sparkContext.applicationId, tuple(paths), limits, roots, state)
     if key in _checked:
         _checked.move_to_end(key)
         return _checked[key]
+    if few is None:
+        rows = _look_in_tasks(spark, paths, limits, roots)
+    else:
+        apart = [None if footer.by_arrow([p]) else footer.tail_of(spark, p, n, limits.max_footer_bytes) for p, n, _ in few]
+        with ThreadPoolExecutor(_FEW) as pool:
+            seen = list(pool.map(lambda x: _look(x[0][0], x[0][1], limits, roots, x[1]), zip(few, apart, strict=True)))
+        rows = [{"path": p, "schema": schema, "wrong": wrong, "rows": n, "odd": odd} for p, schema, wrong, n, odd in sorted(seen)]
+    for r in rows:
+        if r["wrong"]:
+            raise InvalidData(r["wrong"])
+    schemas = {r["schema"]: r["path"] for r in reversed(rows)}
+    _checked[key] = Found([(p, schema) for schema, p in schemas.items()], sum(r["rows"] for r in rows), any(r["odd"] for r in rows))
+    while len(_checked) > _REMEMBERED:
+        _checked.popitem(last=False)
+    return _checked[key]
+
+
+def _look(path: str, size: int, limits: Limits, roots: frozenset[str] | None, tail: bytes | None) -> tuple[str, str, str | None, int, bool]:
+    """(path, schema, what is wrong, rows, whether only Arrow reads it) of a file."""
+    try:
+        meta = read_footer(path, size, limits, roots, tail)
+        return path, footer.describe_schema(meta), None, meta.num_rows, _odd(meta, roots)
+    except InvalidData as e:
+        return path, "", str(e), 0, False
+
+
+def _look_in_tasks(spark: SparkSession, paths: list[str], limits: Limits, roots: frozenset[str] | None) -> list[Row]:
+    """_look() at all files, a row for each schema."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for one, size, tail in zip(*(batch.column(c).to_pylist() for c in ("path", "length", "tail")), strict=True):
-                try:
-                    meta = read_footer(one, size, limits, roots, tail)
-                    found.append((one, footer.describe_schema(meta), None, meta.num_rows, _odd(meta, roots)))
-                except InvalidData as e:
-                    found.append((one, "", str(e), 0, False))
+            found = [_look(one, size, limits, roots, tail) for one, size, tail in zip(*(batch.column(c).to_pylist() for c in ("path", "length", "tail")), strict=True)]
             kinds = {"path": pa.string(), "schema": pa.string(), "wrong": pa.string(), "rows": pa.int64(), "odd": pa.bool_()}
             columns = list(zip(*found, strict=True)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], list(kinds))
 
     found = footer.tails(spark, paths, limits.max_footer_bytes).select("path", "length", "tail").mapInArrow(run, "path string, schema string, wrong string, rows long, odd boolean")
-    rows = found.groupBy("schema").agg(F.min("path").alias("path"), F.min("wrong").alias("wrong"), F.sum("rows").alias("rows"), F.max("odd").alias("odd")).collect()
-    for r in rows:
-        if r["wrong"]:
-            raise InvalidData(r["wrong"])
-    _checked[key] = Found([(r["path"], r["schema"]) for r in rows], sum(r["rows"] for r in rows), any(r["odd"] for r in rows))
-    while len(_checked) > _REMEMBERED:
-        _checked.popitem(last=False)
-    return _checked[key]
+    return found.groupBy("schema").agg(F.min("path").alias("path"), F.min("wrong").alias("wrong"), F.sum("rows").alias("rows"), F.max("odd").alias("odd")).collect()
 
 
 def _has_text(kind: T.DataType) -> bool:

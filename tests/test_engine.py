@@ -300,8 +300,8 @@ def test_footers_are_remembered(spark, tmp_path, monkeypatch):
 
     at = tmp_path / "one.parquet"
     pq.write_table(pa.table({"id": pa.array([1], pa.int32()), "name": ["a"]}), at)
-    calls, tails = [], footer.tails
-    monkeypatch.setattr(footer, "tails", lambda *a: calls.append(a) or tails(*a))
+    calls, look = [], guards._look
+    monkeypatch.setattr(guards, "_look", lambda *a: calls.append(a) or look(*a))
     for _ in range(3):
         assert scan(spark, Base, str(at)).to_df().count() == 1
     assert len(calls) == 1
@@ -311,6 +311,20 @@ def test_footers_are_remembered(spark, tmp_path, monkeypatch):
     assert len(calls) == 2 and len(guards._checked) <= guards._REMEMBERED
 
 
+def test_many_files_are_looked_at_in_tasks(spark, tmp_path):
+    """More files than the driver looks at itself, one of them broken."""
+    for k in range(40):
+        pq.write_table(pa.table({"id": pa.array([k], pa.int32()), "name": ["a"], **({"score": [0.5]} if k % 2 else {})}), tmp_path / f"{k}.parquet")
+    s = scan(spark, Base, str(tmp_path))
+    assert s.to_df().agg(F.sum("id"), F.count("score")).first() == (sum(range(40)), 20)
+    assert scan(spark, Base, f"{tmp_path}/1?.parquet").to_df().count() == 10
+    (tmp_path / "x.parquet").write_bytes(b"PAR1 and no footer PAR1")
+    with pytest.raises(InvalidData, match="x.parquet"):
+        s.to_df()
+    with pytest.raises(Exception, match="(?i)path does not exist|PATH_NOT_FOUND"):
+        scan(spark, Base, str(tmp_path / "nowhere")).to_df()
+
+
 def test_store_that_only_spark_opens(spark, sorted_events):
     """viewfs is no file system of Arrow's: footers come through Hadoop's, and whole row groups through Spark's scan."""
     spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.lithictest.link./in", f"file://{sorted_events}")
