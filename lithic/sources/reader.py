@@ -15,6 +15,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -32,6 +33,11 @@ from lithic.sources import footer
 from lithic.sources.guards import Found, Limits, check_files, guarded, read_footer
 
 
+_GROUPS = "path string, row_group int, row_count long, first_row long"
+#: Files whose footers the driver reads itself when row groups are chosen.
+_FEW = 16
+
+
 class NotSupported(RuntimeError):
     """Builder steps that don't go together."""
 
@@ -171,24 +177,43 @@ class Scan:
 
     def row_groups(self) -> DataFrame:
         """(path, row_group, row_count, first_row) of the groups that the predicate accepts."""
-        model, limits = dataclasses.replace(self.model, cls=None), dataclasses.replace(self.options.limits, check_pages=False)
-        predicate = self.predicate.group if isinstance(self.predicate, Predicate) else self.predicate
-        kinds = {"path": pa.string(), "row_group": pa.int32(), "row_count": pa.int64(), "first_row": pa.int64()}
+        if (few := self._few_groups()) is not None:
+            return self.spark.createDataFrame(few, _GROUPS)
+        accepted = self._accepted()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found: list[tuple[str, int, int, int]] = []
-                for path, size, tail in zip(*(batch.column(c).to_pylist() for c in ("path", "length", "tail")), strict=True):
-                    before = 0
-                    for group in group_metadata(read_footer(path, size, limits, frozenset(), tail), model):
-                        if accept_row_group(model, predicate, group):
-                            found.append((path, group.row_group, group.row_count, before))
-                        before += group.row_count
-                columns = list(zip(*found, strict=True)) or [()] * len(kinds)
+                found = [g for file in zip(*(batch.column(c).to_pylist() for c in ("path", "length", "tail")), strict=True) for g in accepted(*file)]
+                columns = list(zip(*found, strict=True)) or [()] * 4
+                kinds = {"path": pa.string(), "row_group": pa.int32(), "row_count": pa.int64(), "first_row": pa.int64()}
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], list(kinds))
 
-        listed = footer.tails(self.spark, list(self.paths), limits.max_footer_bytes).select("path", "length", "tail")
-        return listed.mapInArrow(run, "path string, row_group int, row_count long, first_row long")
+        listed = footer.tails(self.spark, list(self.paths), self.options.limits.max_footer_bytes).select("path", "length", "tail")
+        return listed.mapInArrow(run, _GROUPS)
+
+    def _accepted(self) -> Callable[[str, int, bytes | None], list[tuple[str, int, int, int]]]:
+        """What row_groups() has of a file (path, length, tail); without this scan's session, so that tasks can have it."""
+        model, limits = dataclasses.replace(self.model, cls=None), dataclasses.replace(self.options.limits, check_pages=False)
+        predicate = self.predicate.group if isinstance(self.predicate, Predicate) else self.predicate
+
+        def of_file(path: str, size: int, tail: bytes | None) -> list[tuple[str, int, int, int]]:
+            out, before = [], 0
+            for group in group_metadata(read_footer(path, size, limits, frozenset(), tail), model):
+                if accept_row_group(model, predicate, group):
+                    out.append((path, group.row_group, group.row_count, before))
+                before += group.row_count
+            return out
+
+        return of_file
+
+    def _few_groups(self) -> list[tuple[str, int, int, int]] | None:
+        """row_groups() of few files, without a job."""
+        few, paths = footer.few_files(self.spark, list(self.paths), _FEW), list(self.paths)
+        if few is None or not footer.by_arrow(paths):
+            return None
+        accepted = self._accepted()
+        with ThreadPoolExecutor(_FEW) as pool:
+            return [g for groups in pool.map(lambda f: accepted(f[0], f[1], None), sorted(few)) for g in groups]
 
     def _grouped(self, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
         """f over the accepted row groups' batches, each read by one task; a task has groups that follow each other."""
@@ -205,7 +230,11 @@ class Scan:
                         yield _as_model(file.read_row_group(g, columns=[names[c.name.lower()] for c in model.columns if c.name.lower() in names]), model)
 
         tasks = max(1, self.spark.sparkContext.defaultParallelism)
-        spread = self.row_groups().repartitionByRange(tasks, "path", "row_group").sortWithinPartitions("path", "row_group")
+        if (few := self._few_groups()) is not None:
+            rows = [(path, g, k * tasks // len(few)) for k, (path, g, *_) in enumerate(few)]
+            spread = self.spark.createDataFrame(rows, "path string, row_group int, task int").repartitionById(tasks, "task").sortWithinPartitions("path", "row_group")
+        else:
+            spread = self.row_groups().repartitionByRange(tasks, "path", "row_group").sortWithinPartitions("path", "row_group")
         return spread.select("path", "row_group").mapInArrow(lambda batches: f(groups(batches)), schema)
 
     def _candidates(self, absent: set[str]) -> DataFrame:
