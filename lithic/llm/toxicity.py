@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from lithic.llm.labelled import fold_of, training_rows
 from lithic.llm.store import map_arrow, materialize, release
-from lithic.llm.words import PUNCT, U64, mix, span_hashes, text_slices, tokens_of
+from lithic.llm.words import U64, mix, span_hasher, text_slices, word_spans
 
 PER_CLASS = 6000
 G2, RATIO = 15.0, 5.0
@@ -47,17 +47,15 @@ _MASKS = {(p, c): sum(1 << (2 * h + c) for h in _MODELS[p]) for p, c in _CELLS}
 
 def word_events(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of each text's words, of the words before them (0 at its start) and of their stems; words per text."""
-    _, starts, ends, _ = tokens_of(data, offsets)
-    keep = ~PUNCT[data[starts]] if len(starts) else np.zeros(0, bool)
-    starts, ends = starts[keep], ends[keep]
-    counts = np.diff(np.searchsorted(starts, offsets))
-    words = span_hashes(data, starts, ends)
+    starts, ends = word_spans(data, offsets)
+    counts, hashes = np.diff(np.searchsorted(starts, offsets)), span_hasher(data)
+    words = hashes(starts, ends)
     before = np.r_[np.zeros(1, U64), words[:-1]][: len(words)]
     before[(np.cumsum(counts) - counts)[counts > 0]] = 0
     chars = np.flatnonzero((data & 0xC0) != 0x80)
     at = np.searchsorted(chars, starts) + STEM
     cut = np.r_[chars, np.full(STEM + 1, len(data))][np.minimum(at, len(chars) + STEM)]
-    stems = mix(span_hashes(data, starts, np.maximum(starts + 1, np.minimum(ends, cut))) + U64(1)) if len(words) else words
+    stems = mix(hashes(starts, np.maximum(starts + 1, np.minimum(ends, cut))) + U64(1)) if len(words) else words
     return words, before, stems, counts
 
 
@@ -97,17 +95,23 @@ class Level:
     keys: np.ndarray
     value: np.ndarray
     other: np.ndarray
+    near: np.ndarray  # by the first 16 bits, whether there is a key that begins so
 
     def look_up(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.broadcast_to(self.other, (len(keys), 2))
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where((self.keys[at] == keys)[:, None], self.value[at], self.other)
+        out = np.empty((len(keys), 2))
+        out[:] = self.other
+        if len(self.keys):
+            some = np.flatnonzero(self.near[keys >> U64(48)])
+            at = np.minimum(np.searchsorted(self.keys, keys[some]), len(self.keys) - 1)
+            there = self.keys[at] == keys[some]
+            out[some[there]] = self.value[at[there]]
+        return out
 
 
 def _level(keys: np.ndarray, value: np.ndarray, other: tuple[float, float]) -> Level:
-    order = np.argsort(keys)
-    return Level(keys[order], np.ascontiguousarray(value[order]), np.array(other, float))
+    order, near = np.argsort(keys), np.zeros(1 << 16, bool)
+    near[keys >> U64(48)] = True
+    return Level(keys[order], np.ascontiguousarray(value[order]), np.array(other, float), near)
 
 
 @dataclass

@@ -8,10 +8,11 @@ plus SLICE bytes of others.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 SLICE = 1 << 20
@@ -47,13 +48,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[start:end] for each span: a rolling polynomial, then mix()."""
+def span_hasher(data: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function from spans (starts, ends) of data to 64-bit hashes of their bytes: a rolling polynomial, then mix()."""
     power, inverse = _power_tables(len(data) + 1)
     sums = np.zeros(len(data) + 1, U64)
     np.cumsum((data.astype(U64) + U64(1)) * power[: len(data)], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * inverse[starts]
-    return mix(h + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+
+    def hashes(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        h = (sums[ends] - sums[starts]) * inverse[starts]
+        return mix(h + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+
+    return hashes
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of data[start:end] for each span."""
+    return span_hasher(data)(starts, ends)
 
 
 def text_slices(texts: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -96,6 +106,11 @@ def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple
     return hashes, np.diff(np.searchsorted(starts, offsets))
 
 
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of runs of letters and digits."""
+    return _edges(~(SPACE | PUNCT)[data], offsets) if len(data) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
 def tokens_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of letters and digits, and runs of punctuation: hashes, starts, ends, how many each text has."""
     if not len(data):
@@ -135,3 +150,71 @@ def shingles_of(words: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.n
     for d in short:
         out[first[d]] = fold(words[starts[d] : ends[d]], int(counts[d]))[0]
     return out, many
+
+
+# ---- distinct parts of texts -------------------------------------------------
+
+
+def row_slices(texts: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows of about limit bytes; a longer text is alone."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    row = 0
+    while row < len(size):
+        before = size[row - 1] if row else 0
+        last = min(len(size), max(row + 1, int(np.searchsorted(size, before + limit, "right"))))
+        yield row, last
+        row = last
+
+
+def cut_at_spaces(text: str, limit: int) -> Iterator[str]:
+    """A text in pieces of about limit characters, each but the first beginning with the space or line break that it was cut at."""
+    at = 0
+    while at < len(text):
+        end = at + limit
+        if end < len(text) and (end := max(text.rfind(" ", at, end), text.rfind("\n", at, end))) <= at:
+            later = [x for x in (text.find(" ", at + limit), text.find("\n", at + limit)) if x >= 0]
+            end = min(later, default=len(text))
+        yield text[at:end]
+        at = end
+
+
+def parted(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """All parts of texts between spaces and line breaks, numbered by a hash table, A-Z lower-cased; and where each text's begin.
+
+    Null texts are empty; an empty text has one empty part.
+    """
+    low = pc.replace_substring(pc.ascii_lower(texts.fill_null("")), "\n", " ")
+    parts = pc.split_pattern(low, " ")
+    return parts.flatten().dictionary_encode(), parts.offsets.to_numpy()
+
+
+class Remembered:
+    """Numbers of strings, by which something is known of each; beyond LIMIT strings only those in use stay known."""
+
+    LIMIT = 600_000
+
+    def __init__(self) -> None:
+        self.known = pa.array([""], pa.string())
+
+    def learn(self, new: list[str]) -> None:
+        """Works out what is known of strings that get the next numbers."""
+        raise NotImplementedError
+
+    def keep(self, kept: np.ndarray) -> None:
+        """Leaves only what is known of these numbers, in their order."""
+        raise NotImplementedError
+
+    def numbers(self, strings: pa.Array) -> np.ndarray:
+        at = pc.index_in(strings, value_set=self.known)
+        new = strings.filter(pc.is_null(at)).dictionary_encode()
+        at = pc.fill_null(at, -1).to_numpy().copy()
+        if len(new):
+            if len(self.known) + len(new.dictionary) > self.LIMIT:
+                kept, own = np.unique(np.r_[0, at[at >= 0]], return_inverse=True)
+                self.known = self.known.take(pa.array(kept))
+                self.keep(kept)
+                at[at >= 0] = own[1:]
+            at[at < 0] = len(self.known) + new.indices.to_numpy()
+            self.learn(new.dictionary.to_pylist())
+            self.known = pa.concat_arrays([self.known, new.dictionary])
+        return at
