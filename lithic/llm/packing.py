@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lithic.llm.store import map_arrow, materialize
+from lithic.llm.words import Remembered, cut_at_spaces, parted, row_slices
 
 WINDOW = 4096
 #: Remainders that a task holds before it places them (five numbers each); open windows stay open for later ones.
@@ -30,8 +31,8 @@ HELD = 1 << 20
 ROOMY = 32
 #: Pieces that one task packs again, about.
 AGAIN = 200_000
-#: Words whose ids a worker remembers, and bytes of text that it looks at together.
-REMEMBERED, SLICE = 1_000_000, 1 << 21
+#: Bytes of text that are looked at together.
+SLICE = 1 << 22
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 PACKED = ", ".join(f"{n} long" for n in NAMES)
 
@@ -100,19 +101,20 @@ def gather(values: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarr
     return values[at]
 
 
-class Encoder:
+class Encoder(Remembered):
     """Texts to token ids, for a word-level BPE that lower-cases, marks word ends and drops white space.
 
     No piece spans a space or a line break, so texts are cut there and each distinct part is
-    encoded once: parts are numbered by a hash table in Arrow, and a text's ids are gathered by number.  A full
+    encoded once; a text's ids are gathered by its parts' numbers.  A full
     stop or comma that ends a word stands alone for the tokenizer, so it is encoded alone.  The strings of special tokens in a
-    text are ordinary text.  Beyond REMEMBERED words only those in use stay known.
+    text are ordinary text.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
@@ -120,8 +122,7 @@ class Encoder:
             self.ends[at] = piece.endswith("</w>")
         stops = {c: self._plain([c])[0] for c in ".,"}
         self.stops = {c: int(ids[0]) for c, ids in stops.items() if len(ids) == 1}
-        #: Known words, and where each one's ids are in ids.
-        self.words = pa.array([""], pa.string())
+        #: Where each known part's ids are in ids.
         self.first, self.count, self.ids = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
@@ -151,54 +152,35 @@ class Encoder:
         first[alone] = at + np.cumsum(count[alone]) - count[alone]
         return np.concatenate([*parts, *own]), first, count
 
-    def _numbers(self, words: pa.Array) -> np.ndarray:
-        """The words' numbers; unknown ones are encoded and get the next numbers."""
-        at = pc.index_in(words, value_set=self.words)
-        new = words.filter(pc.is_null(at)).dictionary_encode()
-        at = pc.fill_null(at, -1).to_numpy().copy()
-        if len(new):
-            if len(self.words) + len(new.dictionary) > REMEMBERED:
-                kept, own = np.unique(np.r_[0, at[at >= 0]], return_inverse=True)
-                ids = gather(self.ids, self.first[kept], self.count[kept])
-                self.words, self.count, self.ids = self.words.take(pa.array(kept)), self.count[kept], ids
-                self.first = np.cumsum(self.count) - self.count
-                at[at >= 0] = own[1:]
-            at[at < 0] = len(self.words) + new.indices.to_numpy()
-            ids, first, count = self._encoded(new.dictionary.to_pylist())
-            self.first, self.count = np.r_[self.first, len(self.ids) + first], np.r_[self.count, count]
-            self.ids, self.words = np.r_[self.ids, ids], pa.concat_arrays([self.words, new.dictionary])
-        return at
+    def learn(self, new: list[str]) -> None:
+        ids, first, count = self._encoded(new)
+        self.first, self.count = np.r_[self.first, len(self.ids) + first], np.r_[self.count, count]
+        self.ids = np.r_[self.ids, ids]
+
+    def keep(self, kept: np.ndarray) -> None:
+        self.ids, self.count = gather(self.ids, self.first[kept], self.count[kept]), self.count[kept]
+        self.first = np.cumsum(self.count) - self.count
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and how many each has. Null texts have none."""
-        low = pc.replace_substring(pc.ascii_lower(texts.fill_null("")), "\n", " ")
-        parts = pc.split_pattern(low, " ")
-        words = parts.flatten().dictionary_encode()
-        distinct = words.dictionary
+        parts, begins = parted(texts)
+        distinct = parts.dictionary
         stop = np.full(len(distinct), -1, np.int64)
         for c, one in self.stops.items():
             stop[pc.match_substring_regex(distinct, f"[a-z][{c}]$").to_numpy(zero_copy_only=False)] = one
         bare = pc.if_else(pa.array(stop >= 0), pc.utf8_slice_codeunits(distinct, 0, -1), distinct)
-        number, at = self._numbers(bare), words.indices.to_numpy()
+        number, at = self.numbers(bare), parts.indices.to_numpy()
         first, count, stop = self.first[number][at], self.count[number][at], stop[at]
         stopped = stop >= 0
         # A stop's place gets some id first, then its own.
         ids = gather(np.append(self.ids, np.uint32(0)), first, count + stopped)
         ends = np.cumsum(count + stopped)
         ids[ends[stopped] - 1] = stop[stopped]
-        return ids, np.diff(np.r_[0, ends][parts.offsets.to_numpy()])
+        return ids, np.diff(np.r_[0, ends][begins])
 
     def encode_long(self, text: str) -> np.ndarray:
         """The ids of one text, SLICE characters at a time, cut at spaces."""
-        out, at = [np.zeros(0, np.uint32)], 0
-        while at < len(text):
-            end = at + SLICE
-            if end < len(text) and (end := max(text.rfind(" ", at, end), text.rfind("\n", at, end))) <= at:
-                later = [x for x in (text.find(" ", at + SLICE), text.find("\n", at + SLICE)) if x >= 0]
-                end = min(later, default=len(text))
-            out.append(self.encode(pa.array([text[at:end]], pa.string()))[0])
-            at = end
-        return np.concatenate(out)
+        return np.concatenate([np.zeros(0, np.uint32), *(self.encode(pa.array([x], pa.string()))[0] for x in cut_at_spaces(text, SLICE))])
 
 
 _encoders: dict[str, Encoder] = {}
@@ -211,17 +193,6 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Runs of rows of about SLICE bytes; a longer text is alone."""
-    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    row = 0
-    while row < len(size):
-        before = size[row - 1] if row else 0
-        last = min(len(size), max(row + 1, int(np.searchsorted(size, before + SLICE, "right"))))
-        yield row, last
-        row = last
-
-
 def _batch(columns: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in columns], NAMES)
 
@@ -266,7 +237,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, window: int = WI
             yield _batch([ids, *rest.T, named, offset])
 
         for batch in batches:
-            for row, stop in slices(batch.column("text")):
+            for row, stop in row_slices(batch.column("text"), SLICE):
                 texts = batch.column("text").slice(row, stop - row)
                 if stop - row == 1 and len(text := texts[0].as_py() or "") > SLICE:
                     ids = encode.encode_long(text)

@@ -1,7 +1,5 @@
-import hashlib
 import json
 import random
-import re
 import zlib
 
 import numpy as np
@@ -189,7 +187,7 @@ def test_encoder_is_the_tokenizer(monkeypatch):
     encode = packing.Encoder(PATH)
     want = [encode.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
     for remembered in (10**6, 50):
-        monkeypatch.setattr(packing, "REMEMBERED", remembered)
+        monkeypatch.setattr(packing.Encoder, "LIMIT", remembered)
         for _ in range(2):
             ids, counts = encode.encode(pa.array(texts, pa.string()))
             assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
