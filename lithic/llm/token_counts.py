@@ -12,18 +12,21 @@ import json
 from collections import deque
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lithic.llm.store import map_arrow
+from lithic.llm.words import Remembered, cut_at_spaces, parted, row_slices
 
 #: Fixed value: what this kind of vocabulary writes at the end of a word.
 WORD_END = "</w>"
 #: Words: runs of letters, single digits, runs of other visible characters.
 WORD = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-REMEMBERED = 300_000
+#: Bytes of text that are looked at together.
+SLICE = 1 << 22
 _END = 256
 
 
@@ -101,49 +104,57 @@ def vocabulary_pieces(path: str) -> list[tuple[int, ...]]:
     return out
 
 
-_counters: dict[str, dict[str, int]] = {}
-
-
-class _Lengths(dict):
-    """Word -> its number of pieces, worked out when first asked for."""
+class Counter(Remembered):
+    """Words and tokens of distinct parts of texts."""
 
     def __init__(self, path: str):
         super().__init__()
         self.automaton = LongestMatch(vocabulary_pieces(path))
+        self.words, self.tokens = np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def learn(self, new: list[str]) -> None:
+        words = [WORD.findall(part.lower()) for part in new]
+        # Parts share words; a word's pieces are counted once for all of these.
+        length = {w: self.automaton.count([*w.encode(), _END]) for w in {w for found in words for w in found}}
+        self.words = np.r_[self.words, np.fromiter(map(len, words), np.int64, len(words))]
+        self.tokens = np.r_[self.tokens, np.fromiter((sum(map(length.__getitem__, found)) for found in words), np.int64, len(words))]
+
+    def keep(self, kept: np.ndarray) -> None:
+        self.words, self.tokens = self.words[kept], self.tokens[kept]
+
+    def count(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """How many words and tokens each text has."""
+        parts, begins = parted(texts)
+        at = self.numbers(parts.dictionary)[parts.indices.to_numpy()]
+        return tuple(np.diff(np.r_[0, np.cumsum(of[at])][begins]) for of in (self.words, self.tokens))
+
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        n = self.automaton.count([*word.encode(), _END])
-        if len(word) <= 64:
-            self[word] = n
-        return n
+_counters: dict[str, Counter] = {}
 
 
 def count_tokens(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     """A row for each row of docs: doc_id, n_words, n_tokens.
 
-    docs has doc_id and text; other columns are ignored.  Texts are lower-cased and cut into WORDs;
+    docs has doc_id and text; other columns are ignored, whatever their names.  Texts are lower-cased and cut into WORDs;
     n_tokens adds up each word's greedy longest-match pieces over the vocabulary's bytes, the last of which
     carries the word's end.  A word that can't be matched is one token.  Null and blank texts have 0 of both; repeated rows are
-    counted each; whole texts count; an empty table gives no rows.  The vocabulary
+    counted each; whole texts count, very long ones a few MB at a time; an empty table gives no rows.  The vocabulary
     is read from a path that every executor has.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if vocabulary_path not in _counters:
-            _counters[vocabulary_path] = _Lengths(vocabulary_path)
-        lengths = _counters[vocabulary_path]
+            _counters[vocabulary_path] = Counter(vocabulary_path)
+        counter = _counters[vocabulary_path]
         for batch in batches:
-            words, tokens = [], []
-            for text in batch.column("text"):
-                n = total = 0
-                # Word by word, so a very long text is never a list of words.
-                found = WORD.findall(t) if len(t := (text.as_py() or "").lower()) < 1 << 20 else (m.group() for m in WORD.finditer(t))
-                for n, word in enumerate(found, 1):  # noqa: B007
-                    total += lengths[word]
-                words.append(n)
-                tokens.append(total)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], ["doc_id", "n_words", "n_tokens"])
+            found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+            for row, stop in row_slices(batch.column("text"), SLICE):
+                texts = batch.column("text").slice(row, stop - row)
+                if stop - row == 1 and len(text := texts[0].as_py() or "") > SLICE:
+                    parts = [counter.count(pa.array([x], pa.string())) for x in cut_at_spaces(text, SLICE)]
+                    found.append(tuple(sum(x, start=np.zeros(1, np.int64)) for x in zip(*parts, strict=True)))
+                else:
+                    found.append(counter.count(texts))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(np.concatenate(x)) for x in zip(*found, strict=True))], ["doc_id", "n_words", "n_tokens"])
 
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_words long, n_tokens long")
