@@ -214,7 +214,7 @@ def format_turns(df: DataFrame, mapping: TurnRows | None = None) -> DataFrame:
 
     df has a row for each turn; the mapping is found by the table's fingerprint if
     none is given, and other columns are ignored.  Turns go by order (null first), ties by role, then
-    text; repeated rows are turns of their own.  Null roles and texts are empty.  A
+    text; repeated rows are turns of their own.  Null roles and texts are empty, very long ones whole.  A
     null key is a conversation too.  loss_mask has a span (start, length) in code
     points of formatted for each assistant text, empty ones left out.  An empty table gives no rows.
     A conversation is one record of the result, so it must fit in a task; no other

@@ -238,7 +238,10 @@ def mixture(docs: DataFrame, block: int = BLOCK, most: int = MOST, slot: str = "
 
 
 def apply_mix(docs: DataFrame, block: int = BLOCK, most: int = MOST) -> DataFrame:
-    """mixture() with the columns of docs alone: a row each time a document is taken, partition after partition along the schedule."""
+    """mixture() with the columns of docs alone: a row each time a document is taken, partition after partition along the schedule.
+
+    Nulls, empty and very long texts, ties, repeated rows, empty tables and columns of any names give what they give there.
+    """
     spare = "slot"
     while spare in docs.columns:
         spare += "_"
