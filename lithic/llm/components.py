@@ -24,13 +24,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while True:
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low"))
-        maps.append(materialize(least.select("node", F.least("node", "low").alias("label")), "labels"))
+        maps.append(materialize(least.select("node", F.least("node", "low").alias("label")), "labels", few=True))
         to = maps[-1]
         moved = left
         for end in "ab":
             moved = moved.join(to.select(F.col("node").alias(end), F.col("label").alias(f"to_{end}")), end)
         moved = moved.where("to_a <> to_b").select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct()
-        moved = materialize(moved, "edges")
+        moved = materialize(moved, "edges", few=True)
         if len(maps) > 1:
             release(left)
         left = moved
@@ -41,7 +41,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while maps:
         first = maps.pop()
         far = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        joined = materialize(first.join(far, "label", "left").select("node", F.coalesce("far", "label").alias("label")), "labels")
+        joined = materialize(first.join(far, "label", "left").select("node", F.coalesce("far", "label").alias("label")), "labels", few=True)
         release(first, labels)
         labels = joined
     return labels

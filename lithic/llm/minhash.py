@@ -164,9 +164,9 @@ def _pairs(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 def _mixed(crowd: DataFrame, nodes: DataFrame) -> DataFrame | None:
     """Members (bucket, b, label) of buckets that hold more than one component; None if there are none."""
-    named = materialize(crowd.select("bucket", "b").join(nodes.select("b", "label"), "b"), "members")
+    named = materialize(crowd.select("bucket", "b").join(nodes.select("b", "label"), "b"), "members", few=True)
     split = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-    mixed = materialize(named.join(split, "bucket"), "mixed")
+    mixed = materialize(named.join(split, "bucket"), "mixed", few=True)
     release(named)
     if mixed.isEmpty():
         release(mixed)
@@ -227,7 +227,7 @@ def linked_sets(own: DataFrame, feats: DataFrame, width: int, percent: int) -> D
     crowd = materialize(in_band.join(shared, "bucket"), "crowd")
     # The sets that share a bucket with another, and a text of each.
     picked = reps.join(crowd.select("b").distinct(), "b").select("b", "set_key", "n", F.col("b").alias("label"), "at.text_key", "at.doc_id")
-    nodes = materialize(picked, "nodes")
+    nodes = materialize(picked, "nodes", few=True)
     release(reps)
     at = nodes.select(F.col("b").alias("at"), F.col("text_key").alias("at_key"), F.col("doc_id").alias("at_id"))
     # Few needed texts are picked out where they are read; many meet theirs by shuffling.
@@ -237,13 +237,13 @@ def linked_sets(own: DataFrame, feats: DataFrame, width: int, percent: int) -> D
 
     def more(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
         """nodes with the labels after what the pairs link."""
-        links = materialize(confirmed(_pairs(pairs, nodes, percent), texts, width, percent).distinct(), "links")
+        links = materialize(confirmed(_pairs(pairs, nodes, percent), texts, width, percent).distinct(), "links", few=True)
         if links.isEmpty():
             release(links)
             return nodes
         joined = connected_components(links).select(F.col("node").alias("label"), F.col("label").alias("new"))
         named = nodes.join(joined, "label", "left").withColumn("label", F.coalesce("new", "label")).drop("new")
-        named = materialize(named.select(*nodes.columns), "nodes")
+        named = materialize(named.select(*nodes.columns), "nodes", few=True)
         release(links, nodes, joined)
         return named
 
@@ -254,7 +254,7 @@ def linked_sets(own: DataFrame, feats: DataFrame, width: int, percent: int) -> D
         lone = held.groupBy("s").agg(F.min("b").alias("b"), F.count("*").alias("d")).where("d = 1").groupBy("b").agg(F.count("*").alias("lone"))
         alone = members.join(lone, "b", "left").select("b", (F.coalesce("lone", F.lit(0)) / F.col("n")).alias("share"))
         hubs = mixed.join(alone, "b").groupBy("bucket").agg(F.min(F.struct("share", "b", "label")).alias("hub"))
-        far = materialize(mixed.join(hubs, "bucket").where("label <> hub.label").select("b", F.col("hub.b").alias("a")).distinct(), "far")
+        far = materialize(mixed.join(hubs, "bucket").where("label <> hub.label").select("b", F.col("hub.b").alias("a")).distinct(), "far", few=True)
         release(held)
         nodes = more(nodes, far)
         if (rest := _mixed(mixed, nodes)) is not None:
@@ -273,7 +273,7 @@ def linked_sets(own: DataFrame, feats: DataFrame, width: int, percent: int) -> D
             release(rest, posts)
         release(mixed, far)
     heads = nodes.where("b = label").select("label", F.col("set_key").alias("head"))
-    named = materialize(nodes.join(heads, "label").select(F.col("set_key").alias("node"), F.col("head").alias("label")), "linked")
+    named = materialize(nodes.join(heads, "label").select(F.col("set_key").alias("node"), F.col("head").alias("label")), "linked", few=True)
     release(crowd, nodes, texts)
     return named
 
@@ -336,7 +336,7 @@ def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     stays = (F.col("text_key") == F.col("first.text_key")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
     judged = rows.join(first, "group_key").withColumn("again", stays).where(~stays | (F.col("times") > 1))
     # The rows that go, and with again those of which one stays: few beside the documents.
-    judged = materialize(judged.select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key"), "again"), "gone")
+    judged = materialize(judged.select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key"), "again"), "gone", few=True)
     release(*found._lithic_from)
     small = judged.count() <= BROADCAST_ROWS
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")

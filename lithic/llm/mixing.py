@@ -147,7 +147,7 @@ def _streams(docs: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     rows = materialize(sized(docs), "sizes")
     targets = source_targets(rows, most)
     number = Window.orderBy(F.col("source").isNull(), "source")
-    targets = materialize(targets.withColumn("source_no", F.row_number().over(number).cast("long")), "targets")
+    targets = materialize(targets.withColumn("source_no", F.row_number().over(number).cast("long")), "targets", few=True)
     known = targets.select(F.col("source").alias("s"), "source_no", F.ceil(F.col("documents") / RANGE).alias("ranges"), "source_size", "target", "take")
     named = rows.join(known, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     named = named.withColumn("spot", F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.lower(F.hex("row_key")))))
@@ -214,7 +214,7 @@ def mixture(docs: DataFrame, block: int = BLOCK, most: int = MOST, slot: str = "
     takes = takes.where("size > 0").select(F.col("doc_id").alias("to_id"), F.col("row_key").alias("to_key"), F.col("source").alias("to_source"), F.col("first_slot").alias("__slot"), F.col("taken").alias("__taken"), F.col("size").alias("__size"))
     takes = materialize(takes, "takes")
     equal = placed.where("size > 0").groupBy("doc_id", "row_key", "source").agg(F.count("*").alias("rows")).where("rows > 1")
-    equal = materialize(equal.select(F.col("doc_id").alias("to_id"), F.col("row_key").alias("to_key"), F.col("source").alias("to_source")), "equal")
+    equal = materialize(equal.select(F.col("doc_id").alias("to_id"), F.col("row_key").alias("to_key"), F.col("source").alias("to_source")), "equal", few=True)
     release(placed, targets)
     words, many = takes.agg(F.coalesce(F.sum("__taken"), F.lit(0)), F.count("*")).first()
     repeated = equal.count()

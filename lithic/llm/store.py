@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: otherwise; a longer row is a batch of its own.
 BATCH_BYTES, SCAN_ROWS = "8m", "512"
 _BATCH, _SCAN = "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize"
+#: Each file costs its store several calls, however small it is.
+FILES_PER_CORE = 4
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _LOCAL: dict[str, str] = {}
 
@@ -62,17 +64,20 @@ def _shuffles_go(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_CLEANUP, was) if was is not None else spark.conf.unset(_CLEANUP)
 
 
-def materialize(df: DataFrame, what: str = "table") -> DataFrame:
+def materialize(df: DataFrame, what: str = "table", few: bool = False) -> DataFrame:
     """Write df once to the shared folder and read it back.
 
-    Lost executors lose nothing of it.  The shuffle files that made it go at once; its own files go when the Python process
+    few: for tables that are small beside the input (labels, links, targets): in FILES_PER_CORE files for each core at most,
+    by tasks that take several partitions, where the number of cores is settled.  Lost executors lose nothing of it.  The shuffle files that made it go at once; its own files go when the Python process
     ends, or with release().
     """
     spark = df.sparkSession
     bound_batches(spark)
     path = f"{shared_root(spark)}/lithic-{what}-{uuid.uuid4().hex}"
     with _shuffles_go(spark):
-        df.write.option("compression", "zstd").parquet(path)
+        settled = spark.conf.get("spark.dynamicAllocation.enabled", "false") != "true"
+        out = df.coalesce(FILES_PER_CORE * spark.sparkContext.defaultParallelism) if few and settled else df
+        out.write.option("compression", "zstd").parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._lithic_path = path
     atexit.register(_delete, spark, path)

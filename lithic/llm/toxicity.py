@@ -168,9 +168,9 @@ def train(counts: DataFrame) -> list[KneserNey]:
     """The models of all parts of the training rows but one, for each, and of all, from context_counts."""
     cells = [F.col("seen").bitwiseAND(F.lit(mask)).alias(f"n{p}_{c}") for (p, c), mask in _MASKS.items()]
     pairs = materialize(_contexts(counts.select("pair", "before", "word", "stem", *cells), ["pair"], ["before", "word", "stem"]), "pairs")
-    words = materialize(_contexts(pairs, ["word"], ["stem"]), "words")
+    words = materialize(_contexts(pairs, ["word"], ["stem"]), "words", few=True)
     stems = _contexts(words, ["stem"]).join(words.groupBy("stem").agg(F.sum(F.col(f"n{PARTS}_0") + F.col(f"n{PARTS}_1")).alias("contexts")), "stem")
-    stems = materialize(stems, "stems")
+    stems = materialize(stems, "stems", few=True)
     pair_all, word_all, stem_all = _totals(pairs), _totals(words), _totals(stems)
     pair, n_pair, in_pair, of_pair = _entries(pairs, pair_all, "pair")
     named = stems.select("stem", "contexts", *[F.col(f"n{p}_{c}").alias(f"s{p}_{c}") for p, c in _CELLS])
@@ -266,7 +266,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, p
     spark = docs.sparkSession
     rows = training_rows(docs, labels, "toxic", folds, held_out, per_class)
     # Parts go by the text, so that copies of one aren't in several.
-    rows = materialize(rows.withColumn("part", F.pmod(F.xxhash64("text"), F.lit(PARTS)).cast("int")).select("text", "label", "part"), "labelled")
+    rows = materialize(rows.withColumn("part", F.pmod(F.xxhash64("text"), F.lit(PARTS)).cast("int")).select("text", "label", "part"), "labelled", few=True)
     counts = materialize(context_counts(rows), "contexts")
     models = train(counts)
     others = spark.sparkContext.broadcast(models[:PARTS])
