@@ -18,8 +18,8 @@ cannot change the result, so only links between components are looked for:
    in one global order, those held by a single component first, then rare
    before frequent.  A linked pair must share a shingle in both prefixes of
    n - ceil(0.8 n) + 1, and enough shingles that other components hold, for
-   both sizes.  The sets on a shingle's list are compared with a few of the list first, and
-   then all pairs that pass and still cross components.
+   both sizes.  The sets on a shingle's list are compared with the list's middle and a few others of
+   it first, and then all pairs that pass and still cross components.
 """
 
 from __future__ import annotations
@@ -175,19 +175,21 @@ def _mixed(crowd: DataFrame, nodes: DataFrame) -> DataFrame | None:
 
 
 def _posts(mixed: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The exact prefix filter's index of step 3: (s, b, n, label, after, most) for each shingle in a set's prefix that components share.
+    """The exact prefix filter's index of step 3: (s, b, n, label, after, most, mid) for each shingle in a set's prefix that components share.
 
-    after: how many shared shingles come later in the set's order; most: the greatest size of a partner.
+    after: how many shared shingles come later in the set's order; most: the greatest size of a partner; mid: how many sets hold
+    one of its shingles on average, which is highest for what a crowd's members are copies of.
     """
     members = mixed.select("b").distinct().join(nodes.select("b", "n", "label"), "b")
     held = materialize(held_shingles(members, texts, width).join(members, "b"), "held")
     across = held.groupBy("s").agg(F.count("*").alias("d"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("s", "d")
     own = Window.partitionBy("b")
-    ranked = held.join(across, "s").select("b", "n", "label", "s", F.count("*").over(own).alias("c"), F.row_number().over(own.orderBy("d", "s")).alias("nth"))
+    places = F.count("*").over(own).alias("c"), (F.sum("d").over(own) / F.col("n")).alias("mid"), F.row_number().over(own.orderBy("d", "s")).alias("nth")
+    ranked = held.join(across, "s").select("b", "n", "label", "s", *places)
     # The n - c shingles that one component holds come first in the order.
     prefix = F.expr(f"n - ({percent} * n + 99) div 100 + 1 - (n - c)")
     most = F.expr(f"((100 + {percent}) * c) div {percent} - n").alias("most")
-    posts = materialize(ranked.where(F.col("nth") <= prefix).select("s", "b", "n", "label", (F.col("c") - F.col("nth")).alias("after"), most), "posts")
+    posts = materialize(ranked.where(F.col("nth") <= prefix).select("s", "b", "n", "label", (F.col("c") - F.col("nth")).alias("after"), most, "mid"), "posts")
     release(held)
     return posts
 
@@ -260,10 +262,13 @@ def linked_sets(own: DataFrame, feats: DataFrame, width: int, percent: int) -> D
         if (rest := _mixed(mixed, nodes)) is not None:
             posts = _posts(rest, nodes, texts, width, percent)
             for turn in range(POST_TURNS):
-                # Everyone on a shingle's list with a few of the list.
+                # Everyone on a shingle's list with a few of the list, at first with its middle too: what isn't linked to that
+                # mostly shares too little with anyone.
                 lists = _open(posts)
                 row = F.struct(*posts.columns)
-                heads = lists.groupBy("s").agg(*[F.min_by(row, F.xxhash64(F.lit(turn * HEADS + k), "b")).alias(f"h{k}") for k in range(HEADS)])
+                first = [F.struct(-F.col("mid"), "b")] if turn == 0 else []
+                orders = first + [F.xxhash64(F.lit(turn * HEADS + k), "b") for k in range(len(first), HEADS)]
+                heads = lists.groupBy("s").agg(*[F.min_by(row, order).alias(f"h{k}") for k, order in enumerate(orders)])
                 heads = heads.select(F.explode(F.array_distinct(F.array(*[f"h{k}" for k in range(HEADS)]))).alias("h")).select("h.*")
                 nodes = more(nodes, _fitting(lists, heads, percent))
                 posts = _relabelled(posts, nodes)

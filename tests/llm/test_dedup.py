@@ -70,6 +70,23 @@ def test_same_groups_as_brute_force(spark, keys):
     assert sorted(map(tuple, got), key=repr) == sorted(brute(rows, 4), key=repr)
 
 
+def test_pairs_of_a_crowd_follow_its_size(spark, monkeypatch):
+    """Copies beyond the threshold of a crowd's original aren't compared with all of its copies within."""
+    rng = random.Random(21)
+    base, texts = [f"w{k}" for k in range(150)], [" ".join(f"w{k}" for k in range(150))]
+    for _ in range(700):
+        own = list(base)
+        for _ in range(rng.choice([1, 2, 3, 4, 5])):
+            own[rng.randrange(150)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(own))
+    rng.shuffle(texts)
+    rows, made, pairs = list(enumerate(texts)), [], minhash._pairs
+    monkeypatch.setattr(minhash, "_pairs", lambda *a: made.append(pairs(*a).count()) or pairs(*a))
+    got = minhash.near_duplicates(docs_of(spark, rows).repartition(3), 5, 80).select("doc_id", "n_shingles", "component_id", "kept").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(brute(rows, 5), key=repr)
+    assert len(made) > 2 and sum(made[2:]) <= 2 * len(rows)
+
+
 def test_near_groups_as_brute_force(spark):
     rng = random.Random(12)
     texts = edited_copies(rng, 4, 25, 90) + ["", None, " \n", "One two", "one TWO", "One two three"] + ["same words over and over again"] * 5
