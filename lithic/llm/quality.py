@@ -5,6 +5,9 @@ Features are single tokens and pairs; a token equal to the one before it is
 written as a back-reference, so "X X" shares a feature whatever X is.  A
 feature's value is its share of the text's tokens times SCALE; scoring is a
 sparse dot product with the bias.
+
+All labelled rows teach.  They are dealt by a hash of doc_id into shards of some STEPS rows; each
+shard is learned in a task of its own, and the model is the mean of the shards' weights.
 """
 
 from __future__ import annotations
@@ -17,11 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lithic.llm.labelled import fold_of, training_rows
-from lithic.llm.store import map_arrow
+from lithic.llm.store import map_arrow, materialize, release
 from lithic.llm.words import U64, mix, text_slices, tokens_of
 
-PER_CLASS = 6000
-#: Steps that training takes, about: the rows are gone over as often as that needs.
+#: Steps that a shard's training takes, about: fewer rows are gone over as often as that needs, more are several shards.
 STEPS = 24_000
 BITS = 18
 SCALE = 12.0
@@ -64,39 +66,54 @@ class FollowTheRegularisedLeader:
 def train(rows: DataFrame, steps: int = STEPS) -> tuple[np.ndarray, float]:
     """The weights and the bias learned from (doc_id, text, label), gone over until steps are taken.
 
-    The rows, of which training_rows bounds the number, pass one task in hash order, one after the
-    other; the task holds the model and one batch.
+    Shards of at least steps rows, one where there are fewer, each pass a task in hash order, one row after the
+    other; the task holds one model and one batch.  The shards' weights are averaged in their order.
     """
-    epochs = max(1, -(-steps // max(1, rows.count())))
+    rows = materialize(rows.select("doc_id", "text", "label"), "labelled")
+    n = rows.count()
+    epochs, shards = max(1, -(-steps // max(1, n))), max(1, n // steps)
+
+    def learned_of(shard: int, model: FollowTheRegularisedLeader) -> pa.RecordBatch:
+        w = model.weights()
+        at = np.flatnonzero(w)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), shard, np.int64)), pa.array(at), pa.array(w[at])], ["shard", "at", "w"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = FollowTheRegularisedLeader(1 << BITS)
+        shard, model = None, None
         for batch in batches:
-            labels = batch.column("label").to_pylist()
+            labels, own_shard = batch.column("label").to_pylist(), batch.column("shard").to_pylist()
             for row, data, offsets in text_slices(batch.column("text")):
                 found, counts = features(data, offsets)
                 for k, own in enumerate(np.split(found, np.cumsum(counts)[:-1])):
+                    if own_shard[row + k] != shard:
+                        if model is not None:
+                            yield learned_of(shard, model)
+                        shard, model = own_shard[row + k], FollowTheRegularisedLeader(1 << BITS)
                     at, many = np.unique(own, return_counts=True)
                     model.learn(at, many * (SCALE / max(1, len(own))), labels[row + k])
-        w = model.weights()
-        at = np.flatnonzero(w)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w[at])], ["at", "w"])
+        if model is not None:
+            yield learned_of(shard, model)
 
     order = F.xxhash64("epoch", "doc_id")
-    passes = rows.select("doc_id", "text", "label", F.explode(F.sequence(F.lit(1), F.lit(epochs))).alias("epoch"))
-    inline = passes.repartition(1).sortWithinPartitions("epoch", order, "doc_id", "text").select("text", "label")
-    learned = map_arrow(inline, run, "at long, w double").toArrow()
+    shard = F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard")
+    passes = rows.select("doc_id", "text", "label", shard, F.explode(F.sequence(F.lit(1), F.lit(epochs))).alias("epoch"))
+    inline = passes.repartition(shards, "shard").sortWithinPartitions("shard", "epoch", order, "doc_id", "text").select("text", "label", "shard")
+    each = map_arrow(inline, run, "shard long, at long, w double").groupBy("at").agg(F.array_sort(F.collect_list(F.struct("shard", "w"))).alias("of"))
+    learned = each.select("at", (F.aggregate("of", F.lit(0.0), lambda sum_, x: sum_ + x["w"]) / shards).alias("w")).toArrow()
+    release(rows)
     w = np.zeros((1 << BITS) + 1)
     w[learned.column("at").to_numpy()] = learned.column("w").to_numpy()
     return w[:-1], float(w[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, per_class: int = PER_CLASS) -> tuple[np.ndarray, float]:
-    """Weights and bias learned from the labelled rows outside of the held-out fold, per_class of either class at most.
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, per_class: int | None = None) -> tuple[np.ndarray, float]:
+    """Weights and bias learned from all labelled rows outside of the held-out fold; with per_class, that many of either class at most.
 
     Where that thinned a class out, the bias puts its odds back.
     """
     weights, bias = train(training_rows(docs, labels, "quality", folds, held_out, per_class))
+    if per_class is None:
+        return weights, bias
     known = labels.where(fold_of(F.col("doc_id"), folds) != held_out).groupBy(F.col("quality").cast("int").alias("k")).count().where("k in (0, 1)").collect()
     of = {r["k"]: r["count"] for r in known}
     return weights, bias + float(np.log(max(1.0, of.get(1, 0) / per_class)) - np.log(max(1.0, of.get(0, 0) / per_class)))
@@ -113,7 +130,7 @@ def scores(texts: pa.Array, model: tuple[np.ndarray, float]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x + bias, -500, 500)))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, per_class: int = PER_CLASS, threshold: float = 0.3) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, per_class: int | None = None, threshold: float = 0.3) -> DataFrame:
     """A row for each row of docs: doc_id, held_out, score (0 to 1), predicted.
 
     docs has doc_id and text, labels doc_id and quality; other columns are ignored.

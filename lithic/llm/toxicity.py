@@ -12,13 +12,13 @@ by a factor of RATIO or more; all other expressions are left to the counts
 that both classes share.  Else the many rare words of ordinary prose, and how a
 language happens to be spread over the labels, would drown the few that matter.
 
-Training takes a bounded sample of labelled rows.  Contexts are counted by Spark;
-all entries that differ, which the sample bounds, make the model that is
-broadcast.  What an entry doesn't get goes to the level below, so the distributions stay whole.
+All labelled rows teach.  Contexts are counted by Spark, a share of the words at a time;
+all entries that differ make the model that is broadcast.  What an entry doesn't get goes to the level below, so the distributions stay whole.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,7 +32,6 @@ from lithic.llm.labelled import fold_of, training_rows
 from lithic.llm.store import map_arrow, materialize, release
 from lithic.llm.words import U64, mix, span_hasher, text_slices, word_spans
 
-PER_CLASS = 6000
 G2, RATIO = 15.0, 5.0
 STEM = 4
 DISCOUNT = 0.75
@@ -40,6 +39,8 @@ DISCOUNT = 0.75
 PARTS = 5
 #: Whose counts a model has: all parts but one, for each; then all.
 _MODELS = [[h for h in range(PARTS) if h != k] for k in range(PARTS)] + [list(range(PARTS))]
+#: Contexts are counted for a share of the words at a time, so that not all are being shuffled: a share for so many rows, but few, as each reads all texts.
+SHARE_ROWS, SHARES = 6000, 8
 _CELLS = [(p, c) for p in range(PARTS + 1) for c in (0, 1)]
 #: The bits of a model's parts and class.
 _MASKS = {(p, c): sum(1 << (2 * h + c) for h in _MODELS[p]) for p, c in _CELLS}
@@ -67,8 +68,11 @@ def _lower(texts: pa.Array) -> pa.Array:
     return pc.utf8_lower(texts.fill_null(""))
 
 
-def context_counts(rows: DataFrame) -> DataFrame:
-    """(text, label, part) -> a row for each distinct three words in a row: pair (key of the last two), before, word, stem, and seen (bit 2 part + label where they are)."""
+def context_counts(rows: DataFrame, share: int = 0, shares: int = 1) -> DataFrame:
+    """(text, label, part) -> a row for each distinct three words in a row: key, before and word (the last two), stem, and seen (bit 2 part + label where they are).
+
+    With shares, of those only whose last word's hash leaves share when divided by shares.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,12 +82,13 @@ def context_counts(rows: DataFrame) -> DataFrame:
                 pair = pair_key(before, words)
                 earlier = np.r_[np.zeros(1, U64), before[:-1]][: len(before)]
                 earlier[(np.cumsum(counts) - counts)[counts > 0]] = 0  # nothing comes before a text, whatever its neighbour in the batch
-                key, first, where = np.unique(pair_key(earlier, pair), return_index=True, return_inverse=True)
-                seen = np.zeros(len(key), np.int32)
-                np.bitwise_or.at(seen, where, np.repeat(1 << cell[row : row + len(counts)], counts).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (key, pair[first], before[first], words[first], stems[first])), pa.array(seen)], ["key", "pair", "before", "word", "stem", "seen"])
+                own = np.flatnonzero(words % U64(shares) == share)
+                key, first, where = np.unique(pair_key(earlier, pair)[own], return_index=True, return_inverse=True)
+                seen, first = np.zeros(len(key), np.int32), own[first]
+                np.bitwise_or.at(seen, where, np.repeat(1 << cell[row : row + len(counts)], counts).astype(np.int32)[own])
+                yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (key, before[first], words[first], stems[first])), pa.array(seen)], ["key", "before", "word", "stem", "seen"])
 
-    names = ["pair", "before", "word", "stem"]
+    names = ["before", "word", "stem"]
     spec = ", ".join([*(f"{c} long" for c in ("key", *names)), "seen int"])
     return map_arrow(rows.select("text", "label", "part"), run, spec).groupBy("key").agg(*[F.first(c).alias(c) for c in names], F.bit_or("seen").alias("seen"))
 
@@ -164,26 +169,28 @@ def _entries(df: DataFrame, totals: np.ndarray, key: str) -> tuple[np.ndarray, n
     return column[key].view(U64), counts, (column["kept"][:, None] >> np.arange(PARTS + 1)) & 1 == 1, column
 
 
-def train(counts: DataFrame) -> list[KneserNey]:
-    """The models of all parts of the training rows but one, for each, and of all, from context_counts."""
+def train(*counts: DataFrame) -> list[KneserNey]:
+    """The models of all parts of the training rows but one, for each, and of all, from context_counts, all of its shares."""
     cells = [F.col("seen").bitwiseAND(F.lit(mask)).alias(f"n{p}_{c}") for (p, c), mask in _MASKS.items()]
-    pairs = materialize(_contexts(counts.select("pair", "before", "word", "stem", *cells), ["pair"], ["before", "word", "stem"]), "pairs")
+    shares = [materialize(_contexts(x.select("before", "word", "stem", *cells), ["before", "word"], ["stem"]), "pairs") for x in counts]
+    pairs = functools.reduce(DataFrame.unionByName, shares)
     words = materialize(_contexts(pairs, ["word"], ["stem"]), "words", few=True)
     stems = _contexts(words, ["stem"]).join(words.groupBy("stem").agg(F.sum(F.col(f"n{PARTS}_0") + F.col(f"n{PARTS}_1")).alias("contexts")), "stem")
     stems = materialize(stems, "stems", few=True)
     pair_all, word_all, stem_all = _totals(pairs), _totals(words), _totals(stems)
-    pair, n_pair, in_pair, of_pair = _entries(pairs, pair_all, "pair")
+    _, n_pair, in_pair, of_pair = _entries(pairs, pair_all, "word")
     named = stems.select("stem", "contexts", *[F.col(f"n{p}_{c}").alias(f"s{p}_{c}") for p, c in _CELLS])
     word, n_word, in_word, of_word = _entries(words.join(named, "stem"), word_all, "word")
     stem, n_stem, in_stem, _ = _entries(stems, stem_all, "stem")
     before = of_pair["before"].view(U64)
+    pair = pair_key(before, of_pair["word"].view(U64))
     known = pairs.join(F.broadcast(pairs.sparkSession.createDataFrame([(int(x),) for x in np.unique(of_pair["before"])], "before long")), "before")
     context = known.groupBy("before").agg(*[F.sum(f"n{p}_{c}").alias(f"n{p}_{c}") for p, c in _CELLS]).orderBy("before").toArrow()
     ctx = context.column("before").to_numpy()
     n_ctx = np.stack([context.column(f"n{p}_{c}").to_numpy() for p, c in _CELLS], 1).reshape(-1, PARTS + 1, 2).astype(float)
     n_of = np.stack([of_word[f"s{p}_{c}"] for p, c in _CELLS], 1).reshape(-1, PARTS + 1, 2).astype(float)
     share = (n_word[:, PARTS].sum(1) + 0.5) / (of_word["contexts"] + 0.5)
-    release(pairs, words, stems)
+    release(*shares, words, stems)
 
     def own(n: np.ndarray, kept: np.ndarray, total: np.ndarray) -> np.ndarray:
         return np.maximum(n - DISCOUNT, 0) / np.maximum(total, 1) * kept[:, None]
@@ -256,19 +263,19 @@ def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Logistic:
     return Logistic(mean, scale, float(beta[0]), float(beta[1]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, per_class: int = PER_CLASS) -> tuple[KneserNey, Logistic]:
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, per_class: int | None = None) -> tuple[KneserNey, Logistic]:
     """The model of all training rows and the logistic function of its differences.
 
-    Rows of the held-out fold teach nothing.  per_class bounds the labelled
+    Rows of the held-out fold teach nothing, all other labelled ones do; per_class, if given, bounds the
     documents of either class that are read.  Each part of them is scored by a
     model of the others to fit the logistic function, weighted back to the labels' own rates.
     """
     spark = docs.sparkSession
     rows = training_rows(docs, labels, "toxic", folds, held_out, per_class)
     # Parts go by the text, so that copies of one aren't in several.
-    rows = materialize(rows.withColumn("part", F.pmod(F.xxhash64("text"), F.lit(PARTS)).cast("int")).select("text", "label", "part"), "labelled", few=True)
-    counts = materialize(context_counts(rows), "contexts")
-    models = train(counts)
+    rows = materialize(rows.withColumn("part", F.pmod(F.xxhash64("text"), F.lit(PARTS)).cast("int")).select("text", "label", "part"), "labelled")
+    shares = min(SHARES, 1 + rows.count() // SHARE_ROWS)
+    models = train(*[context_counts(rows, k, shares) for k in range(shares)])
     others = spark.sparkContext.broadcast(models[:PARTS])
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,7 +291,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, p
     known = labels.where(fold_of(F.col("doc_id"), folds) != held_out).groupBy(F.col("toxic").cast("int").alias("k")).count().where("k in (0, 1)").collect()
     of = {r["k"]: r["count"] for r in known}
     weight = np.where(y == 1, of.get(1, 0) / max(1, y.sum()), of.get(0, 0) / max(1, (1 - y).sum()))
-    release(rows, counts, others)
+    release(rows, others)
     return models[PARTS], calibrate(x, y, weight)
 
 
@@ -293,7 +300,7 @@ def scores(texts: pa.Array, model: tuple[KneserNey, Logistic]) -> np.ndarray:
     return model[1](np.concatenate(found) if found else np.zeros(0))
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, per_class: int = PER_CLASS, threshold: float = 0.7) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, per_class: int | None = None, threshold: float = 0.7) -> DataFrame:
     """A row for each row of docs: doc_id, held_out, score (0 to 1), predicted.
 
     docs has doc_id and text, labels doc_id and toxic; other columns are ignored.

@@ -123,6 +123,45 @@ def test_training_rows_are_bounded(spark):
     assert len(rows) == len({r.doc_id for r in rows}) and len(rows) == labelled.training_rows(docs, labels, "toxic", 3, 1, 100).count()
 
 
+def test_all_labelled_rows_teach(spark, monkeypatch):
+    """Both classifiers learn from every labelled document outside of the held-out fold, however many there are."""
+    n = 20_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("word"), F.col("id") % 7).alias("text"))
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    seen = []
+
+    def told(rows, *_):
+        seen.append(rows.count())
+        raise StopIteration
+
+    for module, name, folds, held_out in ((quality, "train", 5, 0), (toxicity, "context_counts", 3, 1)):
+        monkeypatch.setattr(module, name, told)
+        with pytest.raises(StopIteration):
+            module.fit(docs, labels)
+        assert seen.pop() == labels.where(labelled.fold_of(F.col("doc_id"), folds) != held_out).count()
+
+
+def test_shards_and_shares(spark):
+    """The quality model is the mean of its shards', each learned by itself; shares of the contexts make up all of them."""
+    docs, labels = made_corpus(spark, 90)
+    rows = docs.join(labels.select("doc_id", F.col("quality").alias("label")), "doc_id").select("doc_id", "text", "label")
+    own = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(3)))
+    at = sorted(own.select("shard", F.xxhash64(F.lit(1), "doc_id"), "text", "label").collect())
+    w = np.zeros((1 << quality.BITS) + 1)
+    for shard in range(3):
+        model = quality.FollowTheRegularisedLeader(1 << quality.BITS)
+        for _, _, text, y in (r for r in at if r[0] == shard):
+            found, _ = quality.features(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))
+            where, many = np.unique(found, return_counts=True)
+            model.learn(where, many * (quality.SCALE / len(found)), y)
+        w += model.weights() / 3
+    weights, bias = quality.train(rows, steps=30)
+    assert np.allclose(weights, w[:-1]) and np.isclose(bias, w[-1]) and len({r[0] for r in at}) == 3
+    cells = rows.withColumn("part", F.lit(0))
+    whole, parts = toxicity.context_counts(cells), [toxicity.context_counts(cells, k, 4) for k in range(4)]
+    assert sorted(map(tuple, whole.collect())) == sorted(tuple(r) for x in parts for r in x.collect())
+
+
 def test_regularised_leader_step_by_step():
     """Follow-the-regularised-leader against its definition in plain Python, on ten rows."""
     import math
