@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lithic.llm import fingerprint, minhash
+from lithic.llm import fingerprint, minhash, store
 from lithic.llm.components import connected_components
 from lithic.llm.words import shingles_of, text_slices, words_of
 
@@ -87,6 +87,29 @@ def test_pairs_of_a_crowd_follow_its_size(spark, monkeypatch):
     assert len(made) > 2 and sum(made[2:]) <= 2 * len(rows)
 
 
+def test_an_exploded_table_is_not_broadcast(spark, monkeypatch):
+    """Spark takes the bands' size from a file with a list of them for each set, so the driver would hold all bands as rows."""
+    n, executions, of = 2_000, spark._jsparkSession.sharedState().statusStore(), spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava
+    limit, measured = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    monkeypatch.setattr(store, "GUESSED_BYTES", 8 * 1024, raising=False)
+    was = spark.conf.get(limit)
+    spark.conf.set(limit, "256k")
+    # Of every two texts 8 of 10 shingles are shared.
+    text = "concat_ws(' ', transform(sequence(0, 11), k -> md5(concat(if(k = 11, id + 100000, id div 2), ',', k))))"
+    before = max([e.executionId() for e in of(executions.executionsList())], default=-1)
+    got = minhash.near_duplicates(spark.range(n).select(F.col("id").alias("doc_id"), F.expr(text).alias("text")), 4, 80).agg(F.count("*"), F.count_if("kept")).first()
+    assert tuple(got) == (n, n // 2)
+    assert (spark.conf.get(limit), spark.conf.get(measured, None)) == ("256k", None)
+    spark.conf.set(limit, was)
+    spark._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    rows = []
+    for run in [e.executionId() for e in of(executions.executionsList()) if e.executionId() > before]:
+        found = of(executions.executionMetrics(run))
+        metrics = [m for node in of(executions.planGraph(run).allNodes()) if node.name() == "BroadcastExchange" for m in of(node.metrics())]
+        rows += [int(found[m.accumulatorId()].replace(",", "")) for m in metrics if m.name() == "number of output rows" and m.accumulatorId() in found]
+    assert rows and max(rows) <= 2 * n
+
+
 def test_near_groups_as_brute_force(spark):
     rng = random.Random(12)
     texts = edited_copies(rng, 4, 25, 90) + ["", None, " \n", "One two", "one TWO", "One two three"] + ["same words over and over again"] * 5
